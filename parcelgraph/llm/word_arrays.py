@@ -118,3 +118,26 @@ def window_hashes(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     every = (total[k:] - total[:-k]) * _powers(_INVERSE, n - k + 1)
     at = np.arange(out_off[-1]) + np.repeat(off[:-1] - out_off[:-1], counts)
     return mix(every[at] + _U(k)), out_off
+
+
+def shingle_sets(words: Words, k: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Each text's distinct ``k``-word shingles as sorted hashes, and their counts.
+
+    A text with fewer than ``k`` words has its whole sequence as its one shingle;
+    one without words has none.
+    """
+    windows, at = window_hashes(words, k)
+    n_words = np.diff(words.offsets)
+    sets: list[np.ndarray] = []
+    short = (n_words > 0) & (n_words < k)
+    for i, n in enumerate(n_words):
+        if short[i]:
+            one = np.zeros(1, np.uint64)
+            for h in words.hashes[words.offsets[i] : words.offsets[i + 1]]:
+                one = mix(one * _U(_BASE) + h)
+            sets.append(mix(one + _U(n)))
+            continue
+        part = windows[at[i] : at[i + 1]]
+        part.sort()
+        sets.append(part[np.concatenate([[True], part[1:] != part[:-1]])] if len(part) > 1 else part)
+    return sets, np.array([len(x) for x in sets], dtype=np.int64)
