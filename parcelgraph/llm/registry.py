@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from parcelgraph.llm import minhash, mixing, sharding, substring, tokens, warc
+from parcelgraph.llm import decontaminate, languages, minhash, mixing, nearest, quality, sharding, substring, tokens, warc
 from parcelgraph.llm.shared import table
 from parcelgraph.session import shipped
 
@@ -29,10 +29,29 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"))
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = languages.identify(docs, languages.labelled_rows(docs))
+    held_out = F.coalesce(languages.remainder(F.col("doc_id"), 4) == 2, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "languages")
+
+
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -42,7 +61,7 @@ def op10_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: shipped(f) for f in (op1_minhash_dedup, op2_mix_sources, op3_substring_dedup, op6_warc, op9_token_ids, op10_kd_sharding)}
+    return {f.__name__: shipped(f) for f in (op1_minhash_dedup, op2_mix_sources, op3_substring_dedup, op4_quality_gam, op5_decontaminate, op6_warc, op7_nearest_neighbours, op8_language_id, op9_token_ids, op10_kd_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

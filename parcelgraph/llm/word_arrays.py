@@ -22,6 +22,9 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE_VALUES = np.random.Generator(np.random.PCG64(20)).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+#: Gaps that leave lines instead of words.
+LINE_ENDS = np.zeros(256, dtype=bool)
+LINE_ENDS[[10, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -71,8 +74,8 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
         a = b
 
 
-def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> Words:
-    """Splits texts ``offsets[i]:offsets[i+1]`` of ``data`` and hashes each word."""
+def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool, gaps: np.ndarray = _SPACE) -> Words:
+    """Splits texts ``offsets[i]:offsets[i+1]`` of ``data`` at the bytes marked in ``gaps`` and hashes each word."""
     base = offsets[0]
     part = data[base : offsets[-1]]
     if lower:
@@ -80,7 +83,7 @@ def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> Words:
     ends_at = offsets - base
     n = len(part)
     inside = np.zeros(n + 2, dtype=np.int8)
-    inside[1:-1] = ~_SPACE[part]
+    inside[1:-1] = ~gaps[part]
     # A text's end also ends its last word: starts and ends are told apart per text.
     step = np.diff(inside)
     start_flag, end_flag = step[:n] == 1, step[1:] == -1
