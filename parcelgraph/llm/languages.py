@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parcelgraph.llm.word_arrays import Words, slices, split_words, text_buffers
 
@@ -136,8 +137,8 @@ def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return found
 
 
-def identify(docs: DataFrame, labelled: DataFrame) -> DataFrame:
-    """doc_id, lang_pred, score and the whole set as languages ("de:0.75,fr:0.25"): a row per row of ``docs``.
+def identify(docs: DataFrame, labelled: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The column ``key``, lang_pred, score and the whole set as languages ("de:0.75,fr:0.25"): a row per row of ``docs``.
 
     ``und`` with score 0 for a null text, one without a letter, and all texts if
     nothing was learned.  Ties go to the first language in order.  The score is the
@@ -156,10 +157,12 @@ def identify(docs: DataFrame, labelled: DataFrame) -> DataFrame:
                 best = np.where(known, share.argmax(axis=1), len(languages))
                 score = np.where(known, np.clip(share.max(axis=1), 0, 1), 0.0)
                 sets = [",".join(f"{languages[j]}:{s[j]:.3f}" for j in np.argsort(-s, kind="stable") if s[j] > 0) if k else "" for k, s in zip(known, share, strict=True)]
-                columns = [batch.column("doc_id").slice(a, b - a), pa.array(names[best], pa.string()), pa.array(score), pa.array(sets, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score", "languages"])
+                columns = [batch.column(key).slice(a, b - a), pa.array(names[best], pa.string()), pa.array(score), pa.array(sets, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, [key, "lang_pred", "score", "languages"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, languages string")
+    kind = docs.schema[key].dataType
+    schema = T.StructType([T.StructField(key, kind), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("languages", T.StringType())])
+    return docs.select(key, "text").mapInArrow(run, schema)
 
 
 def remainder(doc_id: Column, n: int) -> Column:

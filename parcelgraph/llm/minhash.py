@@ -136,7 +136,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: a row per row of ``docs``.
+    """doc_id, n_shingles, component_id, kept, text_key (xxhash64 of the text): a row per row of ``docs``.
 
     Null and wordless texts have empty sets and stand alone.  Rows that share a
     doc_id are linked by their texts like any others.  ``component_id`` passes over
@@ -171,6 +171,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     owned = nodes.select("set_key", "least_id").join(roots.select(F.col("node").alias("set_key"), "root"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     ids = owned.groupBy("root").agg(F.min("least_id").alias("component_id"))
     ids = owned.join(ids, "root").select("set_key", "component_id")
-    out = signed.select("doc_id", "n_shingles", "set_key").join(ids, "set_key", "left")
+    out = signed.select("doc_id", "text_key", "n_shingles", "set_key").join(ids, "set_key", "left")
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "text_key")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept, one of those that share a doc_id; of rows without one, one of each text."""
+    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_key").alias("_kept_text")).distinct()
+    rows = docs.withColumn("_text_key", F.xxhash64("text"))
+    rows = rows.join(kept, (F.col("_text_key") == F.col("_kept_text")) & F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    return rows.withColumn("_text_key", F.when(F.col("doc_id").isNull(), F.col("_text_key"))).dropDuplicates(["doc_id", "_text_key"]).select(*docs.columns)

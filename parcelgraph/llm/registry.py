@@ -17,7 +17,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
