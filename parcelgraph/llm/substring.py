@@ -27,9 +27,9 @@ from parcelgraph.llm.word_arrays import slices, split_words, text_buffers, windo
 
 WINDOW = 20
 #: Windows that a task gathers before it sends them on; each takes about 60 bytes of memory.
-FLUSH = 3_000_000
+FLUSH = 2_000_000
 #: Bytes of text whose windows or documents one bucket holds.
-BUCKET_BYTES = 24_000_000
+BUCKET_BYTES = 16_000_000
 
 
 def _pack(ids: np.ndarray, starts: np.ndarray) -> bytes:
