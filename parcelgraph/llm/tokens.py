@@ -14,6 +14,8 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +30,17 @@ from parcelgraph.llm.word_arrays import slices, split_words, text_buffers
 END_ID = 1
 #: Bytes of text in a part.
 PART_BYTES = 24_000_000
-#: Distinct words that a task remembers the ids of; beyond, it starts afresh.
-MEMORY_WORDS = 1_000_000
+#: Pieces that a worker remembers the ids of, over all its tasks; beyond, it forgets those met once.
+MEMORY_WORDS = 1_500_000
 
 
 class WordEncoder:
-    """Encodes texts word by word and remembers what each word gave.
+    """Encodes texts piece by piece and remembers what each piece gave.
 
-    For a tokenizer that drops white space and never merges across it this equals
-    encoding whole texts.
+    Pieces are words, cut between ASCII letters and the marks ``.,;:!?`` and, where
+    no special token can be in the text, lower-cased in ASCII.  For a tokenizer
+    that lower-cases, drops white space and never merges across it or between
+    letters and marks, as the word BPE does, this equals encoding whole texts.
     """
 
     def __init__(self, path: str) -> None:
@@ -45,32 +49,45 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self._clear()
-
-    def _clear(self) -> None:
         self.places: dict[int, int] = {}
         self.ids = np.zeros(0, np.uint32)
-        self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.starts, self.lengths, self.met = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def _forget(self, room: int) -> None:
+        """Keeps pieces met in several slices, or none if they leave too little room."""
+        keep = np.flatnonzero(self.met > 1)
+        if len(keep) + room > MEMORY_WORDS:
+            keep = keep[:0]
+        hashes = np.fromiter(self.places, np.uint64, len(self.places))[keep]  # in the order of their places
+        lengths = self.lengths[keep]
+        new_starts = np.cumsum(lengths) - lengths
+        self.ids = self.ids[np.repeat(self.starts[keep] - new_starts, lengths) + np.arange(lengths.sum())]
+        self.starts, self.lengths, self.met = new_starts, lengths, np.zeros(len(keep), np.int32)
+        self.places = dict(zip(hashes.tolist(), range(len(keep)), strict=True))
 
     def _learn(self, hashes: list[int], words: list[str]) -> None:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum()))])
+        self.met = np.concatenate([self.met, np.zeros(len(found), np.int32)])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))])
         self.places.update(zip(hashes, range(len(self.places), len(self.places) + len(hashes)), strict=True))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of consecutive texts, each followed by ``end_id``, and how many each has."""
-        words = split_words(data, offsets, lower=False)
+        special = b"<|" in data[offsets[0] : offsets[-1]].tobytes()
+        words = split_words(data, offsets, lower=not special, at_marks=True)
         distinct, first, which = np.unique(words.hashes, return_index=True, return_inverse=True)
         if len(self.places) + len(distinct) > MEMORY_WORDS:
-            self._clear()
+            self._forget(len(distinct))
         new = [i for i, h in enumerate(distinct.tolist()) if h not in self.places]
         if new:
             raw = words.data.tobytes()
             self._learn(distinct[new].tolist(), [raw[words.starts[i] : words.ends[i]].decode() for i in first[new]])
-        at = np.fromiter(map(self.places.__getitem__, distinct.tolist()), np.int64, len(distinct))[which]
+        known = np.fromiter(map(self.places.__getitem__, distinct.tolist()), np.int64, len(distinct))
+        self.met[known] += 1
+        at = known[which]
         lengths = self.lengths[at]
         n_docs = len(offsets) - 1
         total = np.concatenate([[0], np.cumsum(lengths)])
@@ -82,6 +99,12 @@ class WordEncoder:
         return out, counts
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> WordEncoder:
+    """One for all tasks of a worker."""
+    return WordEncoder(path)
+
+
 _MANIFEST = "part int, name string, width int, n_docs long, n_null long, n_ids long"
 
 
@@ -93,7 +116,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, ids, counts, names, nulls = WordEncoder(tokenizer), [], [], [], 0
+        encoder, ids, counts, names, nulls = _encoder(tokenizer), [], [], [], 0
         for batch in batches:
             column = batch.column("doc_id")
             nulls += column.null_count

@@ -29,6 +29,12 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+#: 1 for ASCII letters, 2 for marks that never belong to one.
+_GROUP = np.zeros(256, dtype=np.int8)
+_GROUP[65:91] = _GROUP[97:123] = 1
+_GROUP[list(b".,;:!?")] = 2
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser: close inputs end up far apart."""
     x = x ^ (x >> _U(33))
@@ -74,8 +80,11 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
         a = b
 
 
-def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool, gaps: np.ndarray = _SPACE) -> Words:
-    """Splits texts ``offsets[i]:offsets[i+1]`` of ``data`` at the bytes marked in ``gaps`` and hashes each word."""
+def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool, gaps: np.ndarray = _SPACE, at_marks: bool = False) -> Words:
+    """Splits texts ``offsets[i]:offsets[i+1]`` of ``data`` at the bytes marked in ``gaps`` and hashes each word.
+
+    With ``at_marks`` words are also cut between ASCII letters and the marks ``.,;:!?``.
+    """
     base = offsets[0]
     part = data[base : offsets[-1]]
     if lower:
@@ -90,6 +99,9 @@ def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool, gaps: np.nda
     inner = ends_at[1:-1]
     inner = inner[(inner > 0) & (inner < n)]
     joined = inner[(inside[inner] == 1) & (inside[inner + 1] == 1)]
+    if at_marks:
+        group = _GROUP[part]
+        joined = np.concatenate([joined, np.flatnonzero(group[1:] + group[:-1] == 3) + 1])
     start_flag[joined] = True
     end_flag[joined - 1] = True
     starts = np.flatnonzero(start_flag)
