@@ -1 +1 @@
-"""..."""
+"""Scalar functions as Spark column expressions."""

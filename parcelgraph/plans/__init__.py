@@ -1 +1 @@
-"""..."""
+"""Logical tables of packages."""
