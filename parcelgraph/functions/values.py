@@ -36,7 +36,7 @@ def tag_sql(v: str) -> str:
 
 def number_text(x: Column) -> Column:
     """A double in full digits and without a trailing ``.0``: ``1``, ``2.5``, ``1000000000000000000000``."""
-    return F.when(F.isnan(x), "NaN").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").otherwise(F.format_number(x, "0." + "#" * 340))
+    return F.when(F.isnan(x), "NaN").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").otherwise(F.call_function("format_number", x, F.lit("0." + "#" * 340)))
 
 
 def json_text_sql(v: str) -> str:
