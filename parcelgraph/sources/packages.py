@@ -15,12 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelgraph.functions.values import DESCRIPTOR_ID, ROOT_ID, json_text_sql, kind, schema_version, tag_sql
+from parcelgraph.plans.storage import written
 from parcelgraph.plans.tables import Packages
 
 METADATA_FILE = DESCRIPTOR_ID
-#: Levels of nested values that are flattened; what lies deeper stays in its parent's JSON.
-MAX_DEPTH = 8
-
 # Properties that a kind of entity must have besides its id and type.
 REQUIRED = {"descriptor": ("conformsTo", "about"), "root": ("name", "description", "datePublished", "license"), "data": (), "contextual": ()}
 
@@ -72,9 +70,6 @@ def fetch_texts(urls: DataFrame, fetch: Callable[[str], str | None]) -> DataFram
     return urls.select("url").mapInPandas(run, "crate_id string, source string, text string")
 
 
-_NEXT = "LATERAL variant_explode(value)"
-
-
 def _typed(level: DataFrame) -> DataFrame:
     """Columns of the property table from (…, value)."""
     fields, items = "try_variant_get(value, '$', 'map<string,variant>')", "try_variant_get(value, '$', 'array<variant>')"
@@ -91,13 +86,14 @@ def _typed(level: DataFrame) -> DataFrame:
     )
 
 
-def flatten(entities: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def flatten(entities: DataFrame) -> DataFrame:
     """The property table of (crate_id, pos, id, kind, doc VARIANT): a row for each member of each object, at every depth, and each array element.
 
     origin: identity (@id, @type), fixed (required), dynamic, nested (inside
     objects), item (of an array), element (of an object inside an array), link
 (below a link).  owner: the nearest enclosing object's @id,
-    or an empty text.
+    or an empty text.  Levels are tables in the shared folder, one after another
+    until no value has members.
     """
     spark = entities.sparkSession
     fixed = " ".join(f"WHEN '{k}' THEN key IN ({', '.join(repr(n) for n in names) or 'NULL'})" for k, names in REQUIRED.items())
@@ -108,20 +104,20 @@ def flatten(entities: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
         t=entities,
     )
     found = None
-    for depth in range(max_depth):
-        level = _typed(level)
+    while True:
+        level = written(_typed(level))
         rows = level.select("crate_id", "pos", "id", "key", "path", "depth", "origin", "owner", "tag", "s", "i", "d", "ids", "items", "json")
         found = rows if found is None else found.unionByName(rows)
-        if depth + 1 < max_depth:
-            inner = level.filter("tag IN ('object', 'array', 'id', 'ids')")
-            level = spark.sql(
-                """SELECT crate_id, t.pos, id, coalesce(e.key, t.key) AS key, concat(path, CASE WHEN e.key IS NULL THEN concat('[', e.epos, ']') ELSE concat('/', e.key) END) AS path, depth + 1 AS depth,
-                   coalesce(CASE WHEN e.key IS NOT NULL THEN own_id END, owner) AS owner, e.value,
-                   CASE WHEN t.tag IN ('id', 'ids') OR origin = 'link' THEN 'link' WHEN e.key IS NULL THEN 'item' WHEN origin IN ('item', 'element') THEN 'element' ELSE 'nested' END AS origin
-                   FROM {t} AS t, LATERAL variant_explode(value) AS e(epos, key, value)""",
-                t=inner,
-            )
-    return found
+        inner = level.filter("tag IN ('object', 'array', 'id', 'ids')")
+        if inner.isEmpty():
+            return found
+        level = spark.sql(
+            """SELECT crate_id, t.pos, id, coalesce(e.key, t.key) AS key, concat(path, CASE WHEN e.key IS NULL THEN concat('[', e.epos, ']') ELSE concat('/', e.key) END) AS path, depth + 1 AS depth,
+               coalesce(CASE WHEN e.key IS NOT NULL THEN own_id END, owner) AS owner, e.value,
+               CASE WHEN t.tag IN ('id', 'ids') OR origin = 'link' THEN 'link' WHEN e.key IS NULL THEN 'item' WHEN origin IN ('item', 'element') THEN 'element' ELSE 'nested' END AS origin
+               FROM {t} AS t, LATERAL variant_explode(value) AS e(epos, key, value)""",
+            t=inner,
+        )
 
 
 def _context_items(crates: DataFrame) -> DataFrame:
@@ -140,7 +136,7 @@ def _context_items(crates: DataFrame) -> DataFrame:
     )
 
 
-def parse(texts: DataFrame, max_depth: int = MAX_DEPTH) -> Packages:
+def parse(texts: DataFrame) -> Packages:
     """Packages from (crate_id, source, text).
 
     Text that isn't JSON is tried once more with ``: None`` as ``: null``.  A crate
@@ -149,7 +145,7 @@ def parse(texts: DataFrame, max_depth: int = MAX_DEPTH) -> Packages:
     """
     spark = texts.sparkSession
     tried = "coalesce(try_parse_json(text), try_parse_json(replace(text, ': None', ': null')))"
-    docs = texts.selectExpr("crate_id", "source", f"{tried} AS v")
+    docs = written(texts.selectExpr("crate_id", "source", f"{tried} AS v"))
     graph = spark.sql("SELECT crate_id, e.pos, e.value AS doc FROM {t}, LATERAL variant_explode(try_variant_get(v, '$[\"@graph\"]', 'variant')) AS e(pos, key, value)", t=docs)
     typed = graph.selectExpr(
         "*",
@@ -157,7 +153,7 @@ def parse(texts: DataFrame, max_depth: int = MAX_DEPTH) -> Packages:
         "schema_of_variant(try_variant_get(doc, '$[\"@type\"]', 'variant')) AS type_schema",
         "try_variant_get(doc, '$[\"@type\"]', 'variant') AS type",
     ).selectExpr("crate_id", "pos", "id", "doc", "type_schema LIKE 'ARRAY<%' AS types_is_array", "CASE WHEN type_schema = 'STRING' THEN array(try_variant_get(type, '$', 'string')) WHEN type_schema IN ('ARRAY<STRING>', 'ARRAY<VOID>') THEN try_variant_get(type, '$', 'array<string>') END AS types")
-    typed = typed.withColumn("kind", kind(F.col("id"), F.col("types")))
+    typed = written(typed.withColumn("kind", kind(F.col("id"), F.col("types"))))
     lacks = F.col("id").isNull() | F.col("types").isNull()
     for k, names in REQUIRED.items():
         for n in names:
@@ -172,12 +168,13 @@ def parse(texts: DataFrame, max_depth: int = MAX_DEPTH) -> Packages:
         .unionByName(items.filter("value IS NULL").select("crate_id", F.lit("context term is not text").alias("reason")))
         .unionByName(typed.filter(lacks).select("crate_id", F.lit("entity lacks a required property").alias("reason")))
     ).groupBy("crate_id").agg(F.min("reason").alias("reason"))
+    rejects = written(rejects)
     good = lambda df: df.join(rejects.select("crate_id"), "crate_id", "left_anti")
-    entities, items = good(typed), good(items)
+    entities, items = good(typed), written(good(items))
     texts_of = items.groupBy("crate_id").agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("found"), F.max_by(F.when(F.col("key") == "@base", F.col("value")), F.when(F.col("key") == "@base", F.col("pos"))).alias("base"))
     crates = good(docs.select("crate_id", "source")).join(texts_of, "crate_id", "left")
     crates = crates.select("crate_id", "source", schema_version(F.transform("found", lambda x: x["value"])).alias("schema_version"), "base")
-    return Packages(crates, items, entities.select("crate_id", "pos", "id", "kind", "types", "types_is_array"), flatten(entities.select("crate_id", "pos", "id", "kind", "doc"), max_depth), rejects)
+    return Packages(crates, items, entities.select("crate_id", "pos", "id", "kind", "types", "types_is_array"), flatten(entities.select("crate_id", "pos", "id", "kind", "doc")), rejects)
 
 
 def default_package(spark: SparkSession, crate_id: str, now: str, license_: str = "Private") -> Packages:

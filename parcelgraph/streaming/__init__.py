@@ -1 +1 @@
-"""..."""
+"""Streams of packages."""
