@@ -89,7 +89,8 @@ def kd_tree(rows: DataFrame, shards: int = SHARDS) -> tuple[DataFrame, dict[int,
             cuts = [(n, c[0], fine[n][0] + (fine[n][3] - fine[n][1] > fine[n][2] / 2)) for n, c in coarse.items()]
             right = (F.col("coarse") > F.col("cut")) | ((F.col("coarse") == F.col("cut")) & (F.col("fine") >= F.col("fine_cut")))
             moved = _with_bins(rows, splits, "left").join(_nodes(spark, "node, cut, fine_cut", cuts), "node", "left")
-            rows = moved.withColumn("node", F.coalesce(2 * F.col("node") + right.cast("int"), F.col("node"))).select(*rows.columns)
+            # A table per level keeps plans short; lost tasks are done again from it.
+            rows = written(moved.withColumn("node", F.coalesce(2 * F.col("node") + right.cast("int"), F.col("node"))).select(*rows.columns))
         leaves = {n: k for n, k in leaves.items() if k == 1} | {2 * n + side: (k - k // 2 if side else k // 2) for n, k in open_nodes.items() for side in (0, 1)}
     return rows, {n: i for i, n in enumerate(sorted(leaves, key=lambda n: f"{n:b}"))}
 
