@@ -3,7 +3,8 @@
 Vectors get one more component that makes their norms equal, so the largest inner
 product is the smallest distance.  Rows are dealt to blocks of about
 ``BLOCK_ROWS``; a block's index has, for each of ``PROJECTIONS`` random
-directions, its rows sorted by their projection.  A query opens a window around
+directions, its rows sorted by their projection, with the set of rows before each
+of some places, so that a window is the difference of two sets.  A query opens a window around
 its own projection in every sorted array; a row that lies in at least
 ``THRESHOLD`` of the windows is a candidate.  While a block has too few, windows
 widen by ``GROWTH`` (virtual rehashing: the same arrays serve every radius).
@@ -30,6 +31,10 @@ WIDTH, GROWTH = 0.8, 1.08
 PER_WANTED = 8
 CANDIDATES = 0.1
 BLOCK_ROWS = 12_000
+#: Cells of equal numbers of rows into which a sorted array is divided; windows consist of cells.
+CELLS = 128
+#: Queries that are counted together.
+BATCH = 8
 BLOCK_QUERIES = 2_000
 SEED = 11
 
@@ -39,30 +44,74 @@ def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
+def _index(projected: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each direction the projections in order, and for each of CELLS + 1 places in that order the set of rows before it, as bits."""
+    m, n = projected.shape
+    order = np.argsort(projected, axis=1)
+    ends = np.arange(CELLS + 1) * n // CELLS
+    before = np.zeros((m, CELLS + 1, -(-n // 64)), dtype=np.uint64)
+    rank = np.empty(n, dtype=np.int64)
+    for j in range(m):
+        rank[order[j]] = np.arange(n)
+        bits = np.packbits(rank < ends[:, None], axis=1, bitorder="little")
+        before[j].view(np.uint8)[:, : bits.shape[1]] = bits
+    return np.take_along_axis(projected, order, axis=1), before
+
+
+def _at_least(sets: np.ndarray, need: int) -> np.ndarray:
+    """The rows in at least ``need`` of the sets of bits along the first axis, counted in all bits at once by full adders."""
+    planes, x = [], sets
+    while len(x):
+        carries = []
+        while len(x) > 1:
+            t = max(1, len(x) // 3)
+            if len(x) == 2:
+                one, other = x[:1], x[1:]
+                x, carry = one ^ other, one & other
+            else:
+                one, other, third = x[:t], x[t : 2 * t], x[2 * t : 3 * t]
+                either = one ^ other
+                carry = (one & other) | (third & either)
+                x = np.concatenate([either ^ third, x[3 * t :]])
+            carries.append(carry)
+        planes.append(x[0])
+        x = np.concatenate(carries) if carries else x[:0]
+    more, same = np.zeros_like(planes[0]), np.full_like(planes[0], ~np.uint64(0))
+    for b in range(max(len(planes), need.bit_length()) - 1, -1, -1):
+        plane = planes[b] if b < len(planes) else np.zeros_like(more)
+        if need >> b & 1:
+            same = same & plane
+        else:
+            more |= same & plane
+            same &= ~plane
+    return more | same
+
+
 def candidates(rows: np.ndarray, queries: np.ndarray, wanted: int) -> list[np.ndarray]:
     """For each query the numbers of the rows that collide often enough; norms are already equal."""
     n, dim = rows.shape
     directions = np.random.Generator(np.random.PCG64(SEED)).standard_normal((dim, PROJECTIONS))
     projected, asked = np.ascontiguousarray((rows @ directions).T), queries @ directions
-    order = np.argsort(projected, axis=1)
-    sorted_arrays = np.take_along_axis(projected, order, axis=1)
-    rank = np.empty((PROJECTIONS, n), dtype=np.uint16)
-    np.put_along_axis(rank, order, np.broadcast_to(np.arange(n, dtype=np.uint16), rank.shape), axis=1)
+    sorted_arrays, before = _index(projected)
     unit = float(projected.std()) or 1.0
-    need = int(np.ceil(THRESHOLD * PROJECTIONS))
+    need, wanted = int(np.ceil(THRESHOLD * PROJECTIONS)), min(wanted, n)
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(queries)
-    open_queries, width = np.arange(len(queries)), WIDTH * unit
+    open_queries, width, every = np.arange(len(queries)), WIDTH * unit, np.arange(PROJECTIONS)
     while len(open_queries):
-        low, high = (np.stack([np.searchsorted(s, asked[open_queries, j] + w, side) for j, s in enumerate(sorted_arrays)], axis=1) for w, side in ((-width, "left"), (width, "right")))
+        # A window is widened to whole cells.
+        low = np.stack([np.searchsorted(s, asked[open_queries, j] - width, "left") for j, s in enumerate(sorted_arrays)], axis=1) * CELLS // n
+        high = -(-np.stack([np.searchsorted(s, asked[open_queries, j] + width, "right") for j, s in enumerate(sorted_arrays)], axis=1) * CELLS // n)
         still = []
-        for i, q in enumerate(open_queries):
-            # The place in a sorted array tells whether a row is in the window.
-            inside = (rank - low[i].astype(np.uint16)[:, None]) < (high[i] - low[i]).astype(np.uint16)[:, None]
-            found = np.flatnonzero(inside.sum(axis=0, dtype=np.uint8) >= need)
-            if len(found) >= min(wanted, n):
-                out[q] = found
-            else:
-                still.append(q)
+        for a in range(0, len(open_queries), BATCH):
+            lo, hi = low[a : a + BATCH], high[a : a + BATCH]
+            windows = (before[every, hi] ^ before[every, lo]).transpose(1, 0, 2)
+            found = _at_least(windows.reshape(PROJECTIONS, -1), need).reshape(len(lo), -1)
+            sizes = np.bitwise_count(found).sum(axis=1)
+            for i, q in enumerate(open_queries[a : a + BATCH]):
+                if sizes[i] >= wanted:
+                    out[q] = np.flatnonzero(np.unpackbits(found[i].view(np.uint8), bitorder="little")[:n])
+                else:
+                    still.append(q)
         open_queries, width = np.array(still, dtype=np.int64), width * GROWTH
     return out
 
