@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from parcelgraph.functions.values import DESCRIPTOR_ID, ROOT_ID
 from parcelgraph.operators.rdf import RDF_TYPE, compact, import_kind, out_references, roots, typed_literal
 from parcelgraph.operators.reach import reachable
+from parcelgraph.plans.storage import written
 from parcelgraph.plans.tables import Packages
 from parcelgraph.sources.packages import REQUIRED
 
@@ -29,12 +30,13 @@ def import_packages(triples: DataFrame, terms: DataFrame, base: str | None = Non
     ``Thing``; a root lacks no required property (they are empty texts).  Entities
     that nothing reaches, and graphs without a root, are left out.
     """
-    found = roots(triples)
+    triples = written(triples)
+    found = written(roots(triples))
     starts = found.select("crate_id", F.explode(F.array("metadata", "root")).alias("id"))
     kept = triples.join(reachable(starts, out_references(triples)).select("crate_id", F.col("id").alias("s")), ["crate_id", "s"], "left_semi")
     home = found.withColumn("base", F.coalesce(F.lit(base), F.regexp_extract("metadata", r"^(.*/)", 1))).select("crate_id", "base", "metadata", "root")
     iris = kept.select("crate_id", F.explode(F.array(F.when(F.col("s_kind") == "iri", F.col("s")), F.col("p"), F.when(F.col("o_kind") == "iri", F.col("o")))).alias("iri")).filter("iri IS NOT NULL").distinct()
-    named = compact(iris.join(home.select("crate_id", "base"), "crate_id").withColumns({"version": F.lit("1.2"), "vocab": F.lit(None).cast("string")}), terms).select("crate_id", "iri", "name")
+    named = written(compact(iris.join(home.select("crate_id", "base"), "crate_id").withColumns({"version": F.lit("1.2"), "vocab": F.lit(None).cast("string")}), terms).select("crate_id", "iri", "name"))
 
     def name(df: DataFrame, column: str, out: str) -> DataFrame:
         return df.join(named.select("crate_id", F.col("iri").alias(column), F.col("name").alias(out)), ["crate_id", column], "left").withColumn(out, F.coalesce(out, column))
@@ -42,12 +44,12 @@ def import_packages(triples: DataFrame, terms: DataFrame, base: str | None = Non
     rows = name(name(name(kept, "s", "s_name"), "p", "key"), "o", "o_name").join(home, "crate_id")
     id_ = F.when(F.col("s") == F.col("metadata"), DESCRIPTOR_ID).when(F.col("s") == F.col("root"), ROOT_ID).otherwise(_relative(F.col("s_name")))
     target = F.when(F.col("o") == F.col("root"), ROOT_ID).when(F.col("o") == F.col("metadata"), DESCRIPTOR_ID).otherwise(_relative(F.col("o_name")))
-    rows = rows.withColumns({"id": id_, "target": target})
+    rows = written(rows.withColumns({"id": id_, "target": target}))
     types = rows.groupBy("crate_id", "id").agg(F.sort_array(F.collect_set(F.when(F.col("p") == RDF_TYPE, F.col("o_name")))).alias("types"))
     types = types.withColumn("types", F.when(F.size("types") > 0, F.col("types")).otherwise(F.array(F.lit("Thing"))))
     kind = F.when(F.col("id") == DESCRIPTOR_ID, "descriptor").when(F.col("id") == ROOT_ID, "root").otherwise(import_kind(F.col("id"), F.col("types")))
-    entities = types.select("crate_id", F.lit(0).alias("pos"), "id", kind.alias("kind"), "types", (F.size("types") > 1).alias("types_is_array"))
-    entities = entities.withColumn("pos", F.pmod(F.xxhash64("id"), F.lit((1 << 31) - 1)).cast("int"))
+    entities = types.select("crate_id", F.pmod(F.xxhash64("id"), F.lit((1 << 31) - 1)).cast("int").alias("pos"), "id", kind.alias("kind"), "types", (F.size("types") > 1).alias("types_is_array"))
+    entities = written(entities)
 
     values = rows.filter(F.col("p") != RDF_TYPE).withColumn("v", typed_literal(F.col("o"), F.col("datatype")))
     node = F.col("o_kind") != "literal"
@@ -72,4 +74,4 @@ def import_packages(triples: DataFrame, terms: DataFrame, base: str | None = Non
     missing = missing.withColumns({"path": F.col("key"), "depth": F.lit(0), "origin": F.lit("fixed"), "owner": F.col("id"), "tag": F.lit("string"), "s": F.lit(""), "json": F.lit('""'), **empty}).select(*properties.columns)
     crates = home.select("crate_id", F.lit("rdf").alias("source"), F.lit("1.2").alias("schema_version"), "base")
     context = home.select("crate_id", F.lit(1).alias("pos"), F.lit("reference").alias("kind"), F.lit(None).cast("string").alias("key"), F.lit(CONTEXT_IRI).alias("value"))
-    return Packages(crates, context, entities, properties.unionByName(missing))
+    return Packages(crates, context, entities, written(properties.unionByName(missing)))
