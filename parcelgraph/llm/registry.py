@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from parcelgraph.llm import decontaminate, languages, minhash, mixing, nearest, quality, sharding, substring, tokens, warc
-from parcelgraph.llm.shared import table
+from parcelgraph.llm.shared import small_batches, table
 from parcelgraph.session import shipped
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,8 +62,17 @@ def op10_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def _prepared(query: Query) -> Query:
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return shipped(query)(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: shipped(f) for f in (op1_minhash_dedup, op2_mix_sources, op3_substring_dedup, op4_quality_gam, op5_decontaminate, op6_warc, op7_nearest_neighbours, op8_language_id, op9_token_ids, op10_kd_sharding)}
+    return {f.__name__: _prepared(f) for f in (op1_minhash_dedup, op2_mix_sources, op3_substring_dedup, op4_quality_gam, op5_decontaminate, op6_warc, op7_nearest_neighbours, op8_language_id, op9_token_ids, op10_kd_sharding)}
 
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A word: a run of characters outside \x20 and \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of a batch of texts for Python workers.
+BATCH_ROWS = 1000
 GAP = r"[\x20\x09-\x0D]+"
 
 
@@ -30,6 +32,12 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts may be long: hands Python workers fewer rows at a time than the default, unless the session says otherwise."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     """UTF-8 bytes of all texts."""
     return df.agg(F.sum(F.octet_length(column).cast("long"))).first()[0] or 0

@@ -31,7 +31,7 @@ END_ID = 1
 #: Bytes of text in a part.
 PART_BYTES = 24_000_000
 #: Pieces that a worker remembers the ids of, over all its tasks; beyond, it forgets those met once.
-MEMORY_WORDS = 1_500_000
+MEMORY_WORDS = 600_000
 
 
 class WordEncoder:
