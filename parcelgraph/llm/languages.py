@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -141,7 +142,7 @@ def identify(docs: DataFrame, labelled: DataFrame, key: str = "doc_id") -> DataF
     """The column ``key``, lang_pred, score and the whole set as languages ("de:0.75,fr:0.25"): a row per row of ``docs``.
 
     ``und`` with score 0 for a null text, one without a letter, and all texts if
-    nothing was learned.  Ties go to the first language in order.  The score is the
+    nothing was learned.  ``docs`` has the text as a column, or in the struct ``key``.  Ties go to the first language in order.  The score is the
     predicted language's share.
     """
     languages, model = train(labelled)
@@ -149,7 +150,8 @@ def identify(docs: DataFrame, labelled: DataFrame, key: str = "doc_id") -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*languages, UNKNOWN], dtype=object)
         for batch in batches:
-            data, offsets = text_buffers(batch.column("text"))
+            texts = batch.column("text") if "text" in batch.schema.names else pc.struct_field(batch.column(key), "text")
+            data, offsets = text_buffers(texts)
             for a, b in slices(offsets):
                 known = has_letter(data, offsets[a : b + 1])
                 share = proportions(split_words(data, offsets[a : b + 1], lower=True), model) if languages else np.zeros((b - a, 1))
@@ -162,7 +164,7 @@ def identify(docs: DataFrame, labelled: DataFrame, key: str = "doc_id") -> DataF
 
     kind = docs.schema[key].dataType
     schema = T.StructType([T.StructField(key, kind), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("languages", T.StringType())])
-    return docs.select(key, "text").mapInArrow(run, schema)
+    return docs.select(key, *({"text"} & {*docs.columns})).mapInArrow(run, schema)
 
 
 def remainder(doc_id: Column, n: int) -> Column:
