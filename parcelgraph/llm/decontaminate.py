@@ -7,8 +7,9 @@ operations:
 
 1. Windows.  A similar window shares a shingle with the item, even one of the few
    with the least hashes whose counts make up just over ``100 - PERCENT`` percent
-   of the item; those few are looked up in all documents, and each meeting place
-   lays the item's window over the document.
+   of the item; those few are looked up in all documents, and every item-sized
+   window that holds a meeting place is a candidate, wherever the item has the
+   shingle.  Overlapping ranges of starts are merged before windows are made.
 2. Each window gets a 64-bit SimHash.  Windows and items of one length are
    compared by multi-index hashing: fingerprints within ``RADIUS`` bits agree, in
    one of eight blocks of eight bits, but for ``RADIUS // 8`` bits, so the index
@@ -36,6 +37,8 @@ RADIUS = 23
 BLOCKS, BLOCK_BITS = 8, 8
 #: Rows up to which a table made from the benchmark, or a list of texts, is broadcast; 64 bytes each at most.
 BROADCAST_ROWS = 500_000
+#: Windows that are cut from one piece of a text.
+PIECE = 128
 _SPACE = " \t\n\x0b\x0c\r"
 
 
@@ -81,18 +84,25 @@ def _blocks(df: DataFrame, masks: list[int]) -> DataFrame:
     return df.withColumn("own", F.explode(own)).withColumn("mask", F.explode(F.array(*map(F.lit, masks)))).select("*", F.col("own.block").alias("block"), F.col("own.bits").bitwiseXOR(F.col("mask")).alias("bits")).drop("own", "mask")
 
 
+def _merged(ranges: DataFrame, key: list[str]) -> DataFrame:
+    """Ranges ``low`` to ``high`` of each key, those that overlap or touch made one."""
+    order = Window.partitionBy(*key).orderBy("low", "high")
+    apart = F.col("low") > F.coalesce(F.max("high").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-2)) + 1
+    run = F.sum(F.col("apart").cast("int")).over(order)
+    return ranges.withColumn("apart", apart).withColumn("run", run).groupBy(*key, "run").agg(F.min("low").alias("low"), F.max("high").alias("high")).drop("run")
+
+
 def leaks_by_text(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """text_key, item_id, start, n_words, similarity, hamming: each text's best window for each item that it leaks."""
     items = benchmark.filter("item_id IS NOT NULL").select("item_id", _words(F.col("text")).alias("w")).filter(F.size("w") > 0).distinct()
     items = written(items.select("item_id", "w", F.size("w").alias("m"), F.least(F.size("w"), F.lit(SHINGLE)).alias("k")))
     sizes = [r["k"] for r in items.select("k").distinct().collect()]  # five at most
     shingled = F.coalesce(*(F.when(F.col("k") == k, _shingles(F.col("w"), k)) for k in range(1, SHINGLE + 1)))
-    at = items.select("item_id", "m", "k", F.posexplode(shingled).alias("q", "h"))
-    counted = written(at.groupBy("item_id", "m", "k", "h").agg(F.count("*").alias("c"), F.collect_list("q").alias("places")))
+    counted = written(items.select("item_id", "m", "k", F.explode(shingled).alias("h")).groupBy("item_id", "m", "k", "h").agg(F.count("*").alias("c")))
     before = F.sum("c").over(Window.partitionBy("item_id").orderBy("h").rowsBetween(Window.unboundedPreceding, -1))
     whole = F.sum("c").over(Window.partitionBy("item_id"))
     few = counted.withColumns({"before": F.coalesce(before, F.lit(0)), "whole": whole}).filter(100 * F.col("before") <= (100 - PERCENT) * F.col("whole"))
-    few = few.select("m", "k", "h", F.explode("places").alias("q")).distinct()
+    few = few.select("m", "k", "h").distinct()
     prints = written(_simhash(counted, ["item_id", "m", "k"]))
 
     texts = docs.filter("text IS NOT NULL").select(_text_key(F.col("text")).alias("text_key"), _words(F.col("text")).alias("w"))
@@ -100,29 +110,33 @@ def leaks_by_text(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for k in sizes:
         places = texts.select("text_key", F.size("w").alias("n"), F.posexplode(_shingles(F.col("w"), k)).alias("p", "h"))
         own = places.join(_small(few.filter(F.col("k") == k).drop("k")), "h")
-        start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("n") - F.col("m")))
-        own = own.select("text_key", F.lit(k).alias("k"), "m", start.alias("start"))
+        low, high = F.greatest(F.lit(0), F.col("p") - F.col("m") + k), F.least(F.col("p"), F.greatest(F.lit(0), F.col("n") - F.col("m")))
+        own = own.select("text_key", F.lit(k).alias("k"), "m", low.alias("low"), high.alias("high"))
         met = own if met is None else met.unionByName(own)
     if met is None:
-        met = docs.sparkSession.createDataFrame([], "text_key struct<hash:bigint,crc:bigint>, k int, m int, start int")
-    met = written(met.distinct())
+        met = docs.sparkSession.createDataFrame([], "text_key struct<hash:bigint,crc:bigint>, k int, m int, low int, high int")
+    met = written(_merged(met.distinct(), ["text_key", "k", "m"]))
 
     keys = _small(met.select(F.col("text_key").alias("met_key")).distinct())
     chosen = docs.filter("text IS NOT NULL").withColumn("text_key", _text_key(F.col("text"))).join(keys, F.col("text_key") == F.col("met_key"), "left_semi").select("text_key", "text").dropDuplicates(["text_key"])
     chosen = chosen.select("text_key", _words(F.col("text")).alias("w"))
-    windows = chosen.join(met, "text_key").select("text_key", "k", "m", "start", F.expr("slice(w, start + 1, m)").alias("w"))
-    window = ["text_key", "k", "m", "start"]
-    shingled = F.coalesce(*(F.when(F.col("k") == k, _shingles(F.col("w"), k)) for k in range(1, SHINGLE + 1)))
-    parts = written(windows.select(*window, F.explode(shingled).alias("h")).groupBy(*window, "h").agg(F.count("*").alias("c")))
-    marked = _simhash(parts, window)
+    piece = ["text_key", "k", "m", "at"]
+    pieces = chosen.join(met.select("text_key", "k", "m", "high", F.explode(F.sequence("low", "high", F.lit(PIECE))).alias("at")), "text_key")
+    pieces = pieces.withColumn("more", F.least(F.col("high") - F.col("at"), F.lit(PIECE - 1))).select(*piece, "more", F.expr("slice(w, at + 1, more + m)").alias("w"))
+    pieces = written(pieces.select(*piece, "more", shingled.alias("s")).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *piece))
+    window = [*piece, "start"]
+    own = F.explode(F.expr("slice(s, start - at + 1, m - k + 1)")).alias("h")
+    parts = pieces.withColumn("start", F.explode(F.expr("sequence(at, at + more)"))).select(*window, own)
+    marked = written(_simhash(parts.withColumn("c", F.lit(1)), window))
 
     masks = [sum(1 << b for b in chosen_bits) for n in range(RADIUS // BLOCKS + 1) for chosen_bits in combinations(range(BLOCK_BITS), n)]
     index = _blocks(prints.withColumnRenamed("total", "item_total"), masks).withColumnRenamed("print", "item_print")
     found = _blocks(marked, [0]).join(_small(index), ["m", "k", "block", "bits"])
     hamming = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))
     found = found.withColumn("hamming", hamming).filter(F.col("hamming") <= RADIUS).select(*window, "item_id", "total", "item_total", "hamming").distinct()
-    both = found.join(parts, window).join(_small(counted.select("item_id", "h", F.col("c").alias("item_c"))), ["item_id", "h"])
-    both = both.groupBy(*window, "item_id", "total", "item_total", "hamming").agg(F.sum(F.least("c", "item_c")).alias("inter"))
+    pair = [*window, "item_id", "total", "item_total", "hamming"]
+    both = found.join(pieces, piece).select(*pair, own).join(_small(counted.select("item_id", "h", F.col("c").alias("item_c"))), ["item_id", "h"])
+    both = both.groupBy(*pair, "h", "item_c").agg(F.count("*").alias("c")).groupBy(*pair).agg(F.sum(F.least("c", "item_c")).alias("inter"))
     union = F.col("total") + F.col("item_total") - F.col("inter")
     both = both.filter(100 * F.col("inter") >= PERCENT * union).withColumn("similarity", F.col("inter") / union)
     best = F.max_by(F.struct("start", F.col("m").alias("n_words"), "similarity", "hamming"), F.struct("similarity", -F.col("start")))

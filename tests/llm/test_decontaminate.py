@@ -49,6 +49,19 @@ def test_planted_passages_against_brute_force(spark):
     assert clean == sorted(repr(i) for i, _ in docs if not any(i == d for d, _ in expected))
 
 
+def test_moved_parts_against_brute_force(spark):
+    items = [(1, passage(700, 60)), (2, passage(701, 60)), (3, passage(702, 300))]
+    docs = []
+    for i, (item_id, cut) in enumerate([(1, 30), (2, 20), (3, 100), (1, 0)]):
+        w = dict(items)[item_id].split()
+        docs.append((i, " ".join([passage(710 + i, 200), *w[cut:], *w[:cut], passage(720 + i, 90)])))
+    rows = [(i, t, "en", "a", None) for i, t in docs]
+    got = decontaminate.leaks(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()
+    expected = brute(docs, items)
+    assert set(expected) == {(0, 1), (1, 2), (2, 3), (3, 1)}
+    assert {(r["doc_id"], r["item_id"]): round(r["similarity"], 9) for r in got} == {k: round(v, 9) for k, v in expected.items()}
+
+
 def test_empty_tables(spark, empty, awkward):
     none = spark.createDataFrame([], "item_id long, text string")
     some = spark.createDataFrame([(1, passage(2, 120))], "item_id long, text string")
