@@ -93,17 +93,18 @@ def _merged(ranges: DataFrame, key: list[str]) -> DataFrame:
 
 
 def leaks_by_text(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """text_key, item_id, start, n_words, similarity, hamming: each text's best window for each item that it leaks."""
-    items = benchmark.filter("item_id IS NOT NULL").select("item_id", _words(F.col("text")).alias("w")).filter(F.size("w") > 0).distinct()
-    items = written(items.select("item_id", "w", F.size("w").alias("m"), F.least(F.size("w"), F.lit(SHINGLE)).alias("k")))
+    """text_key, item_id, start, n_words, similarity, hamming: each text's best window for each item (an id with a text) that it leaks."""
+    named = benchmark.select("item_id", _words(F.col("text")).alias("w")).filter(F.size("w") > 0).distinct()
+    named = written(named.select("item_id", "w", F.size("w").alias("m"), F.least(F.size("w"), F.lit(SHINGLE)).alias("k"), F.struct(F.xxhash64("w").alias("hash"), F.size("w").alias("m")).alias("item")))
+    items = named.select("item", "w", "m", "k").dropDuplicates(["item"])  # a text is one item, whatever its ids
     sizes = [r["k"] for r in items.select("k").distinct().collect()]  # five at most
     shingled = F.coalesce(*(F.when(F.col("k") == k, _shingles(F.col("w"), k)) for k in range(1, SHINGLE + 1)))
-    counted = written(items.select("item_id", "m", "k", F.explode(shingled).alias("h")).groupBy("item_id", "m", "k", "h").agg(F.count("*").alias("c")))
-    before = F.sum("c").over(Window.partitionBy("item_id").orderBy("h").rowsBetween(Window.unboundedPreceding, -1))
-    whole = F.sum("c").over(Window.partitionBy("item_id"))
+    counted = written(items.select("item", "m", "k", F.explode(shingled).alias("h")).groupBy("item", "m", "k", "h").agg(F.count("*").alias("c")))
+    before = F.sum("c").over(Window.partitionBy("item").orderBy("h").rowsBetween(Window.unboundedPreceding, -1))
+    whole = F.sum("c").over(Window.partitionBy("item"))
     few = counted.withColumns({"before": F.coalesce(before, F.lit(0)), "whole": whole}).filter(100 * F.col("before") <= (100 - PERCENT) * F.col("whole"))
     few = few.select("m", "k", "h").distinct()
-    prints = written(_simhash(counted, ["item_id", "m", "k"]))
+    prints = written(_simhash(counted, ["item", "m", "k"]))
 
     texts = docs.filter("text IS NOT NULL").select(_text_key(F.col("text")).alias("text_key"), _words(F.col("text")).alias("w"))
     met = None
@@ -133,14 +134,15 @@ def leaks_by_text(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     index = _blocks(prints.withColumnRenamed("total", "item_total"), masks).withColumnRenamed("print", "item_print")
     found = _blocks(marked, [0]).join(_small(index), ["m", "k", "block", "bits"])
     hamming = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))
-    found = found.withColumn("hamming", hamming).filter(F.col("hamming") <= RADIUS).select(*window, "item_id", "total", "item_total", "hamming").distinct()
-    pair = [*window, "item_id", "total", "item_total", "hamming"]
-    both = found.join(pieces, piece).select(*pair, own).join(_small(counted.select("item_id", "h", F.col("c").alias("item_c"))), ["item_id", "h"])
+    found = found.withColumn("hamming", hamming).filter(F.col("hamming") <= RADIUS).select(*window, "item", "total", "item_total", "hamming").distinct()
+    pair = [*window, "item", "total", "item_total", "hamming"]
+    both = found.join(pieces, piece).select(*pair, own).join(_small(counted.select("item", "h", F.col("c").alias("item_c"))), ["item", "h"])
     both = both.groupBy(*pair, "h", "item_c").agg(F.count("*").alias("c")).groupBy(*pair).agg(F.sum(F.least("c", "item_c")).alias("inter"))
     union = F.col("total") + F.col("item_total") - F.col("inter")
     both = both.filter(100 * F.col("inter") >= PERCENT * union).withColumn("similarity", F.col("inter") / union)
     best = F.max_by(F.struct("start", F.col("m").alias("n_words"), "similarity", "hamming"), F.struct("similarity", -F.col("start")))
-    return both.groupBy("text_key", "item_id").agg(best.alias("best")).select("text_key", "item_id", "best.*")
+    both = both.groupBy("text_key", "item").agg(best.alias("best"))
+    return both.join(_small(named.select("item_id", "item")), "item").select("text_key", "item_id", "best.*")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -149,8 +151,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Words are split at ASCII white space and lower-cased.  Null, empty and wordless
     texts and items match nothing; an item of fewer than five words is its only
     shingle; a document shorter than an item is one window.  Copies of a text are
-    worked on once, and each gets its rows; items with one text are told apart by
-    their ids.
+    worked on once, and each gets its rows.  An item is an id with a text: items with
+    one text are told apart by their ids, different texts under one id are items of
+    their own with a row each, and a null id is an id like any other.
     """
     found = written(leaks_by_text(docs, benchmark))
     named = docs.filter("text IS NOT NULL").select("doc_id", _text_key(F.col("text")).alias("text_key"))

@@ -62,6 +62,16 @@ def test_moved_parts_against_brute_force(spark):
     assert {(r["doc_id"], r["item_id"]): round(r["similarity"], 9) for r in got} == {k: round(v, 9) for k, v in expected.items()}
 
 
+def test_repeated_and_null_item_ids(spark):
+    items = [(1, passage(800, 40)), (1, passage(801, 40)), (2, passage(802, 30)), (2, passage(803, 60)), (None, passage(804, 40)), (1, passage(800, 40).upper())]
+    texts = [f"{passage(810 + i, 50)} {t} end" for i, (_, t) in enumerate(items[:5])] + [passage(820, 90)]
+    docs = spark.createDataFrame([(i, t, "en", "a", None) for i, t in enumerate(texts)], DOCS)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.leaks(docs, bench).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["n_words"], r["similarity"]) for r in got) == [(0, 1, 40, 1.0), (1, 1, 40, 1.0), (2, 2, 30, 1.0), (3, 2, 60, 1.0), (4, None, 40, 1.0)]
+    assert [r["doc_id"] for r in decontaminate.without_leaks(docs, bench).collect()] == [5]
+
+
 def test_empty_tables(spark, empty, awkward):
     none = spark.createDataFrame([], "item_id long, text string")
     some = spark.createDataFrame([(1, passage(2, 120))], "item_id long, text string")
