@@ -36,8 +36,8 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a document is there once for each time that the mix takes it."""
-    return mixing.mixed_documents(docs)
+    """The mix: a document is there as a whole, once for each time that the mix takes it."""
+    return mixing.mixed_documents(docs, whole=True)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,16 +68,19 @@ def targets(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     )
 
 
-def _share_of(target: Column, start: Column, size: Column) -> Column:
-    """Words of ``[start, start + size)`` below ``target``."""
+def _share_of(target: Column, start: Column, size: Column, whole: bool) -> Column:
+    """Words of ``[start, start + size)`` below ``target``; with ``whole`` all of them or none, whichever total is nearer to the target."""
+    if whole:
+        return F.when(2 * (target - start) >= size, size).otherwise(F.lit(0))
     return F.greatest(F.lit(0), F.least(size, target - start))
 
 
-def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, keep: bool = False) -> DataFrame:
+def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, keep: bool = False, whole: bool = False) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target, start (words of its source's stream before it), chunk and ordinal (a key of the row), and words taken in each epoch.
 
     The last document in front of a target is taken in part, so a source's taken
-    words equal its target rounded.
+    words equal its target rounded.  With ``whole`` it is taken or left out as a
+    whole, so the taken words differ from the target by half of it at most.
     """
     base = sized(docs, keep) if keep else written(sized(docs))
     base = base.withColumn("chunk", F.pmod(F.shiftrightunsigned("order", 40), F.lit(CHUNKS)))
@@ -90,8 +93,8 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = S
     goal = targets(base, weights, share).withColumnRenamed("source", "goal_source")
     placed = placed.join(chunks, F.col("source").eqNullSafe(F.col("chunk_source")) & (F.col("chunk") == F.col("chunk_id")), "left")
     placed = placed.join(goal, F.col("source").eqNullSafe(F.col("goal_source")), "left")
-    start, whole = F.col("chunk_start") + F.col("inner"), F.round("target").cast("long")
-    epochs = F.array(*(_share_of(whole, F.col("start") + F.col("source_size") * e, F.col("size")) for e in range(EPOCHS)))
+    start, goal_words = F.col("chunk_start") + F.col("inner"), F.round("target").cast("long")
+    epochs = F.array(*(_share_of(goal_words, F.col("start") + F.col("source_size") * e, F.col("size"), whole) for e in range(EPOCHS)))
     columns = ["doc_id", "source", "size", "source_size", "target", "chunk", "ordinal", "start", "taken", *["row"] * keep]
     return placed.withColumn("start", start).withColumn("taken", epochs).select(*columns)
 
@@ -119,13 +122,13 @@ def draws(planned: DataFrame, block_count: int = BLOCKS) -> DataFrame:
     return one.withColumn("block", F.floor(F.col("start") / block_words))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, shards: int = SHARDS, whole: bool = False) -> tuple[DataFrame, DataFrame]:
     """(plan, draws with their shard and place in it).
 
     Rows of ``docs`` with null or empty text have size 0 and are never drawn;
     null is a source like any other; repeated rows are documents of their own.
     """
-    planned = written(plan(docs, weights, share))
+    planned = written(plan(docs, weights, share, whole=whole))
     drawn = draws(planned)
     leaf = blocks(drawn, shards)
     leaf = leaf.select(*(F.col(c).alias(f"leaf_{c}") for c in ("source", "epoch", "block")), "shard")
@@ -135,12 +138,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     return planned, drawn
 
 
-def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, whole: bool = False) -> DataFrame:
     """The mix itself: the columns of ``docs``, a row for each time that a document is taken.
 
-    A document taken in part keeps its first words, up to the end of the last one taken.
+    A document taken in part keeps its first words, up to the end of the last one
+    taken; with ``whole`` none is.
     """
-    drawn = plan(docs, weights, share, keep=True).select("row", "size", F.explode("taken").alias("words")).filter("words > 0")
+    drawn = plan(docs, weights, share, keep=True, whole=whole).select("row", "size", F.explode("taken").alias("words")).filter("words > 0")
     pieces = F.regexp_extract_all("row.text", F.lit(rf"([\x20\x09-\x0D]*{WORD})"), F.lit(1))
     text = F.when(F.col("words") >= F.col("size"), F.col("row.text")).otherwise(F.concat_ws("", F.slice(pieces, 1, F.col("words").cast("int"))))
     return drawn.select(*(text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))

@@ -23,7 +23,7 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.per_document(*mixing.mix(table(spark, sf_dir, "documents")))
+    return mixing.per_document(*mixing.mix(table(spark, sf_dir, "documents"), whole=True))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from parcelgraph.llm import mixing
+import corpus_pipeline
+from parcelgraph.llm import mixing, registry
 from tests.llm.conftest import DOCS, awkward_rows
 
 
@@ -68,3 +69,18 @@ def test_mixed_documents_hold_the_taken_words(awkward):
         taken[r["source"]] += sum(r["taken"])
     assert words == +taken
     assert mixing.mixed_documents(awkward).columns == awkward.columns
+
+
+def test_queries_take_whole_documents(spark, awkward, tmp_path):
+    awkward.write.parquet(f"{tmp_path}/documents.parquet")
+    texts, words, longest = {r[1] for r in awkward_rows()}, Counter(), Counter()
+    for r in awkward_rows():
+        longest[r[3]] = max(longest[r[3]], len((r[1] or "").encode().split()))
+    got = corpus_pipeline.mixed(spark, awkward, str(tmp_path)).collect()
+    for r in got:
+        assert r["text"] in texts
+        words[r["source"]] += len(r["text"].encode().split())
+    target = {r["source"]: r["target"] for r in mixing.plan(awkward).select("source", "target").distinct().collect()}
+    assert all(abs(words[s] - target[s]) <= longest[s] / 2 + 0.5 for s in target)
+    taken = registry.op2_mix_sources(spark, str(tmp_path)).collect()
+    assert all(r["taken"] in (0, r["size"], 2 * r["size"]) for r in taken) and sum(r["taken"] for r in taken) == sum(words.values())
