@@ -30,7 +30,7 @@ def unreachable(entities: DataFrame, found: DataFrame) -> DataFrame:
     return entities.join(found.select("crate_id", "id"), ["crate_id", "id"], "left_anti")
 
 
-def nested_packages(roots: DataFrame, children: DataFrame, max_depth: int = 100) -> DataFrame:
+def nested_packages(roots: DataFrame, children: DataFrame, max_depth: int | None = None) -> DataFrame:
     """package, depth: packages below ``roots`` (package) by ``children`` (parent, child), each with the multiplicity of its paths.
 
     A package is not entered again below itself: cycles end, where shared packages
@@ -38,7 +38,9 @@ def nested_packages(roots: DataFrame, children: DataFrame, max_depth: int = 100)
     """
     level = written(roots.select("package", F.array("package").alias("way")))
     found = level.select("package", F.lit(0).alias("depth"))
-    for depth in range(1, max_depth + 1):
+    depth = 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
         step = level.join(children, F.col("package") == F.col("parent")).filter(~F.array_contains("way", F.col("child")))
         level = written(step.select(F.col("child").alias("package"), F.concat("way", F.array("child")).alias("way")))
         if level.isEmpty():
