@@ -11,8 +11,9 @@ meets in none of them with probability 4e-6, and a pair at 0.3 meets in one with
 0.05.  Documents with equal sets are one node from the start.  The members of a
 band's bucket are compared with the one that meets most others, links are confirmed on the full
 sets, and what remains in other components of a bucket is then compared with the
-bucket's members, so no link between candidates is lost and copies are never
-expanded into pairs.
+bucket's members if the sketches' estimate reaches ``LEAST_ESTIMATE``.  A pair at
+similarity 0.75 falls below it about as rarely as it meets in no band; copies are
+never expanded into pairs.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ COORDINATES = ROWS * BANDS
 #: Bits of each bin that estimate a similarity, and the least estimate at which a pair beside the heads is compared:
 #: at similarity 0.75 the estimate's deviation is 0.024.
 BITS = 8
-LEAST_ESTIMATE = 0.665
+LEAST_ESTIMATE = 0.635
 #: Most candidates whose keys are broadcast to find their texts; 24 bytes each.
 BROADCAST_ROWS = 1_000_000
 

@@ -1,3 +1,5 @@
+from math import comb
+
 import numpy as np
 
 from parcelgraph.llm import minhash
@@ -72,3 +74,14 @@ def test_representatives_keep_one_of_each_group(awkward):
     kept = sorted(r["doc_id"] for r in minhash.representatives(awkward).collect() if r["doc_id"] is not None)
     assert kept == sorted({r[0] for r in brute(awkward_rows()) if r[3] and r[0] is not None})
     assert len(kept) == len(set(kept))
+
+
+def test_estimate_loses_no_more_than_the_banding():
+    """Unequal bits of two sketches at similarity 0.75: a bin differs with 0.25, each of its bits then with 0.5."""
+    one = np.array([0.25 * comb(minhash.BITS, i) / 2**minhash.BITS for i in range(minhash.BITS + 1)])
+    one[0] += 0.75
+    unequal = np.array([1.0])
+    for _ in range(minhash.COORDINATES):
+        unequal = np.convolve(unequal, one)
+    estimate = 1 - 2 * np.arange(len(unequal)) / (minhash.BITS * minhash.COORDINATES)
+    assert unequal[estimate < minhash.LEAST_ESTIMATE].sum() <= (1 - 0.75**minhash.ROWS) ** minhash.BANDS
