@@ -71,7 +71,7 @@ def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
                         sums[lang] = sums.get(lang, 0) + np.bincount(features[own], minlength=FEATURES)
         for lang, total in sums.items():
             at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_pydict({"lang": [lang] * len(at), "feature": pa.array(at, pa.int32()), "n": pa.array(total[at], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at), pa.string()), "feature": pa.array(at, pa.int32()), "n": pa.array(total[at], pa.int64())})
 
     counts = labelled.select("lang", "text").mapInArrow(count, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas()  # at most FEATURES rows a language
     languages = sorted(counts["lang"].unique())

@@ -34,6 +34,15 @@ def test_nothing_learned(awkward):
     assert {r["lang_pred"] for r in got} == {"und"}
 
 
+def test_labels_without_words(spark):
+    """A label whose texts have no words in a partition, beside one that has some."""
+    rows = [(1, " ", "xx", None, None), (2, "\t\n", "xx", None, None), (3, "plain words here", "en", None, None)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(1)
+    got = {r["doc_id"]: r["lang_pred"] for r in languages.identify(docs, docs.select("text", "lang")).collect()}
+    assert got == {1: "und", 2: "und", 3: "en"}
+    assert {r["lang_pred"] for r in languages.identify(docs, docs.filter("lang = 'xx'").select("text", "lang")).collect()} == {"und"}
+
+
 def test_mixed_documents_have_both_languages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     some = docs.filter("n_chars > 800").groupBy("lang").agg(F.min_by("text", "doc_id").alias("text")).orderBy("lang").collect()
