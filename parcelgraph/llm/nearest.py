@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from parcelgraph.llm.shared import small
+
 TOP = 20
 PROJECTIONS = 160
 #: Share of the windows in which a candidate lies.
@@ -36,6 +38,8 @@ CELLS = 128
 #: Queries that are counted together.
 BATCH = 8
 BLOCK_QUERIES = 2_000
+#: Most different dimensions whose numbers of blocks are broadcast; 16 bytes each.
+BROADCAST_DIMENSIONS = 100_000
 SEED = 11
 
 
@@ -119,37 +123,47 @@ def candidates(rows: np.ndarray, queries: np.ndarray, wanted: int) -> list[np.nd
 def nearest(vectors: DataFrame, is_query, top: int = TOP) -> DataFrame:
     """query_id, rank, vec_id, score for the rows for which ``is_query`` holds.
 
-    Vectors that are null, zero, hold null or non-finite components, or have fewer
-    dimensions than the longest, take no part; nor do rows without a vec_id.
+    Vectors that are null, empty, zero, or hold null or non-finite components take
+    no part; nor do rows without a vec_id.  Only vectors of one dimension have an
+    inner product, so a query's candidates are the rows of its own dimension.
     Rows that share a vec_id count once (the least vector).  Ties go to the
-    smaller vec_id; a query with fewer candidates than ``top`` gets them all.
+    smaller vec_id; a query with fewer candidates than ``top`` gets them all.  An
+    empty table gives no rows; other columns are not read.
     """
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = vectors.filter("vec_id IS NOT NULL AND embedding IS NOT NULL").filter(finite & F.exists("embedding", lambda x: x != 0))
     usable = usable.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
-    dim, largest, n, asked = usable.agg(F.max(F.size("embedding")), F.max(norm), F.count("*"), F.count(F.when(is_query, 1))).first()
-    usable = usable.filter(F.size("embedding") == F.lit(dim or 0))
-    blocks, chunks = max(1, -(-n // BLOCK_ROWS)), max(1, -(-asked // BLOCK_QUERIES))
+    usable = usable.withColumns({"dim": F.size("embedding"), "asks": F.coalesce(is_query, F.lit(False))})
+    parts = lambda n, each: F.greatest(F.lit(1), F.ceil(n / each)).cast("int")
+    grids = usable.groupBy("dim").agg(parts(F.count("*"), BLOCK_ROWS).alias("blocks"), parts(F.count_if("asks"), BLOCK_QUERIES).alias("chunks"))
+    usable = usable.join(small(grids, BROADCAST_DIMENSIONS), "dim")
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def search(rows: pa.Table, queries: pa.Table) -> pa.Table:
         out: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if rows.num_rows and queries.num_rows:
+            dim = rows.column("dim")[0].as_py()
             ids, asked_ids = rows.column("vec_id").to_numpy(), queries.column("vec_id").to_numpy()
             own, q = _matrix(rows.column("embedding"), dim), _matrix(queries.column("embedding"), dim)
-            wider = np.sqrt(np.maximum(largest - (own * own).sum(axis=1), 0.0))
+            # Scaled, so that no square overflows; a row or query may be scaled without changing which rows are nearest.
+            scaled, asked = own / np.abs(own).max(), q / np.abs(q).max(axis=1, keepdims=True)
+            squares = (scaled * scaled).sum(axis=1)
+            scaled = np.column_stack([scaled, np.sqrt(np.maximum(squares.max() - squares, 0.0))])
+            asked = np.column_stack([asked * (np.sqrt(squares.max()) / np.linalg.norm(asked, axis=1))[:, None], np.zeros(len(q))])
             wanted = PER_WANTED * top + int(CANDIDATES * len(own))
-            for i, found in enumerate(candidates(np.column_stack([own, wider]), np.column_stack([q, np.zeros(len(q))]), wanted)):
+            for i, found in enumerate(candidates(scaled, asked, wanted)):
                 found = found[ids[found] != asked_ids[i]]
                 score = (own[found] * q[i]).sum(axis=1)
                 best = np.lexsort((ids[found], -score))[:top]
                 out.append((np.full(len(best), asked_ids[i]), ids[found][best], score[best]))
         return pa.Table.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    part = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    rows = usable.withColumns({"block": F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"), "chunk": part(chunks)})
-    queries = usable.filter(is_query).withColumn("chunk", F.pmod(F.xxhash64(F.lit("query"), "vec_id"), F.lit(chunks)).cast("int")).withColumn("block", part(blocks))
-    found = rows.groupBy("block", "chunk").cogroup(queries.groupBy("block", "chunk")).applyInArrow(search, "query_id long, vec_id long, score double")
+    place = lambda n, *of: F.pmod(F.xxhash64(*of), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rows = usable.select("vec_id", "embedding", "dim", place("blocks", "vec_id").alias("block"), every("chunks").alias("chunk"))
+    again = [F.col(c).alias(c) for c in ("vec_id", "embedding", "dim")]  # columns of their own, since both sides come from one table
+    queries = usable.filter("asks").select(*again, place("chunks", F.lit("query"), "vec_id").alias("chunk"), every("blocks").alias("block"))
+    key = ["dim", "block", "chunk"]
+    found = rows.groupBy(*key).cogroup(queries.groupBy(*key)).applyInArrow(search, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

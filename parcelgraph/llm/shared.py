@@ -16,9 +16,11 @@ GAP = r"[\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; a temporary one where that is unset, as in tests."""
+    """A new folder under ``spark.checkpoint.dir``; where that is unset, a temporary one in local mode, as in tests, and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="parcelgraph-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -48,6 +50,11 @@ def parts(spark: SparkSession, size: int, each: int) -> int:
     return max(-(-size // each), int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast if it has at most ``rows`` rows, by a count; a shuffled join otherwise."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def n_words(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -12,12 +12,11 @@ def brute(rows, top):
         if i is None or v is None or any(x is None or not np.isfinite(x) for x in v) or not any(v):
             continue
         good[i] = min(good.get(i, v), v)
-    dim = max((len(v) for v in good.values()), default=0)
-    good = {i: np.array(v, np.float32).astype(float) for i, v in good.items() if len(v) == dim}
+    good = {i: np.array(v, np.float32).astype(float) for i, v in good.items()}
     out = {}
     for q in good:
         if q % 20 == 0:
-            best = sorted(((-(good[q] * v).sum(), i) for i, v in good.items() if i != q))[:top]
+            best = sorted(((-(good[q] * v).sum(), i) for i, v in good.items() if i != q and len(v) == len(good[q])))[:top]
             out[q] = [(i, -s) for s, i in best]
     return out
 
@@ -34,6 +33,21 @@ def test_awkward_vectors_all_candidates(spark):
     assert search(spark, rows) == brute(rows, 20)
 
 
+def test_a_query_meets_the_rows_of_its_own_dimension(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.standard_normal(2 + i % 3)], None, None) for i in range(120)] + [(1001, [1.0] * 9, None, None)]
+    got, expected = search(spark, rows), brute(rows, 20)
+    assert {q: [i for i, _ in x] for q, x in got.items()} == {q: [i for i, _ in x] for q, x in expected.items()}
+    assert set(got) == {0, 20, 40, 60, 80, 100}
+
+
+def test_large_components(spark):
+    rows = [(i, [1e200 * (i + 1), 1.0], None, None) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score double, label int")
+    got = nearest.nearest(df, F.col("vec_id") % 20 == 0, 5).collect()
+    assert len(got) == 10 and {r["query_id"] for r in got} == {0, 20}
+
+
 def test_recall(spark):
     rng = np.random.default_rng(3)
     v = rng.standard_normal((3000, 32)) * rng.uniform(0.5, 2, (3000, 1))
