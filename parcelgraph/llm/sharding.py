@@ -5,7 +5,7 @@ the weight being a row's bytes, until a leaf is one shard.  All nodes of a level
 are split together.  A median is found by two histograms: one over the node's
 range of the dimension, one over a hash of the rows in the bin where the median
 lies, so ties (a source with a third of all rows) are divided too.  Histograms
-are aggregated before they are shuffled and hold at most ``BINS`` rows a node;
+are aggregated before they are shuffled and hold at most ``FINE_BINS`` rows a node;
 only a level's cuts, fewer than there are shards, come to the driver.
 """
 
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from parcelgraph.llm.shared import written
 
 SHARDS = 24
-#: Bins of a histogram.
-BINS = 4096
+#: Bins of a histogram over a dimension, and of one over the hash of the rows in one of those bins.
+BINS, FINE_BINS = 4096, 1 << 16
 #: Parts of a shard for numbering its rows in two levels.
 SLOT_PARTS = 256
 DIMENSIONS = ("by_id", "by_source", "by_lang")
@@ -52,7 +52,7 @@ def _with_bins(rows: DataFrame, splits: list[tuple], how: str = "inner") -> Data
     value = F.element_at(F.array(*DIMENSIONS), F.col("dimension") + 1)
     width = F.when(F.col("high") > F.col("low"), F.col("high") - F.col("low")).otherwise(1.0)
     coarse = F.least(F.lit(BINS - 1), F.floor((value - F.col("low")) / width * BINS)).cast("int")
-    fine = F.floor(F.col("tie") / float(1 << 63) * (BINS * BINS)).cast("int")
+    fine = F.floor(F.col("tie") / float(1 << 63) * FINE_BINS).cast("int")
     return rows.join(_nodes(rows.sparkSession, "node, dimension, low, high, goal", splits), "node", how).withColumns({"coarse": coarse, "fine": fine})
 
 
@@ -69,7 +69,7 @@ def kd_tree(rows: DataFrame, shards: int = SHARDS) -> tuple[DataFrame, dict[int,
     """The rows of ``measured`` with the ``node`` that is their leaf, and each leaf's shard, 0 to ``shards - 1``.
 
     A node with ``k`` shards gives ``k // 2`` of them, and that part of its bytes,
-    to its left child.  A fine bin is about ``1 / BINS**2`` of a coarse one.
+    to its left child.  A fine bin is about ``1 / FINE_BINS`` of a coarse one.
     """
     leaves = {1: shards}
     rows = rows.withColumn("node", F.lit(1))
