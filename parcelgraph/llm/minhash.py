@@ -11,9 +11,10 @@ meets in none of them with probability 4e-6, and a pair at 0.3 meets in one with
 0.05.  Documents with equal sets are one node from the start.  The members of a
 band's bucket are compared with the one that meets most others, links are confirmed on the full
 sets, and what remains in other components of a bucket is then compared with the
-bucket's members if the sketches' estimate reaches ``LEAST_ESTIMATE``.  A pair at
-similarity 0.75 falls below it about as rarely as it meets in no band; copies are
-never expanded into pairs.
+bucket's members if the sketches' estimate reaches ``LEAST_ESTIMATE``, six
+deviations below a link.  A pair at similarity 0.75 falls short of that with
+probability 2e-9, some thousand times more rarely than it meets in no band; copies
+are never expanded into pairs.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ COORDINATES = ROWS * BANDS
 #: Bits of each bin that estimate a similarity, and the least estimate at which a pair beside the heads is compared:
 #: at similarity 0.75 the estimate's deviation is 0.024.
 BITS = 8
-LEAST_ESTIMATE = 0.635
+LEAST_ESTIMATE = 0.6
 #: Most candidates whose keys are broadcast to find their texts; 24 bytes each.
 BROADCAST_ROWS = 1_000_000
 
@@ -215,8 +216,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, one of those that share a doc_id; of rows without one, one of each text."""
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_key").alias("_kept_text")).distinct()
-    rows = docs.withColumn("_text_key", F.xxhash64("text"))
-    rows = rows.join(kept, (F.col("_text_key") == F.col("_kept_text")) & F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
-    return rows.withColumn("_text_key", F.when(F.col("doc_id").isNull(), F.col("_text_key"))).dropDuplicates(["doc_id", "_text_key"]).select(*docs.columns)
+    """The rows of ``docs`` that are kept, one of those that share a doc_id; of rows without one, one of each text.
+
+    The choice is made on keys alone; texts are shuffled once, to meet the keys
+    that stay.  Other columns may have any names.
+    """
+    keys = lambda doc_id, text_key: [F.coalesce(doc_id, F.lit(0)).alias("id"), doc_id.isNull().alias("no_id"), text_key.alias("text_key")]
+    kept = near_duplicates(docs).filter("kept").select(*keys(F.col("doc_id"), F.col("text_key")))
+    kept = kept.groupBy("id", "no_id", F.when(F.col("no_id"), F.col("text_key")).alias("own")).agg(F.min("text_key").alias("text_key")).drop("own")
+    rows = docs.select(F.struct("*").alias("row"), *keys(F.col("doc_id"), F.xxhash64("text")))
+    return rows.join(kept, ["id", "no_id", "text_key"]).dropDuplicates(["id", "no_id", "text_key"]).select("row.*")

@@ -76,6 +76,16 @@ def test_representatives_keep_one_of_each_group(awkward):
     assert len(kept) == len(set(kept))
 
 
+def test_representatives_with_clashing_columns_and_repeated_ids(spark):
+    a, b = passage(7, 60), passage(8, 60)
+    rows = [(1, a, "x", 1, True), (1, a, "y", 2, True), (1, b, "z", 3, False), (None, b, "z", 4, None), (None, None, "z", 5, None), (None, None, "w", 6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, text_key string, id long, no_id boolean")
+    got = minhash.representatives(docs)
+    assert got.columns == docs.columns
+    found = [(r["doc_id"], r["text"]) for r in got.collect()]
+    assert len(found) == 2 and sorted(found, key=repr)[0][0] == 1 and (None, None) in found
+
+
 def test_estimate_loses_no_more_than_the_banding():
     """Unequal bits of two sketches at similarity 0.75: a bin differs with 0.25, each of its bits then with 0.5."""
     one = np.array([0.25 * comb(minhash.BITS, i) / 2**minhash.BITS for i in range(minhash.BITS + 1)])
