@@ -1,16 +1,21 @@
 """Mixing sources to target weights.
 
 Every source's documents form a stream in hashed order, repeated once.  The
-stream is cut into blocks of about ``block_words`` words, the mix takes the
-blocks in front of each source's target, and a random permutation of all taken
-blocks deals them to the output shards.  Halving that permutation again and
-again gives a splitting tree: at each node the left child gets exactly half of
-the node's blocks, so its counts by source are a multivariate hypergeometric
-draw from the node's quotas, and blocks of different shards are disjoint.
-
-All of it is DataFrame operations.  Positions come from prefix sums in two
-levels (chunks of a source, then rows of a chunk), so that no task holds a
-whole source; the table of chunks grows with the number of sources only.
+stream is cut into blocks of about ``block_words`` words, and the mix takes the
+blocks in front of each source's target.  A splitting tree deals them to the
+output shards: its root has each source's number of taken blocks as quotas, and at
+each node the left child draws its share of the node's blocks without
+replacement, so its quotas by source are a multivariate hypergeometric draw and
+the right child has the rest.  The leaves' quotas cut each source's permuted
+blocks into disjoint runs, one for each shard, and a shard's documents are then
+shuffled locally.
+
+All of it is DataFrame operations.  A draw takes the least of random keys, one for
+each block that a node still has, so no node's quotas are ever gathered.
+Positions come from prefix sums in two levels (chunks of a source, then rows of a
+chunk; parts of a node, then blocks of a part), so that no task holds a whole
+source or node.  The tree's tables have about ``BLOCKS`` rows, at most two more
+for each source, whatever the corpus.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelgraph.llm.shared import WORD, n_words, written
+from parcelgraph.llm.shared import WORD, n_words, small, written
 
 #: Weights by the rank of a source, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -26,19 +31,31 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 #: Most times that a document may be taken.
 EPOCHS = 2
-#: Output shards; a power of two, since the tree halves.
+#: Output shards.
 SHARDS = 16
-#: Chunks of a source's stream for the two-level prefix sums.
-CHUNKS = 4096
+#: Least number of chunks of a source's stream for the two-level prefix sums, and rows of a chunk where that gives more.
+CHUNKS, CHUNK_ROWS = 4096, 20_000
 #: Blocks of the whole mix, as far as sizes of documents allow.
 BLOCKS = 1 << 16
+#: Parts of a node or of a source's blocks for ranks in two levels.
+PARTS = 256
+#: Bytes of text in a task that shuffles a part of a shard.
+PART_BYTES = 16_000_000
+#: Rows up to which the table of blocks (32 bytes each) is broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def _key_of(source: Column) -> Column:
+    """A source as text that is never null."""
+    return F.when(source.isNull(), "-").otherwise(F.concat(F.lit("="), source.cast("string")))
 
 
 def sized(docs: DataFrame, keep: bool = False) -> DataFrame:
-    """doc_id, source, size in words and a hashed order that reruns share; with ``keep`` also the whole row as ``row``."""
+    """doc_id, source, size in words, bytes, and a hashed order that reruns share; with ``keep`` also the whole row as ``row``."""
     order = F.xxhash64(F.lit("mix"), "doc_id", "source", F.xxhash64("text"))
-    whole = [F.struct(*docs.columns).alias("row")] if keep else []
-    return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), order.alias("order"), *whole)
+    whole = [F.struct("*").alias("row")] if keep else []
+    size_of = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), size_of.alias("bytes"), order.alias("order"), *whole)
 
 
 def targets(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
@@ -75,76 +92,150 @@ def _share_of(target: Column, start: Column, size: Column, whole: bool) -> Colum
     return F.greatest(F.lit(0), F.least(size, target - start))
 
 
-def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, keep: bool = False, whole: bool = False) -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target, start (words of its source's stream before it), chunk and ordinal (a key of the row), and words taken in each epoch.
+def _chunks(keys: DataFrame, weights: tuple[float, ...], share: float) -> tuple[int, DataFrame]:
+    """How many chunks a source's stream has, and per (source_key, chunk): its first place, the source's size and target."""
+    n = max(CHUNKS, keys.count() // CHUNK_ROWS)
+    sums = keys.groupBy(_key_of(F.col("source")).alias("source_key"), _chunk(n).alias("chunk")).agg(F.sum("size").alias("words"))
+    before = Window.partitionBy("source_key").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("source_key", "chunk", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("chunk_start"))
+    goal = targets(keys, weights, share).select(_key_of(F.col("source")).alias("source_key"), "source_size", "target")
+    return n, written(starts.join(goal, "source_key"))
+
+
+def _chunk(n: int) -> Column:
+    return F.pmod(F.shiftrightunsigned("order", 24), F.lit(n)).cast("int")
+
+
+def _placed(rows: DataFrame, n: int, chunks: DataFrame, whole: bool) -> DataFrame:
+    """Adds source_key, source_size, target, chunk and ordinal (a key of the row), start and taken to rows of ``sized``.
+
+    The rows are shuffled once, by source and chunk.
+    """
+    rows = rows.withColumns({"source_key": _key_of(F.col("source")), "chunk": _chunk(n)})
+    in_chunk = Window.partitionBy("source_key", "chunk").orderBy("order", "doc_id", "size")
+    inner = F.sum("size").over(in_chunk.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    rows = rows.withColumns({"ordinal": F.row_number().over(in_chunk), "inner": inner}).join(chunks, ["source_key", "chunk"])
+    goal = F.round("target").cast("long")
+    rows = rows.withColumn("start", F.col("chunk_start") + F.col("inner")).drop("inner", "chunk_start")
+    return rows.withColumn("taken", F.array(*(_share_of(goal, F.col("start") + F.col("source_size") * e, F.col("size"), whole) for e in range(EPOCHS))))
+
+
+def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, whole: bool = False) -> DataFrame:
+    """Per document: doc_id, source, size, bytes, source_size, target, start (words of its source's stream before it), source_key, chunk and ordinal (a key of the row), and words taken in each epoch.
 
     The last document in front of a target is taken in part, so a source's taken
     words equal its target rounded.  With ``whole`` it is taken or left out as a
     whole, so the taken words differ from the target by half of it at most.
     """
-    base = sized(docs, keep) if keep else written(sized(docs))
-    base = base.withColumn("chunk", F.pmod(F.shiftrightunsigned("order", 40), F.lit(CHUNKS)))
-    chunks = base.groupBy("source", "chunk").agg(F.sum("size").alias("words"))
-    by_chunk = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = chunks.select(F.col("source").alias("chunk_source"), F.col("chunk").alias("chunk_id"), F.coalesce(F.sum("words").over(by_chunk), F.lit(0)).alias("chunk_start"))
-    in_chunk = Window.partitionBy("source", "chunk").orderBy("order", "doc_id", "size")
-    inner = F.sum("size").over(in_chunk.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    placed = base.withColumns({"ordinal": F.row_number().over(in_chunk), "inner": inner})
-    goal = targets(base, weights, share).withColumnRenamed("source", "goal_source")
-    placed = placed.join(chunks, F.col("source").eqNullSafe(F.col("chunk_source")) & (F.col("chunk") == F.col("chunk_id")), "left")
-    placed = placed.join(goal, F.col("source").eqNullSafe(F.col("goal_source")), "left")
-    start, goal_words = F.col("chunk_start") + F.col("inner"), F.round("target").cast("long")
-    epochs = F.array(*(_share_of(goal_words, F.col("start") + F.col("source_size") * e, F.col("size"), whole) for e in range(EPOCHS)))
-    columns = ["doc_id", "source", "size", "source_size", "target", "chunk", "ordinal", "start", "taken", *["row"] * keep]
-    return placed.withColumn("start", start).withColumn("taken", epochs).select(*columns)
+    keys = written(sized(docs))
+    return _placed(keys, *_chunks(keys, weights, share), whole).drop("order")
 
 
-def blocks(draws: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """The splitting tree over taken blocks: source, epoch, block, shard (a leaf), rank in the permutation.
+def _draws(planned: DataFrame, block_words: int) -> DataFrame:
+    one = planned.select("*", F.posexplode("taken").alias("epoch", "words")).filter("words > 0")
+    return one.withColumn("block", F.floor(F.col("start") / block_words))
 
-    The permutation's rank again comes from prefix sums in two levels.
-    """
-    found = draws.groupBy("source", "epoch", "block").agg(F.sum("words").alias("words"))
-    found = found.withColumn("key", F.xxhash64(F.lit("block"), "source", "epoch", "block")).withColumn("part", F.pmod(F.shiftrightunsigned("key", 40), F.lit(256)))
-    sums = found.groupBy("part").agg(F.count("*").alias("n"))
-    total = Window.partitionBy()
-    sums = sums.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("n").over(total).alias("n_blocks"))
-    inner = F.row_number().over(Window.partitionBy("part").orderBy("key", "source", "epoch", "block")) - 1
-    rank = F.col("before") + F.col("inner")
-    return found.withColumn("inner", inner).join(sums, "part").select("source", "epoch", "block", rank.alias("rank"), F.floor(rank * shards / F.col("n_blocks")).cast("int").alias("shard"))
+
+def _block_words(planned: DataFrame, block_count: int) -> int:
+    total = planned.agg(F.sum(F.aggregate("taken", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    return max(1, total // block_count)
 
 
 def draws(planned: DataFrame, block_count: int = BLOCKS) -> DataFrame:
     """A row per document and epoch in which the mix takes words of it, with its block; a document belongs to the block in which it starts."""
-    total = planned.agg(F.sum(F.aggregate("taken", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-    block_words = max(1, total // block_count)
-    one = planned.select("*", F.posexplode("taken").alias("epoch", "words")).filter("words > 0")
-    return one.withColumn("block", F.floor(F.col("start") / block_words))
+    return _draws(planned, _block_words(planned, block_count))
+
+
+def _ranked(rows: DataFrame, group: str, key: Column, *ties: str) -> DataFrame:
+    """Adds ``rank``, from 0 by ``key`` and then ``ties`` among the rows of one ``group``, and ``total``, how many those are."""
+    rows = rows.withColumn("draw", key).withColumn("part", F.pmod(F.shiftrightunsigned("draw", 40), F.lit(PARTS)).cast("int"))
+    sums = rows.groupBy(group, "part").agg(F.count("*").alias("n"))
+    all_parts = Window.partitionBy(group)
+    sums = sums.select(group, "part", F.coalesce(F.sum("n").over(all_parts.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("n").over(all_parts).alias("total"))
+    inner = F.row_number().over(Window.partitionBy(group, "part").orderBy("draw", *ties)) - 1
+    return rows.withColumn("inner", inner).join(sums, [group, "part"]).withColumn("rank", F.col("before") + F.col("inner")).drop("draw", "part", "inner", "before")
+
+
+def splitting_tree(quotas: DataFrame, shards: int = SHARDS) -> list[tuple[dict[int, int], DataFrame]]:
+    """The levels of the tree from ``quotas`` (source_key, quota), root first: how many shards each node has, and node, source_key, quota.
+
+    Node ``n`` has the children ``2n`` and ``2n + 1``.  A node with ``k`` shards
+    gives its left child ``k // 2`` of them and that part of its blocks, rounded down: as many
+    blocks as have the least random keys.  Children's quotas add up to their parent's.
+    """
+    width = {1: shards}
+    levels = [(width, written(quotas.select(F.lit(1).alias("node"), "source_key", "quota")))]
+    while max(width.values()) > 1:
+        split = {n: k for n, k in width.items() if k > 1}
+        table = levels[-1][1]
+        blocks = table.filter(F.col("node").isin(*split)).select("node", "source_key", F.explode(F.sequence(F.lit(1).cast("long"), "quota")).alias("nth"))
+        drawn = _ranked(blocks, "node", F.xxhash64(F.lit("draw"), "node", "source_key", "nth"), "source_key", "nth")
+        own = lambda f: F.coalesce(*(F.when(F.col("node") == n, F.lit(f(k))) for n, k in split.items()))  # noqa: E731, B023
+        left = F.col("rank") < F.floor(F.col("total") * own(lambda k: k // 2) / own(lambda k: k))
+        child = drawn.select((2 * F.col("node") + F.when(left, 0).otherwise(1)).alias("node"), "source_key").groupBy("node", "source_key").agg(F.count("*").alias("quota"))
+        width = {n: k for n, k in width.items() if k == 1} | {2 * n + side: (k - k // 2 if side else k // 2) for n, k in split.items() for side in (0, 1)}
+        levels.append((width, written(child.unionByName(table.filter(~F.col("node").isin(*split))))))
+    return levels
+
+
+def blocks(draws: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """The taken blocks: source_key, epoch, block, rank in the source's permutation, and the shard whose quota has that rank."""
+    found = draws.groupBy("source_key", "epoch", "block").agg(F.sum("words").alias("words"))
+    found = written(_ranked(found, "source_key", F.xxhash64(F.lit("block"), "source_key", "epoch", "block"), "epoch", "block"))
+    width, leaves = splitting_tree(found.groupBy("source_key").agg(F.count("*").alias("quota")), shards)[-1]
+    number = {n: i for i, n in enumerate(sorted(width, key=lambda n: f"{n:b}"))}
+    leaves = leaves.withColumn("shard", F.coalesce(*(F.when(F.col("node") == n, F.lit(i)) for n, i in number.items())))
+    upto = F.sum("quota").over(Window.partitionBy("source_key").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))
+    runs = leaves.withColumn("upto", upto).select("source_key", "shard", F.explode(F.sequence(F.col("upto") - F.col("quota"), F.col("upto") - 1)).alias("rank"))
+    return written(found.join(runs, ["source_key", "rank"]).select("source_key", "epoch", "block", "words", "rank", "shard"))
+
+
+def _dealt(drawn: DataFrame, leaf: DataFrame) -> DataFrame:
+    """Adds shard and local_order, a random place in it, to draws."""
+    drawn = drawn.join(small(leaf.select("source_key", "epoch", "block", "shard"), BROADCAST_ROWS), ["source_key", "epoch", "block"])
+    return drawn.withColumn("local_order", F.xxhash64(F.lit("local"), "shard", "source_key", "chunk", "ordinal", "epoch"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, shards: int = SHARDS, whole: bool = False) -> tuple[DataFrame, DataFrame]:
     """(plan, draws with their shard and place in it).
 
     Rows of ``docs`` with null or empty text have size 0 and are never drawn;
-    null is a source like any other; repeated rows are documents of their own.
+    null is a source like any other; repeated rows are documents of their own.  An
+    empty table gives empty tables.  Only doc_id, source and text are read.
     """
     planned = written(plan(docs, weights, share, whole=whole))
     drawn = draws(planned)
-    leaf = blocks(drawn, shards)
-    leaf = leaf.select(*(F.col(c).alias(f"leaf_{c}") for c in ("source", "epoch", "block")), "shard")
-    same = F.col("source").eqNullSafe(F.col("leaf_source")) & (F.col("epoch") == F.col("leaf_epoch")) & (F.col("block") == F.col("leaf_block"))
-    drawn = drawn.join(leaf, same).drop(*(c for c in leaf.columns if c != "shard"))
-    drawn = drawn.withColumn("local_order", F.xxhash64(F.lit("local"), "doc_id", "epoch"))
-    return planned, drawn
+    return planned, _dealt(drawn, blocks(drawn, shards))
 
 
-def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, whole: bool = False) -> DataFrame:
-    """The mix itself: the columns of ``docs``, a row for each time that a document is taken.
+def shuffled_shards(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, shards: int = SHARDS, whole: bool = False) -> DataFrame:
+    """The mix by shard: shard, local_order, words (taken), size, and the document as the struct ``row``, a row for each time that it is taken.
+
+    A shard's documents stand in the order of ``local_order`` in each of the
+    partitions that hold a part of the shard.  The tree is planned on keys; texts
+    are shuffled by chunk and by shard.
+    """
+    keys = written(sized(docs))
+    n, chunks = _chunks(keys, weights, share)
+    planned = written(_placed(keys, n, chunks, whole))
+    block_words = _block_words(planned, BLOCKS)
+    leaf = blocks(_draws(planned, block_words), shards)
+    rows = _dealt(_draws(_placed(sized(docs, keep=True), n, chunks, whole), block_words), leaf)
+    size = planned.agg(F.sum(F.col("bytes") * F.size(F.filter("taken", lambda x: x > 0)))).first()[0] or 0
+    each = max(1, -(-size // (shards * PART_BYTES)))
+    part = F.col("shard") * each + F.pmod(F.shiftrightunsigned("local_order", 40), F.lit(each)).cast("int")
+    return rows.select("shard", "local_order", "words", "size", "row").repartitionById(shards * each, part).sortWithinPartitions("shard", "local_order")
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, shards: int = SHARDS, whole: bool = False) -> DataFrame:
+    """The mix itself: the columns of ``docs``, a row for each time that a document is taken, shard by shard in their local order.
 
     A document taken in part keeps its first words, up to the end of the last one
     taken; with ``whole`` none is.
     """
-    drawn = plan(docs, weights, share, keep=True, whole=whole).select("row", "size", F.explode("taken").alias("words")).filter("words > 0")
+    drawn = shuffled_shards(docs, weights, share, shards, whole)
+    if whole:
+        return drawn.select("row.*")
     pieces = F.regexp_extract_all("row.text", F.lit(rf"([\x20\x09-\x0D]*{WORD})"), F.lit(1))
     text = F.when(F.col("words") >= F.col("size"), F.col("row.text")).otherwise(F.concat_ws("", F.slice(pieces, 1, F.col("words").cast("int"))))
     return drawn.select(*(text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
@@ -152,6 +243,6 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
 
 def per_document(planned: DataFrame, drawn: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken and the shards that hold the document; a row per document of the plan."""
-    some = drawn.groupBy(*(F.col(c).alias(f"drawn_{c}") for c in ("source", "chunk", "ordinal"))).agg(F.sum("words").alias("words"), F.sort_array(F.collect_list("shard")).alias("shards"))
-    same = F.col("source").eqNullSafe(F.col("drawn_source")) & (F.col("chunk") == F.col("drawn_chunk")) & (F.col("ordinal") == F.col("drawn_ordinal"))
-    return planned.drop("taken").join(some, same, "left").select("doc_id", "size", "source_size", "target", F.coalesce("words", F.lit(0)).alias("taken"), F.concat_ws(",", "shards").alias("shards"))
+    key = ["source_key", "chunk", "ordinal"]
+    some = drawn.groupBy(*key).agg(F.sum("words").alias("words"), F.sort_array(F.collect_list("shard")).alias("shards"))  # EPOCHS shards at most
+    return planned.drop("taken").join(some, key, "left").select("doc_id", "size", "source_size", "target", F.coalesce("words", F.lit(0)).alias("taken"), F.concat_ws(",", "shards").alias("shards"))

@@ -41,13 +41,53 @@ def test_awkward_rows(awkward):
     assert Counter(map(tuple, got)) == Counter(map(tuple, again))
 
 
+def test_tree_keeps_quotas_at_every_node(spark):
+    quota = {"=a": 300, "=b": 40, "-": 7, "=c": 1}
+    for shards in (1, 5, 16):
+        levels = mixing.splitting_tree(spark.createDataFrame(list(quota.items()), "source_key string, quota long"), shards)
+        tables = [(width, {(r["node"], r["source_key"]): r["quota"] for r in t.collect()}) for width, t in levels]
+        assert tables[0][1] == {(1, s): q for s, q in quota.items()}
+        for (width, before), (_, after) in zip(tables[:-1], tables[1:], strict=True):
+            for n, k in width.items():
+                total = lambda t, m: sum(q for (node, _), q in t.items() if node == m)
+                if k > 1:
+                    assert all(before.get((n, s), 0) == after.get((2 * n, s), 0) + after.get((2 * n + 1, s), 0) for s in quota)
+                    assert total(after, 2 * n) == total(before, n) * (k // 2) // k
+                else:
+                    assert all(before.get((n, s), 0) == after.get((n, s), 0) for s in quota)
+        width, leaves = tables[-1]
+        assert len(width) == shards and set(width.values()) == {1}
+        assert all(sum(q for (_, name), q in leaves.items() if name == s) == quota[s] for s in quota)
+
+
+def test_split_is_hypergeometric(spark):
+    """64 leaves of 5 blocks each: those of the first source vary as draws without replacement, 3 on average."""
+    quotas = spark.createDataFrame([("=x", 192), ("=y", 128)], "source_key string, quota long").coalesce(1)
+    width, leaves = mixing.splitting_tree(quotas, 64)[-1]
+    own = {r["node"]: r["quota"] for r in leaves.filter("source_key = '=x'").collect()}
+    split = [own.get(n, 0) for n in width]
+    variance = sum((x - 3) ** 2 for x in split) / len(split)
+    assert sum(split) == 192 and max(split) <= 5 and 0.6 < variance < 1.9  # 1.18 expected
+
+
 def test_shards_are_disjoint_and_nearly_equal_in_blocks(awkward):
     _, drawn = mixing.mix(awkward, shards=4)
     leaf = mixing.blocks(drawn.drop("shard"), 4).collect()
-    assert len({(r["source"], r["epoch"], r["block"]) for r in leaf}) == len(leaf)
-    assert sorted(r["rank"] for r in leaf) == list(range(len(leaf)))
+    assert len({(r["source_key"], r["epoch"], r["block"]) for r in leaf}) == len(leaf)
+    for source in {r["source_key"] for r in leaf}:
+        own = sorted((r["rank"], r["shard"]) for r in leaf if r["source_key"] == source)
+        assert [x for x, _ in own] == list(range(len(own))) and [x for _, x in own] == sorted(x for _, x in own)
     counts = Counter(r["shard"] for r in leaf)
-    assert max(counts.values()) - min(counts.values()) <= 1
+    assert max(counts.values()) - min(counts.values()) <= 2
+    assert drawn.count() == mixing.draws(mixing.plan(awkward)).count()
+
+
+def test_shards_are_shuffled_locally(awkward):
+    rows = [(r["shard"], r["local_order"], r["row"]["doc_id"]) for r in mixing.shuffled_shards(awkward, shards=3, whole=True).collect()]
+    assert rows == sorted(rows, key=lambda r: r[:2]) and {r[0] for r in rows} == {0, 1, 2}
+    assert rows == [(r["shard"], r["local_order"], r["row"]["doc_id"]) for r in mixing.shuffled_shards(awkward.repartition(5), shards=3, whole=True).collect()]
+    own = [x for s, _, x in rows if s == 0]
+    assert own != sorted(own, key=lambda x: (x is None, x))
 
 
 def test_empty_table(empty):
