@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelgraph.operators import counts, validate
@@ -17,13 +17,21 @@ def _parser() -> argparse.ArgumentParser:
     for verb, names in {
         "init": ("out",), "add": ("path", "id", "type", "out"), "delete": ("path", "id", "out"), "rename": ("path", "old", "new", "out"), "crate": ("path",), "entity": ("path", "id"),
         "fields": ("path", "key"), "value": ("path", "text"), "validate": ("path", "vocabulary"), "frame": ("path", "uuid", "out"),
+        "add-id-value": ("path", "id", "key", "value", "out"), "add-id-vec-values": ("path", "id", "key", "values", "out"), "remove-field": ("path", "id", "key", "out"), "zip": ("path", "root", "uuid", "out"),
     }.items():
         p = verbs.add_parser(verb)
         for name in names:
-            p.add_argument(name)
+            p.add_argument(name, **({"type": lambda x: x.split(",")} if name == "values" else {}))
     return top
 
 
+def _show(rows: DataFrame) -> None:
+    """Every row, a line each; rows come to the driver a partition at a time."""
+    print("\t".join(rows.columns))
+    for row in rows.toLocalIterator():
+        print("\t".join(map(str, row)))
+
+
 def main(argv: list[str] | None = None) -> None:
     a = _parser().parse_args(argv)
     spark = SparkSession.builder.appName("parcelgraph").getOrCreate()
@@ -42,7 +50,7 @@ def main(argv: list[str] | None = None) -> None:
             with open(a.out, "w", encoding="utf-8") as f:
                 f.write(Package.default(spark, spark.range(1).select(F.current_timestamp().cast("string")).first()[0]).text())
         case "add":
-            save(load().update({"id": a.id, "type": a.type}))
+            save(load().append(a.id, a.type))
         case "delete":
             save(load().delete_entity(a.id, recursive=True))
         case "rename":
@@ -52,12 +60,20 @@ def main(argv: list[str] | None = None) -> None:
         case "entity":
             print(load().get_entity(a.id))
         case "fields":
-            counts.field_value_counts(load().tables.properties, a.key).show(1000, truncate=200)
+            _show(counts.field_value_counts(load().tables.properties, a.key))
         case "value":
-            counts.value_search_counts(load().tables.properties, a.text).show(1000, truncate=200)
+            _show(counts.value_search_counts(load().tables.properties, a.text))
         case "validate":
             terms = validate.vocabulary(spark, {"1.1": a.vocabulary, "1.2": a.vocabulary})
-            validate.enforce(load().validate(terms), 2).show(truncate=False)
+            _show(validate.enforce(load().validate(terms), 2))
+        case "add-id-value":
+            save(load().set_links(a.id, a.key, [a.value], single=True))
+        case "add-id-vec-values":
+            save(load().set_links(a.id, a.key, a.values))
+        case "remove-field":
+            save(load().remove_field(a.id, a.key))
+        case "zip":
+            _show(load().add_urn_uuid(a.uuid).archive(a.root, a.out))
         case "frame":
             load().add_urn_uuid(a.uuid).frame().write.mode("overwrite").parquet(a.out)
 

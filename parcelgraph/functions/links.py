@@ -41,8 +41,16 @@ def has_relative_component(s: Column) -> Column:
     return s.rlike(r"^(\./|\.\./|#|/)") | s.contains("/")
 
 
+def _folded(path: Column) -> Column:
+    """A path without its dot segments, however many; ``..`` at its start stays there."""
+    parts = F.split(path, "/", -1)
+    up = lambda kept: F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(1)))  # noqa: E731, the empty text before the leading slash stays
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda a, x: F.when(x == "..", up(a)).when(x == ".", a).otherwise(F.concat(a, F.array(x))))
+    return F.concat(F.array_join(kept, "/"), F.when(F.element_at(parts, -1).isin(".", ".."), "/").otherwise(""))
+
+
 def with_base(base: Column, s: Column) -> Column:
-    """Resolves a relative reference against a base IRI.
+    """Resolves a relative reference against a base IRI; null if it has more parent steps than the base's path has segments.
 
     A fragment replaces the base's fragment and loses a slash before it; a rooted
     path keeps scheme and authority; other paths replace what follows the last
@@ -52,21 +60,28 @@ def with_base(base: Column, s: Column) -> Column:
     plain = F.regexp_replace(base, r"#.*$", "")
     authority = F.regexp_extract(plain, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
     folder = F.regexp_extract(plain, r"^(.*/)", 1)
-    path = F.when(s.startswith("/"), s).otherwise(F.concat(F.substring(folder, F.length(authority) + 1, F.length(folder)), s))
-    path = F.regexp_replace(path, r"/(\./)+", "/")
-    up = r"/(?!\.\./)[^/]+/\.\./"
-    for _ in range(8):  # a segment and its parent step at a time
-        path = F.regexp_replace(path, up, "/")
-    joined = F.concat(authority, F.regexp_replace(path, r"/\.$", "/"))
+    steps = (F.length(s) - F.length(F.replace(s, F.lit("../"), F.lit("")))) / 3
+    segments = F.size(F.filter(F.split(F.substring(plain, F.length(authority) + 1, F.length(plain)), "/"), lambda x: x != ""))
+    own = F.when(F.length(folder) > F.length(authority), F.substring(folder, F.length(authority) + 1, F.length(folder))).otherwise("/")
+    path = F.when(s.startswith("/"), s).otherwise(F.concat(own, s))
+    joined = F.concat(authority, F.when(path.rlike(r"/\.\.?(/|$)"), _folded(path)).otherwise(path))
     fragment = F.concat(F.regexp_replace(plain, "/$", ""), s)
-    return F.when(s.startswith("#"), fragment).when(authority == "", F.concat(plain, s)).otherwise(joined)
+    return F.when(s.startswith("#"), fragment).when(authority == "", F.concat(plain, s)).when(~s.contains("../") | (steps <= segments), joined)
 
 
 def guess_location(url: Column) -> Column:
-    """Where a package's metadata lies, from the package's URL."""
-    name = "ro-crate-metadata.json"
-    return (
-        F.when(url.endswith("/"), F.concat(url, F.lit(name)))
-        .when(url.rlike(r"(/\w*\.\w*)$|/\w*$"), F.regexp_replace(url, r"(/\w*\.\w*)$|/\w*$", f"/{name}"))
-        .otherwise(F.concat(url, F.lit(f"/{name}")))
-    )
+    """Where a package's metadata lies, from the package's URL.
+
+    A last segment that is one plain name (letters, digits, underscores, at most one
+    dot) is a file or folder beside the metadata; below anything else it lies itself.
+    """
+    name = F.lit("ro-crate-metadata.json")
+    last = F.substring_index(url, "/", -1)
+    beside = url.contains("/") & last.rlike(r"(?U)^\w*(\.\w*)?$")
+    folder = F.substring(url, F.lit(1), F.length(url) - F.length(last))
+    return F.concat(F.when(beside, folder).otherwise(F.concat(url, F.lit("/"))), name)
+
+
+def expand_home(path: Column, home: str) -> Column:
+    """A path that begins with ``~`` as one below ``home``."""
+    return F.when((path == "~") | path.startswith("~/"), F.concat(F.lit(home.rstrip("/")), F.substring(path, 2, 1 << 20))).otherwise(path)

@@ -19,7 +19,7 @@ def upsert(entities: DataFrame, new: DataFrame, same_kind: bool = False) -> Data
     placed = new.join(first, ["crate_id", "id"], "left").join(last, "crate_id", "left")
     if same_kind:
         placed = placed.filter("old_kind IS NULL OR old_kind = kind")
-    nth = F.row_number().over(Window.partitionBy("crate_id", F.col("first").isNull()).orderBy("id"))
+    nth = F.row_number().over(Window.partitionBy("crate_id", F.col("first").isNull()).orderBy("id"))  # rows of one edit
     placed = placed.withColumn("pos", F.coalesce("first", F.coalesce("last", F.lit(-1)) + nth).cast("int")).select(*entities.columns)
     kept = entities.join(placed.select("crate_id", "pos"), ["crate_id", "pos"], "left_anti")
     return kept.unionByName(placed)
@@ -37,27 +37,29 @@ def remove_links(properties: DataFrame, gone: DataFrame) -> DataFrame:
     their members and may become empty.  Nested values, required properties and
     links of links stay.
     """
-    gone = gone.groupBy("crate_id").agg(F.collect_set("id").alias("gone"))  # what one edit names, by package
-    rows = properties.join(gone, "crate_id", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<string>")))
-    top = (F.col("depth") == 0) & (F.col("origin") == "dynamic")
-    whole = F.when(F.col("tag") == "string", F.array_contains("gone", F.col("s"))).when(F.col("tag") == "id", F.arrays_overlap("gone", "ids"))
-    rows = rows.filter(~(top & F.coalesce(whole, F.lit(False))))
-    return rows.withColumn("ids", F.when(top & (F.col("tag") == "ids"), F.array_except("ids", "gone")).otherwise(F.col("ids"))).select(*properties.columns)
+    key = ["crate_id", "pos", "path"]
+    top = (F.col("depth") == 0) & (F.col("origin") == "dynamic") & F.col("tag").isin("string", "id", "ids")
+    named = properties.filter(top).select(*key, F.explode(F.when(F.col("tag") == "string", F.array("s")).otherwise(F.col("ids"))).alias("id"))
+    hit = named.join(gone.select("crate_id", "id").distinct(), ["crate_id", "id"], "left_semi").groupBy(*key).agg(F.collect_set("id").alias("hit"))  # no more than one property names
+    rows = properties.join(hit, key, "left").filter(F.col("hit").isNull() | (F.col("tag") == "ids"))
+    return rows.withColumn("ids", F.when(F.col("hit").isNull(), F.col("ids")).otherwise(F.filter("ids", lambda x: ~F.array_contains("hit", x)))).select(*properties.columns)
 
 
 def rename(entities: DataFrame, properties: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Renames entities and top-level dynamic links by ``names`` (old, new); required properties and nested links stay.
+    """Renames entities and top-level dynamic links by ``names`` (crate_id, old, new); required properties and nested links stay.
 
-    Many renames are one join, not a scan each.
+    Each package has names of its own.  Many renames are one join, not a scan each.
     """
-    names = names.select(F.col("old").alias("old_id"), F.col("new").alias("new_id"))
-    renamed = entities.join(names, F.col("id") == F.col("old_id"), "left").withColumn("id", F.coalesce("new_id", "id")).select(*entities.columns)
-    rows = properties.join(names, F.col("id") == F.col("old_id"), "left").withColumn("id", F.coalesce("new_id", "id")).select(*properties.columns)
+    names = names.select(F.col("crate_id").alias("of"), F.col("old").alias("old_id"), F.col("new").alias("new_id")).dropDuplicates(["of", "old_id"])
+    same = lambda c: (F.col("crate_id") == F.col("of")) & (F.col(c) == F.col("old_id"))
+    renamed = entities.join(names, same("id"), "left").withColumn("id", F.coalesce("new_id", "id")).select(*entities.columns)
+    rows = properties.join(names, same("id"), "left").withColumn("id", F.coalesce("new_id", "id")).select(*properties.columns)
     linked = (F.col("depth") == 0) & (F.col("origin") == "dynamic") & F.col("tag").isin("id", "ids")
     key = ["crate_id", "pos", "path"]
-    targets = rows.filter(linked).select(*key, F.posexplode("ids").alias("nth", "target")).join(names, F.col("target") == F.col("old_id"), "left")
-    targets = targets.groupBy(*key).agg(F.transform(F.sort_array(F.collect_list(F.struct("nth", F.coalesce("new_id", "target").alias("target")))), lambda x: x["target"]).alias("new_ids"))
-    rows = rows.join(targets, key, "left").withColumn("ids", F.coalesce("new_ids", "ids")).select(*properties.columns)
+    targets = rows.filter(linked).select(*key, F.explode(F.array_distinct("ids")).alias("target")).join(names, same("target"))
+    targets = targets.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("target", "new_id"))).alias("moved"))  # only properties that name a renamed one
+    ids = F.when(F.col("moved").isNull(), F.col("ids")).otherwise(F.transform("ids", lambda x: F.coalesce(F.try_element_at("moved", x), x)))
+    rows = rows.join(targets, key, "left").withColumn("ids", ids).select(*properties.columns)
     return renamed, rows
 
 
@@ -95,10 +97,32 @@ def add_part(parts: Column, is_list: Column, id_: Column) -> Column:
     return F.when(is_list, F.when(F.array_contains(parts, id_), parts).otherwise(F.concat(parts, F.array(id_)))).otherwise(F.array(id_))
 
 
+def add_parts(entities: DataFrame, properties: DataFrame, new: DataFrame) -> DataFrame:
+    """Gives the root with the id of ``new`` (crate_id, id, part) one more part; ids of other entities change nothing."""
+    roots = entities.filter("kind = 'root'").groupBy("crate_id", "id").agg(F.min("pos").cast("int").alias("pos"))
+    new = new.join(roots, ["crate_id", "id"]).select("crate_id", "pos", "id", "part")
+    old = properties.filter("depth = 0 AND key = 'hasPart'").select("crate_id", "pos", "tag", "ids")
+    found = new.join(old, ["crate_id", "pos"], "left").withColumn("ids", add_part(F.col("ids"), F.coalesce(F.col("tag") == "ids", F.lit(False)), F.col("part")))
+    given = {"key": F.lit("hasPart"), "path": F.lit("hasPart"), "depth": F.lit(0), "origin": F.lit("dynamic"), "owner": F.col("id"), "tag": F.lit("ids"), "json": F.lit(None).cast("string")}
+    kinds = dict(properties.dtypes)
+    rows = found.select(*(given[c].alias(c) if c in given else (F.col(c) if c in ("crate_id", "pos", "id", "ids") else F.lit(None).cast(kinds[c]).alias(c)) for c in properties.columns))
+    return set_property(entities, properties, rows.drop("pos"))
+
+
+def add_part_to_root(entities: DataFrame, properties: DataFrame, ids: DataFrame) -> DataFrame:
+    """Adds the id of ``ids`` (crate_id, id) to the parts of the root that has this very id: a root can only become a part of itself this way."""
+    return add_parts(entities, properties, ids.select("crate_id", "id", F.col("id").alias("part")))
+
+
 def add_context(items: DataFrame, new: DataFrame) -> DataFrame:
-    """Appends context items (crate_id, kind, key, value) behind each package's last."""
+    """Appends context items (crate_id, kind, key, value) behind each package's last.
+
+    References get a place each, in the order of their texts; the embedded terms of
+    one call are one item, behind them.
+    """
     last = items.groupBy("crate_id").agg(F.max("pos").alias("last"))
-    placed = new.join(last, "crate_id", "left").withColumn("pos", (F.coalesce("last", F.lit(-1)) + 1).cast("int")).select(*items.columns)
+    nth = F.dense_rank().over(Window.partitionBy("crate_id").orderBy(F.when(F.col("kind") == "reference", F.col("value")).asc_nulls_last()))  # a call's items of one package
+    placed = new.withColumn("nth", nth).join(last, "crate_id", "left").withColumn("pos", (F.coalesce("last", F.lit(-1)) + F.col("nth")).cast("int")).select(*items.columns)
     return items.unionByName(placed)
 
 

@@ -34,6 +34,11 @@ def property_keys(properties: DataFrame) -> DataFrame:
     return properties.filter(F.col("origin").isin("dynamic", "nested")).select("key").distinct().orderBy("key")
 
 
+def entity_property_keys(properties: DataFrame) -> DataFrame:
+    """crate_id, pos, id, key: every dynamic key of every entity, also inside objects, as often as it stands there."""
+    return properties.filter(F.col("origin").isin("dynamic", "nested")).select("crate_id", "pos", "id", "key")
+
+
 def _asked_for(entities: DataFrame, properties: DataFrame, key: str) -> DataFrame:
     kinds = [k for k, names in PROJECTABLE.items() if key in names]
     named = properties.join(entities.select("crate_id", "pos", "kind"), ["crate_id", "pos"])
@@ -49,11 +54,24 @@ def property_values(entities: DataFrame, properties: DataFrame, key: str) -> Dat
     return found.groupBy("crate_id", "pos", "id").agg(F.min_by(F.struct("tag", "json"), F.struct("path", "depth")).alias("v")).select("crate_id", "pos", "id", "v.*")
 
 
+def _plain_tag(value: object) -> str:
+    """The tag of a list or object."""
+    if isinstance(value, dict):
+        return "id" if list(value) == ["@id"] and isinstance(value["@id"], str) else "object"
+    kinds = {type(x) for x in value}
+    if kinds <= {str}:
+        return "strings"
+    if kinds <= {int}:
+        return "ints"
+    return "floats" if kinds <= {int, float} else "array"
+
+
 def parse_needle(text: str) -> tuple[str, str]:
     """Tag and JSON of a value given as text.
 
     JSON text is tried first, then the input in quotes, so that anything without
-    quotes or backslashes is a string: ``42`` is ``"42"``.
+    quotes or backslashes is a string: ``42`` is ``"42"``.  What is left are lists
+    and objects with quotes in them, and text that isn't JSON at all.
     """
     for candidate in (text, f'"{text}"'):
         try:
@@ -62,12 +80,11 @@ def parse_needle(text: str) -> tuple[str, str]:
             continue
         if isinstance(value, str):
             return "string", json.dumps(value, ensure_ascii=False)
-    for kind, tag in ((int, "int"), (float, "float")):
-        try:
-            return tag, str(kind(text))
-        except ValueError:
-            pass
-    return "string", json.dumps(text, ensure_ascii=False)
+    try:
+        value = json.loads(text)
+    except ValueError:
+        return "string", json.dumps(text, ensure_ascii=False)
+    return _plain_tag(value), json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
 
 
 def entities_with_value(properties: DataFrame, needle: str) -> DataFrame:
@@ -122,6 +139,17 @@ def context_names(items: DataFrame) -> DataFrame:
     return items.select("crate_id", F.coalesce("key", "value").alias("name"))
 
 
+def all_context(items: DataFrame) -> DataFrame:
+    """crate_id, pos, value: references as they are, and of embedded contexts the values; their keys where a package has no reference at all."""
+    lone = items.groupBy("crate_id").agg((F.count_if(F.col("kind") == "reference") == 0).alias("lone"))
+    return items.join(lone, "crate_id").select("crate_id", "pos", F.when(F.col("lone"), F.coalesce("key", "value")).otherwise(F.col("value")).alias("value"))
+
+
+def holds_id(ids: Column, id_: Column) -> Column:
+    """Whether a link or list of links leads to an id."""
+    return F.coalesce(F.array_contains(ids, id_), F.lit(False))
+
+
 def context_value(items: DataFrame, key: str) -> DataFrame:
     """crate_id, value: of the first embedded context that has the key."""
     return items.filter((F.col("kind") == "embedded") & (F.col("key") == key)).groupBy("crate_id").agg(F.min_by("value", "pos").alias("value"))

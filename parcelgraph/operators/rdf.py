@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parcelgraph.functions.links import has_relative_component, is_absolute_iri, with_base
 from parcelgraph.functions.values import number_text
+from parcelgraph.plans.storage import small
 
 # IRIs of the RDF and XML Schema vocabularies.
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
@@ -17,6 +18,10 @@ FLOAT_TYPES = ("double", "float", "decimal")
 DATA_TYPE_SPELLINGS = ("File", "Dataset", "MediaObject", "schema:Dataset", "schema:MediaObject", "http://schema.org/Dataset", "http://schema.org/MediaObject", "https://schema.org/Dataset", "https://schema.org/MediaObject")
 # Of terms that share an IRI, the one that compaction takes.
 PREFERRED_TERMS = ("File", "Journal", "contentUrl")
+# Fixed value: characters that no IRI has (RFC 3987).
+NOT_IN_IRI = r"[\x00-\x20<>\"{}|\\^`]"
+#: Most terms (some 100 bytes each) and packages (with their own contexts) that are broadcast.
+BROADCAST_TERMS, BROADCAST_PACKAGES = 200_000, 20_000
 
 
 def prefixes(terms: DataFrame) -> DataFrame:
@@ -24,35 +29,65 @@ def prefixes(terms: DataFrame) -> DataFrame:
     return terms.filter(F.col("iri").rlike("[/#]$")).select("version", F.col("term").alias("prefix"), F.col("iri").alias("ns"))
 
 
-def expand(names: DataFrame, terms: DataFrame) -> DataFrame:
-    """Adds ``iri`` to (version, base, vocab, name): exact term, known prefix, absolute, path against base, vocab, base, else unchanged.
+def package_contexts(crates: DataFrame, context_items: DataFrame | None = None, contexts: DataFrame | None = None, base: str | None = None) -> DataFrame:
+    """crate_id, version, base, vocab, own: what each package's context says.
 
-    Distinct names are expanded once; callers join back.
+    ``own`` maps the terms of embedded contexts, and of references that ``contexts``
+    (url, term, iri) knows, to IRIs; of two items the later one counts.  ``base`` is
+    for packages without an ``@base``.  A package's map is as large as its context.
     """
-    exact = terms.select("version", F.col("term").alias("name"), F.col("iri").alias("term_iri"))
-    spaces = prefixes(terms).select("version", F.col("prefix").alias("own_prefix"), "ns")
-    split = F.when(F.col("name").contains(":"), F.substring_index("name", ":", 1))
-    found = names.withColumn("own_prefix", split).join(exact, ["version", "name"], "left").join(spaces, ["version", "own_prefix"], "left")
-    name, base = F.col("name"), F.col("base")
-    iri = F.coalesce(
-        F.col("term_iri"),
-        F.when(F.col("ns").isNotNull(), F.concat("ns", F.substring(name, F.length("own_prefix") + 2, F.length(name)))),
-        F.when(is_absolute_iri(name), name),
-        F.when(has_relative_component(name) & base.isNotNull(), with_base(base, name)),
-        F.when(F.col("vocab").isNotNull(), F.concat("vocab", name)),
-        F.when(base.isNotNull(), with_base(base, name)),
-        name,
+    home = crates.select("crate_id", F.coalesce("schema_version", F.lit("1.2")).alias("version"), F.coalesce("base", F.lit(base)).alias("base"))
+    if context_items is None:
+        return home.withColumns({"vocab": F.lit(None).cast("string"), "own": F.lit(None).cast("map<string,string>")})
+    terms = context_items.filter("kind = 'embedded'").select("crate_id", "pos", F.col("key").alias("term"), F.col("value").alias("iri"))
+    if contexts is not None:
+        references = context_items.filter("kind = 'reference'").select("crate_id", "pos", F.col("value").alias("url"))
+        terms = terms.unionByName(references.join(contexts, "url").select("crate_id", "pos", "term", "iri"))
+    terms = terms.groupBy("crate_id", "term").agg(F.max_by("iri", "pos").alias("iri"))
+    entries = F.collect_list(F.when(~F.col("term").startswith("@"), F.struct("term", "iri")))
+    said = terms.groupBy("crate_id").agg(F.max(F.when(F.col("term") == "@vocab", F.col("iri"))).alias("vocab"), F.map_from_entries(entries).alias("own"))
+    return home.join(said, "crate_id", "left")
+
+
+def expand(names: DataFrame, terms: DataFrame, column: str = "name", out: str = "iri") -> DataFrame:
+    """Adds ``out``, the IRI of ``column``, to a table with version, base and vocab (and own, a package's map of terms): exact term, known prefix, absolute, path against base, vocab, base, else unchanged.
+
+    Null where a path leads above the base's root.  The vocabulary is broadcast if it
+    is small, so that names are expanded where they stand.
+    """
+    exact = terms.select(F.col("version").alias("of"), F.col("term").alias("known"), F.col("iri").alias("term_iri"))
+    spaces = prefixes(terms).select(F.col("version").alias("in"), F.col("prefix").alias("own_prefix"), "ns")
+    name, base, split = F.col(column), F.col("base"), F.when(F.col(column).contains(":"), F.substring_index(column, ":", 1))
+    found = names.join(small(exact, BROADCAST_TERMS), (F.col("version") == F.col("of")) & (name == F.col("known")), "left")
+    found = found.join(small(spaces, BROADCAST_TERMS), (F.col("version") == F.col("in")) & (split == F.col("own_prefix")), "left")
+    own = (lambda x: F.try_element_at("own", x)) if "own" in names.columns else (lambda x: F.lit(None).cast("string"))  # noqa: ARG005
+    own_space = F.when(own(split).rlike("[/#]$"), own(split))
+    local = F.substring(name, F.length(split) + 2, F.length(name))
+    iri = (
+        F.when(own(name).isNotNull(), own(name)).when(F.col("term_iri").isNotNull(), F.col("term_iri"))
+        .when(own_space.isNotNull(), F.concat(own_space, local)).when(F.col("ns").isNotNull(), F.concat("ns", local))
+        .when(is_absolute_iri(name), name).when(has_relative_component(name) & base.isNotNull(), with_base(base, name)).when(has_relative_component(name), name)
+        .when(F.col("vocab").isNotNull(), F.concat("vocab", name)).when(base.isNotNull(), with_base(base, name)).otherwise(name)
+    )
+    return found.withColumn(out, iri).drop("of", "known", "term_iri", "in", "own_prefix", "ns")
+
+
+def expansion_error(iri: Column, name: Column) -> Column:
+    """Why a name has no absolute IRI: null if it has one."""
+    return F.when(iri.isNull(), F.concat(F.lit("leads above the base: "), name)).when(~is_absolute_iri(iri), F.concat(F.lit("relative IRI without a base: "), name)).when(
+        iri.rlike(NOT_IN_IRI), F.concat(F.lit("not an IRI: "), iri)
     )
-    return found.withColumn("iri", iri).drop("own_prefix", "term_iri", "ns")
 
 
-def export_triples(crates: DataFrame, entities: DataFrame, properties: DataFrame, terms: DataFrame, base: str | None = None, strict: bool = True) -> DataFrame:
+def export_triples(crates: DataFrame, entities: DataFrame, properties: DataFrame, terms: DataFrame, base: str | None = None, strict: bool = True, context_items: DataFrame | None = None, contexts: DataFrame | None = None) -> DataFrame:
     """The set of triples of every package, as crate_id, s, s_kind, p, o, o_kind, datatype, lang.
 
     A type triple per type; texts as plain literals (empty ones of a root's required
     properties are skipped), numbers typed, links as nodes.  Nested values, nulls
-    and JSON booleans give none.  ``base`` is used by packages without their own.
-    With ``strict`` a name that stays relative raises.
+    and JSON booleans give none.  Names are expanded by the vocabulary of the
+    package's version and its own context (``context_items``, and ``contexts`` for
+    references).  ``base`` is used by packages without their own.  With ``strict`` a
+    name that stays relative or isn't an IRI raises; one that leads above its base always does.
     """
     top = properties.filter((F.col("depth") == 0) & F.col("origin").isin("fixed", "dynamic"))
     node, literal = F.lit("iri"), F.lit("literal")
@@ -67,16 +102,14 @@ def export_triples(crates: DataFrame, entities: DataFrame, properties: DataFrame
     )
     rows = top.select("crate_id", F.col("id").alias("s"), F.col("key").alias("p"), F.explode(values).alias("v")).select("crate_id", "s", "p", "v.*")
     types = entities.select("crate_id", F.col("id").alias("s"), F.lit(RDF_TYPE).alias("p"), F.explode("types").alias("o")).withColumns({"o_kind": node, "datatype": F.lit(None).cast("string")})
-    rows = rows.unionByName(types)
-    home = crates.select("crate_id", F.coalesce("schema_version", F.lit("1.2")).alias("version"), F.coalesce("base", F.lit(base)).alias("base"), F.lit(None).cast("string").alias("vocab"))
-    used = rows.select("crate_id", F.explode(F.array(F.when(~F.col("s").startswith("_:"), F.col("s")), F.col("p"), F.when(F.col("o_kind") == "iri", F.col("o")))).alias("name")).filter("name IS NOT NULL").distinct()
-    names = expand(used.join(home, "crate_id"), terms).select("crate_id", "name", "iri")
-    if strict:
-        names = names.withColumn("iri", F.when(is_absolute_iri(F.col("iri")), F.col("iri")).otherwise(F.raise_error(F.concat(F.lit("relative IRI without a base: "), F.col("name")))))
-    for c in ("s", "p", "o"):
-        named = names.select("crate_id", F.col("name").alias(c), F.col("iri").alias(f"{c}_iri"))
-        rows = rows.join(named, ["crate_id", c], "left")
-    out = rows.select("crate_id", F.coalesce("s_iri", "s").alias("s"), F.when(F.col("s").startswith("_:"), "blank").otherwise("iri").alias("s_kind"), F.col("p_iri").alias("p"), F.when(F.col("o_kind") == "iri", F.col("o_iri")).otherwise(F.col("o")).alias("o"), "o_kind", "datatype", F.lit(None).cast("string").alias("lang"))
+    rows = rows.unionByName(types).join(small(package_contexts(crates, context_items, contexts, base), BROADCAST_PACKAGES), "crate_id")
+    is_blank = F.col("s").startswith("_:")
+    for c, spared in (("s", is_blank), ("p", F.lit(False)), ("o", F.col("o_kind") != "iri")):
+        rows = expand(rows.withColumn("_name", F.when(~spared, F.col(c))), terms, "_name", "_iri")
+        why = expansion_error(F.col("_iri"), F.col("_name"))
+        bad = F.when(~spared, F.when(F.lit(strict) | F.col("_iri").isNull(), why))
+        rows = rows.withColumn(f"{c}_iri", F.when(bad.isNotNull(), F.raise_error(bad)).when(spared, F.col(c)).otherwise(F.col("_iri"))).drop("_name", "_iri")
+    out = rows.select("crate_id", F.col("s_iri").alias("s"), F.when(is_blank, "blank").otherwise("iri").alias("s_kind"), F.col("p_iri").alias("p"), F.col("o_iri").alias("o"), "o_kind", "datatype", F.lit(None).cast("string").alias("lang"))
     return out.distinct()
 
 
@@ -86,30 +119,83 @@ def _escaped(s: Column) -> Column:
     return s
 
 
+def _node(kind: str, x: str) -> Column:
+    return F.when(F.col(kind) == "blank", F.col(x)).otherwise(F.concat(F.lit("<"), F.col(x), F.lit(">")))
+
+
+def _object() -> Column:
+    """A triple's object as N-Triples and Turtle write it."""
+    literal = F.concat(F.lit('"'), _escaped(F.col("o")), F.lit('"'), F.when(F.col("lang").isNotNull(), F.concat(F.lit("@"), F.col("lang"))).when(F.col("datatype").isNotNull(), F.concat(F.lit("^^<"), F.col("datatype"), F.lit(">"))).otherwise(""))
+    return F.when(F.col("o_kind") == "literal", literal).otherwise(_node("o_kind", "o"))
+
+
 def ntriples(triples: DataFrame, graph: Column | None = None) -> DataFrame:
     """crate_id, line: N-Triples, or N-Quads with a graph IRI."""
-    node = lambda kind, x: F.when(F.col(kind) == "blank", F.col(x)).otherwise(F.concat(F.lit("<"), F.col(x), F.lit(">")))
-    literal = F.concat(F.lit('"'), _escaped(F.col("o")), F.lit('"'), F.when(F.col("lang").isNotNull(), F.concat(F.lit("@"), F.col("lang"))).when(F.col("datatype").isNotNull(), F.concat(F.lit("^^<"), F.col("datatype"), F.lit(">"))).otherwise(""))
-    o = F.when(F.col("o_kind") == "literal", literal).otherwise(node("o_kind", "o"))
     tail = [F.concat(F.lit("<"), graph, F.lit(">"))] if graph is not None else []
-    return triples.select("crate_id", F.concat_ws(" ", node("s_kind", "s"), F.concat(F.lit("<"), F.col("p"), F.lit(">")), o, *tail, F.lit(".")).alias("line"))
+    return triples.select("crate_id", F.concat_ws(" ", _node("s_kind", "s"), F.concat(F.lit("<"), F.col("p"), F.lit(">")), _object(), *tail, F.lit(".")).alias("line"))
+
+
+_LINE = r'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(<[^>]*>|_:[^\s.]+|"[^"\\]*+(?:\\.[^"\\]*+)*+")(?:\^\^<([^>]*)>|@([A-Za-z0-9\-]+))?\s*(?:<[^>]*>|_:\S+)?\s*\.\s*(?:#.*)?$'
+# The escapes of N-Triples and what they stand for.
+_ESCAPES = (("\\t", "\t"), ("\\b", "\b"), ("\\n", "\n"), ("\\r", "\r"), ("\\f", "\f"), ('\\"', '"'), ("\\'", "'"))
+
+
+def _unescaped(s: Column) -> Column:
+    """A text without its escapes.
+
+    Doubled backslashes divide it first, so that no other escape can begin with one
+    of theirs; of each part, code points are 8 hex digits behind ``\\U``.
+    """
+
+    def part(x: Column) -> Column:
+        for code, raw in _ESCAPES:
+            x = F.replace(x, F.lit(code), F.lit(raw))
+        points = F.split(F.regexp_replace(x, r"\\u([0-9A-Fa-f]{4})", r"\\U0000$1"), r"\\U(?=[0-9A-Fa-f]{8})", -1)
+        return F.array_join(F.transform(points, lambda y, i: F.when(i == 0, y).otherwise(F.concat(F.decode(F.unhex(F.substring(y, 1, 8)), "UTF-32"), F.substring(y, 9, 1 << 30)))), "")
 
+    return F.when(s.contains("\\"), F.array_join(F.transform(F.split(s, r"\\\\", -1), part), "\\")).otherwise(s)
 
-_LINE = r'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(<[^>]*>|_:[^\s.]+|"(?:[^"\\]|\\.)*")(?:\^\^<([^>]*)>|@([A-Za-z0-9\-]+))?\s*(<[^>]*>|_:\S+)?\s*\.\s*(?:#.*)?$'
 
+def _parts(line: Column) -> Column:
+    """Subject, predicate, datatype, language and object of a line; one part if it is none."""
+    return F.split(F.regexp_replace(line, _LINE, "$1\n$2\n$4\n$5\n$3"), "\n", 5)
 
-def parse_ntriples(lines: DataFrame) -> DataFrame:
-    """Triples of (crate_id, line) in N-Triples or N-Quads, whose graph names are dropped; blank lines and comments give none."""
-    part = lambda i: F.regexp_extract("line", _LINE, i)
-    rows = lines.filter(~F.col("line").rlike(r"^\s*(#.*)?$"))
-    bad = F.when(~F.col("line").rlike(_LINE), F.raise_error(F.concat(F.lit("not a triple: "), F.col("line"))))
+
+def _said(lines: DataFrame) -> DataFrame:
+    return lines.filter(~F.col("line").rlike(r"^\s*(#.*)?$"))
+
+
+def malformed_lines(lines: DataFrame) -> DataFrame:
+    """crate_id, line: the lines that are neither a triple nor blank nor a comment."""
+    return _said(lines).filter(F.size(_parts(F.col("line"))) != 5).select("crate_id", "line")
+
+
+def parse_ntriples(lines: DataFrame, strict: bool = True) -> DataFrame:
+    """Triples of (crate_id, line) in N-Triples or N-Quads, whose graph names are dropped; blank lines and comments give none.
+
+    A malformed line raises, or with ``strict`` off gives no triple (``malformed_lines`` has it).
+    """
+    rows = _said(lines).select("crate_id", "line", _parts(F.col("line")).alias("parts"))
+    if not strict:
+        rows = rows.filter(F.size("parts") == 5)
+    s, p, datatype, lang, o = (F.try_element_at("parts", F.lit(i)) for i in range(1, 6))
     kind = lambda x: F.when(x.startswith("_:"), "blank").when(x.startswith("<"), "iri").otherwise("literal")
-    bare = lambda x: F.when(x.startswith("_:"), x).otherwise(F.substring(x, 2, F.length(x) - 2))
-    text = bare(part(3))
-    for code, raw in (("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ('\\"', '"'), ("\\\\", "\\")):
-        text = F.replace(text, F.lit(code), F.lit(raw))
-    blank = lambda x: F.when(x != "", x)
-    return rows.select("crate_id", bad.alias("bad"), bare(part(1)).alias("s"), kind(part(1)).alias("s_kind"), part(2).alias("p"), text.alias("o"), kind(part(3)).alias("o_kind"), blank(part(4)).alias("datatype"), blank(part(5)).alias("lang")).drop("bad")
+    bare = lambda x: _unescaped(F.when(x.startswith("_:"), x).otherwise(F.substring(x, F.lit(2), F.length(x) - 2)))
+    checked = F.when(F.size("parts") != 5, F.raise_error(F.concat(F.lit("not a triple: "), F.col("line")))).otherwise(bare(s))
+    known = lambda x: F.when(x != "", x)
+    return rows.select("crate_id", checked.alias("s"), kind(s).alias("s_kind"), _unescaped(p).alias("p"), bare(o).alias("o"), kind(o).alias("o_kind"), _unescaped(known(datatype)).alias("datatype"), known(lang).alias("lang"))
+
+
+def turtle(triples: DataFrame) -> DataFrame:
+    """crate_id, s, text: a Turtle block per subject, its types first and its properties in order, joined by ``;`` and ``,``.
+
+    A block is as large as one subject; blocks of a package make its document in any order.
+    """
+    verb = F.when(F.col("p") == RDF_TYPE, "a").otherwise(F.concat(F.lit("<"), F.col("p"), F.lit(">")))
+    objects = triples.groupBy("crate_id", _node("s_kind", "s").alias("subject"), "s", verb.alias("verb")).agg(F.array_join(F.sort_array(F.collect_set(_object())), ", ").alias("objects"))
+    lines = F.sort_array(F.collect_list(F.struct(F.col("verb") != "a", F.concat_ws(" ", "verb", "objects").alias("text"))))
+    blocks = objects.groupBy("crate_id", "s", "subject").agg(lines.alias("lines"))
+    return blocks.select("crate_id", "s", F.concat(F.col("subject"), F.lit(" "), F.array_join(F.transform("lines", lambda x: x["text"]), " ;\n    "), F.lit(" .")).alias("text"))
 
 
 def typed_literal(text: Column, datatype: Column) -> Column:
@@ -172,3 +258,20 @@ def roots(triples: DataFrame, about: str = "http://schema.org/about", dataset: s
 def out_references(triples: DataFrame) -> DataFrame:
     """crate_id, src, key, dst, origin of triples that lead to a node; types don't count."""
     return triples.filter((F.col("p") != RDF_TYPE) & (F.col("o_kind") != "literal")).select("crate_id", F.col("s").alias("src"), F.col("p").alias("key"), F.col("o").alias("dst"), F.lit("rdf").alias("origin"))
+
+
+def is_vocabulary(iri: Column, spaces: Column) -> Column:
+    """Whether an IRI lies in one of the namespaces of the array ``spaces``."""
+    return F.exists(spaces, lambda x: iri.startswith(x))
+
+
+def without_vocabulary(references: DataFrame, terms: DataFrame, version: str = "1.2") -> DataFrame:
+    """References (…, dst) that don't lead into a namespace of the vocabulary."""
+    spaces = [r["ns"] for r in prefixes(terms).filter(F.col("version") == version).select("ns").distinct().collect()]  # some tens a vocabulary
+    return references.filter(~is_vocabulary(F.col("dst"), F.array(*map(F.lit, spaces)))) if spaces else references
+
+
+def dangling_references(triples: DataFrame, terms: DataFrame, version: str = "1.2") -> DataFrame:
+    """crate_id, src, dst: links to nodes that are no subject of their graph and no term of the vocabulary."""
+    out = without_vocabulary(out_references(triples), terms, version).select("crate_id", "src", "dst").distinct()
+    return out.join(triples.select("crate_id", F.col("s").alias("dst")).distinct(), ["crate_id", "dst"], "left_anti").select("crate_id", "src", "dst")

@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +61,54 @@ class Package:
         t = self.tables
         return validate.validation_report(t.crates, t.entities, t.properties, t.context_items, terms)
 
+    @staticmethod
+    def report(spark: SparkSession, terms: DataFrame, path: str | None = None, text: str | None = None) -> dict:
+        """Validation as a dict: is_valid, invalid_keys, invalid_ids, invalid_types, error_type, error_message; what can't be read has an error_type."""
+        out = {"is_valid": False, "invalid_keys": [], "invalid_ids": [], "invalid_types": [], "error_type": None, "error_message": None}
+        try:
+            if text is not None:
+                package = Package.read_object(spark, text)
+            else:
+                package = Package.read_zip(spark, path) if path.endswith(".zip") else Package.read(spark, path)
+        except NotReadable as e:
+            return out | {"error_type": "JsonError", "error_message": str(e)}
+        except AnalysisException as e:
+            return out | {"error_type": "IoError", "error_message": str(e)}
+        row = package.validate(terms).first()
+        if row["status"] == "error":
+            return out | {"error_type": "SchemaError", "error_message": "the context names no known version"}
+        return out | {"is_valid": row["status"] == "valid"} | {k: row[k] for k in ("invalid_keys", "invalid_ids", "invalid_types")}
+
+    def contexts(self) -> list[str]:
+        """The context's references and the values of its embedded terms."""
+        return [r["value"] for r in lookup.all_context(self.tables.context_items).orderBy("pos", "value").collect()]
+
+    def context_value(self, key: str) -> str | None:
+        row = lookup.context_value(self.tables.context_items, key).first()
+        return row["value"] if row else None
+
+    def urn_uuid(self) -> str | None:
+        return self.tables.crates.select(lookup.urn_uuid(F.col("base")).alias("uuid")).first()["uuid"]
+
+    def set_links(self, id_: str, key: str, targets: list[str], single: bool = False) -> Package:
+        """Sets a property of the first entity with the id to a link or a list of links."""
+        t = self.tables
+        value = {"@id": targets[0]} if single else [{"@id": x} for x in targets]
+        doc = t.entities.sparkSession.createDataFrame([(self.crate_id, id_, json.dumps({key: value}))], "crate_id string, id string, text string")
+        rows = sources.flatten(doc.select("crate_id", F.lit(0).alias("pos"), "id", F.lit("contextual").alias("kind"), F.parse_json("text").alias("doc"))).filter("depth = 0")
+        return self._with(properties=edit.set_property(t.entities, t.properties, rows.drop("pos")))
+
+    def remove_field(self, id_: str, key: str) -> Package:
+        gone = self.tables.entities.sparkSession.createDataFrame([(self.crate_id, id_, key)], "crate_id string, id string, key string")
+        return self._with(properties=edit.remove_property(self.tables.entities, self.tables.properties, gone))
+
+    def append(self, id_: str, type_: str) -> Package:
+        """Appends a data entity, whether or not there is one with the id."""
+        t, spark = self.tables, self.tables.entities.sparkSession
+        last = t.entities.agg(F.max("pos")).first()[0]
+        new = spark.createDataFrame([(self.crate_id, -1 if last is None else last, id_, "data", [type_], False)], "crate_id string, pos int, id string, kind string, types array<string>, types_is_array boolean")
+        return self._with(entities=t.entities.unionByName(new.withColumn("pos", F.col("pos") + 1)))
+
     def get_entity(self, id_: str) -> dict | None:
         """The first entity with the id as a dict, ``id`` and ``type`` without ``@``."""
         for entity in self._entities(self.tables.entities.filter(F.col("id") == id_)):
@@ -95,7 +144,7 @@ class Package:
         return self._with(entities=edit.remove(self.tables.entities, gone), properties=edit.remove_links(rows, gone) if recursive else rows)
 
     def replace_id(self, old: str, new: str) -> Package:
-        names = self.tables.entities.sparkSession.createDataFrame([(old, new)], "old string, new string")
+        names = self.tables.entities.sparkSession.createDataFrame([(self.crate_id, old, new)], "crate_id string, old string, new string")
         entities, properties = edit.rename(self.tables.entities, self.tables.properties, names)
         return self._with(entities=entities, properties=properties)
 
@@ -110,13 +159,22 @@ class Package:
         crates = self.tables.crates.drop("base").join(base, "crate_id", "left")
         return self._with(context_items=items, crates=crates)
 
+    def archive(self, root: str, folder: str, flatten: bool = False) -> DataFrame:
+        """Writes a zip of the metadata and all files below ``root`` to ``folder``; ids that are paths of files become their names in it."""
+        spark = self.tables.entities.sparkSession
+        files = sinks.listed_files(spark, spark.createDataFrame([(self.crate_id, root)], "crate_id string, root string"))
+        plan = written(sinks.archive_plan(files, flatten))
+        names = sinks.archived_ids(self.tables.entities, plan)
+        entities, properties = edit.rename(self.tables.entities, self.tables.properties, names)
+        return sinks.write_zips(sinks.documents(self._with(entities=entities, properties=properties).tables), plan, folder)
+
     def frame(self) -> DataFrame:
         t = self.tables
         return frame.eav_frame(t.crates, t.context_items, t.entities, t.properties)
 
     def triples(self, terms: DataFrame, base: str | None = None, strict: bool = True) -> DataFrame:
         t = self.tables
-        return rdf.export_triples(t.crates, t.entities, t.properties, terms, base, strict)
+        return rdf.export_triples(t.crates, t.entities, t.properties, terms, base, strict, t.context_items)
 
     def links(self) -> DataFrame:
         return lookup.edges(self.tables.properties)

@@ -6,10 +6,11 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows as a table under ``spark.checkpoint.dir``, which cuts the lineage; where that is unset, under a temporary folder in local mode and an error on a cluster."""
+def written_path(df: DataFrame) -> str:
+    """Writes the rows to a new folder under ``spark.checkpoint.dir``; where that is unset, under a temporary folder in local mode and an error on a cluster."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -19,4 +20,14 @@ def written(df: DataFrame) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder, which cuts the lineage."""
+    return df.sparkSession.read.schema(df.schema).parquet(written_path(df))
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast if it has at most ``rows`` rows, by a count; a shuffled join otherwise."""
+    return F.broadcast(df) if df.count() <= rows else df

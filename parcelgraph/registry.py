@@ -197,7 +197,7 @@ def object_store_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("SELECT '#order-' || o_orderkey AS id, CASE WHEN o_custkey % 2 = 0 THEN '#client-' || o_custkey ELSE '#customer-' || o_custkey END AS customer FROM orders")
 def rename_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0")
-    names = customers.select(entity_id("customer", "c_custkey").alias("old"), entity_id("client", "c_custkey").alias("new"))
+    names = customers.select(F.lit(views.SHOP).alias("crate_id"), entity_id("customer", "c_custkey").alias("old"), entity_id("client", "c_custkey").alias("new"))
     _, rows = edit.rename(views.entities(spark, sf_dir, "customer", "orders"), views.properties(spark, sf_dir, "orders"), names)
     return rows.filter("key = 'customer'").select("id", F.element_at("ids", 1).alias("customer"))
 

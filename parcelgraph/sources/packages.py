@@ -6,8 +6,6 @@ malformed one becomes a row of ``rejects``, and none of its entities are kept.
 
 from __future__ import annotations
 
-import io
-import zipfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -17,6 +15,7 @@ from pyspark.sql import functions as F
 from parcelgraph.functions.values import DESCRIPTOR_ID, ROOT_ID, json_text_sql, kind, schema_version, tag_sql
 from parcelgraph.plans.storage import written
 from parcelgraph.plans.tables import Packages
+from parcelgraph.sources.remote import archived_metadata
 
 METADATA_FILE = DESCRIPTOR_ID
 # Properties that a kind of entity must have besides its id and type.
@@ -33,29 +32,17 @@ def from_texts(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
     return spark.createDataFrame([(k, "string", v) for k, v in texts.items()], "crate_id string, source string, text string")
 
 
-def _metadata_of_zip(content: bytes, strict: bool) -> str | None:
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        names = z.namelist()
-        if METADATA_FILE in names:
-            return z.read(METADATA_FILE).decode()
-        if strict:
-            return None
-        if "bagit.txt" in names and f"data/{METADATA_FILE}" in names:
-            return z.read(f"data/{METADATA_FILE}").decode()
-        loose = [n for n in names if "metadata.json" in n]
-        return z.read(loose[0]).decode() if loose else None
-
-
 def read_zips(spark: SparkSession, paths: str | list[str], strict: bool = True) -> DataFrame:
     """The metadata of zip archives.
 
     ``strict`` takes the entry of the metadata's exact name; otherwise also that of
-    a BagIt archive, or any entry whose name holds ``metadata.json``.
+    a BagIt archive whose checksum is right, or any entry whose name holds
+    ``metadata.json``.  A broken archive has a null text, which is rejected later.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"crate_id": b["path"], "source": b["path"], "text": [_metadata_of_zip(c, strict) for c in b["content"]]})
+            yield pd.DataFrame({"crate_id": b["path"], "source": b["path"], "text": [archived_metadata(c, strict) for c in b["content"]]})
 
     return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, "crate_id string, source string, text string")
 
@@ -82,7 +69,6 @@ def _typed(level: DataFrame) -> DataFrame:
         f"CASE tag WHEN 'id' THEN array({id_of('value')}) WHEN 'ids' THEN transform({items}, e -> {id_of('e')}) END AS ids",
         f"CASE WHEN tag = 'strings' THEN transform({items}, e -> try_variant_get(e, '$', 'string')) WHEN tag IN ('ints', 'floats') THEN transform({items}, e -> format_number(try_variant_get(e, '$', 'double'), '0.{'#' * 340}')) END AS items",
         f"{json_text_sql('value')} AS json",
-        f"CASE WHEN tag IN ('object', 'id') THEN coalesce(element_at({fields}, '@id')::string, '') END AS own_id",
     )
 
 
@@ -91,9 +77,10 @@ def flatten(entities: DataFrame) -> DataFrame:
 
     origin: identity (@id, @type), fixed (required), dynamic, nested (inside
     objects), item (of an array), element (of an object inside an array), link
-(below a link).  owner: the nearest enclosing object's @id,
-    or an empty text.  Levels are tables in the shared folder, one after another
-    until no value has members.
+    (below a link).  owner: the nearest enclosing object's @id, or an empty text.
+    The objects and arrays of a level are a table in the shared folder, one after
+    another until none is left; rows themselves are a plan, so that filters and
+    the choice of columns reach the JSON.
     """
     spark = entities.sparkSession
     fixed = " ".join(f"WHEN '{k}' THEN key IN ({', '.join(repr(n) for n in names) or 'NULL'})" for k, names in REQUIRED.items())
@@ -105,16 +92,19 @@ def flatten(entities: DataFrame) -> DataFrame:
     )
     found = None
     while True:
-        level = written(_typed(level))
-        rows = level.select("crate_id", "pos", "id", "key", "path", "depth", "origin", "owner", "tag", "s", "i", "d", "ids", "items", "json")
+        rows = _typed(level).select("crate_id", "pos", "id", "key", "path", "depth", "origin", "owner", "tag", "s", "i", "d", "ids", "items", "json")
         found = rows if found is None else found.unionByName(rows)
-        inner = level.filter("tag IN ('object', 'array', 'id', 'ids')")
+        inner = level.selectExpr("*", "schema_of_variant(value) AS shape").filter("shape LIKE 'OBJECT<%' OR shape LIKE 'ARRAY<%'")
+        inner = inner.selectExpr("*", f"{tag_sql('value')} AS tag").filter("tag IN ('object', 'array', 'id', 'ids')").selectExpr(
+            "crate_id", "pos", "id", "key", "path", "depth", "owner", "origin", "value", "tag IN ('id', 'ids') AS linked", "CASE WHEN shape LIKE 'OBJECT<%' THEN coalesce(try_variant_get(value, '$[\"@id\"]', 'string'), '') END AS own_id",
+        )
+        inner = written(inner)
         if inner.isEmpty():
             return found
         level = spark.sql(
             """SELECT crate_id, t.pos, id, coalesce(e.key, t.key) AS key, concat(path, CASE WHEN e.key IS NULL THEN concat('[', e.epos, ']') ELSE concat('/', e.key) END) AS path, depth + 1 AS depth,
                coalesce(CASE WHEN e.key IS NOT NULL THEN own_id END, owner) AS owner, e.value,
-               CASE WHEN t.tag IN ('id', 'ids') OR origin = 'link' THEN 'link' WHEN e.key IS NULL THEN 'item' WHEN origin IN ('item', 'element') THEN 'element' ELSE 'nested' END AS origin
+               CASE WHEN linked OR origin = 'link' THEN 'link' WHEN e.key IS NULL THEN 'item' WHEN origin IN ('item', 'element') THEN 'element' ELSE 'nested' END AS origin
                FROM {t} AS t, LATERAL variant_explode(value) AS e(epos, key, value)""",
             t=inner,
         )
@@ -174,7 +164,7 @@ def parse(texts: DataFrame) -> Packages:
     texts_of = items.groupBy("crate_id").agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("found"), F.max_by(F.when(F.col("key") == "@base", F.col("value")), F.when(F.col("key") == "@base", F.col("pos"))).alias("base"))
     crates = good(docs.select("crate_id", "source")).join(texts_of, "crate_id", "left")
     crates = crates.select("crate_id", "source", schema_version(F.transform("found", lambda x: x["value"])).alias("schema_version"), "base")
-    return Packages(crates, items, entities.select("crate_id", "pos", "id", "kind", "types", "types_is_array"), flatten(entities.select("crate_id", "pos", "id", "kind", "doc")), rejects)
+    return Packages(crates, items, entities.select("crate_id", "pos", "id", "kind", "types", "types_is_array"), written(flatten(entities.select("crate_id", "pos", "id", "kind", "doc"))), rejects)
 
 
 def default_package(spark: SparkSession, crate_id: str, now: str, license_: str = "Private") -> Packages:

@@ -5,14 +5,18 @@ from __future__ import annotations
 import io
 import json
 import os
+import shutil
+import uuid
 import zipfile
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parcelgraph.plans.storage import written_path
 from parcelgraph.plans.tables import Packages
 from parcelgraph.sources.packages import METADATA_FILE
 
@@ -57,11 +61,16 @@ def documents(packages: Packages, indent: int | None = 2) -> DataFrame:
     return out.mapInPandas(pretty, "crate_id string, text string")
 
 
+def _store(uri: str) -> tuple[fs.FileSystem, str]:
+    system, path = fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+    return system, path.rstrip("/")
+
+
 def write_documents(docs: DataFrame, folder: str) -> DataFrame:
     """Writes each (crate_id, path, text) to ``folder/path`` and returns crate_id, path, n_bytes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        system, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        system, root = _store(folder)
         for b in batches:
             for path, text in zip(b["path"], b["text"], strict=True):
                 system.create_dir(os.path.dirname(f"{root}/{path}"), recursive=True)
@@ -86,7 +95,7 @@ def write_lines(lines: DataFrame, path: str) -> None:
 
 
 def archive_plan(files: DataFrame, flatten: bool = False) -> DataFrame:
-    """crate_id, path, entry, external of (crate_id, root, path): the name of each file in its package's archive.
+    """crate_id, path, entry, external, relative (its path below the root) of (crate_id, root, path): the name of each file in its package's archive.
 
     A file inside the root keeps its relative path, or its base name with
     ``flatten``; one outside goes to ``external/``.  Two files with one entry name raise.
@@ -94,26 +103,64 @@ def archive_plan(files: DataFrame, flatten: bool = False) -> DataFrame:
     inside = F.startswith(F.col("path"), F.concat("root", F.lit("/")))
     base = F.element_at(F.split("path", "/"), -1)
     entry = F.when(inside & ~F.lit(flatten), F.substring(F.col("path"), F.length("root") + 2, F.length("path"))).when(inside, base).otherwise(F.concat(F.lit("external/"), base))
-    plan = files.select("crate_id", "path", entry.alias("entry"), (~inside).alias("external")).filter(F.col("entry") != METADATA_FILE)
+    relative = F.when(inside, F.substring(F.col("path"), F.length("root") + 2, F.length("path")))
+    plan = files.select("crate_id", "path", entry.alias("entry"), (~inside).alias("external"), relative.alias("relative")).filter(F.col("entry") != METADATA_FILE)
     twice = plan.groupBy("crate_id", "entry").agg(F.count("*").alias("n"))
     checked = plan.join(twice, ["crate_id", "entry"])
-    return checked.withColumn("entry", F.when(F.col("n") == 1, F.col("entry")).otherwise(F.raise_error(F.concat(F.lit("two files for the entry "), F.col("entry"))))).select("crate_id", "path", "entry", "external")
+    return checked.withColumn("entry", F.when(F.col("n") == 1, F.col("entry")).otherwise(F.raise_error(F.concat(F.lit("two files for the entry "), F.col("entry"))))).select("crate_id", "path", "entry", "external", "relative")
+
+
+def listed_files(spark: SparkSession, roots: DataFrame) -> DataFrame:
+    """crate_id, root, path of every file below each ``root`` of (crate_id, root), hidden ones too, at every depth; tasks list the folders."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for crate_id, root in zip(b["crate_id"], b["root"], strict=True):
+                system, at = _store(root)
+                found = [f.path for f in system.get_file_info(fs.FileSelector(at, recursive=True, allow_not_found=True)) if f.type == fs.FileType.File]
+                yield pd.DataFrame({"crate_id": crate_id, "root": at, "path": pd.Series(found, dtype=object)})
+
+    return roots.select("crate_id", "root").mapInPandas(run, "crate_id string, root string, path string")
+
+
+def archived_ids(entities: DataFrame, plan: DataFrame) -> DataFrame:
+    """crate_id, old, new: renames for entities whose id is the path of a planned file, so that it becomes the file's name in the archive; fragments keep theirs."""
+    spellings = F.array_compact(F.array(F.col("path"), F.concat(F.lit("file://"), F.col("path")), F.col("relative"), F.concat(F.lit("./"), F.col("relative"))))
+    named = plan.select("crate_id", F.explode(spellings).alias("old"), F.col("entry").alias("new"))
+    own = entities.filter(~F.col("id").startswith("#")).select("crate_id", F.col("id").alias("old")).distinct()
+    return own.join(named, ["crate_id", "old"]).filter("old != new").select("crate_id", "old", "new")
+
+
+def parquet_bytes(frame: DataFrame) -> int:
+    """How many bytes a frame takes as Parquet, written to a new place in the shared folder."""
+    spark = frame.sparkSession
+    at = written_path(frame)
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    return int(path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength())
 
 
 def write_zips(docs: DataFrame, plan: DataFrame, folder: str) -> DataFrame:
-    """Writes a zip per package, its document (crate_id, text) and its planned files, and returns crate_id, path, n_entries.
+    """Writes a zip per package to ``folder`` (any store), its document (crate_id, text) and its planned files, and returns crate_id, path, n_entries.
 
-    Inputs are never changed.  A package's files are streamed one by one.
+    Inputs are never changed.  A package's files are streamed one by one.  The
+    archive's name is the package's id, escaped so that different ids have different
+    names; it appears whole or not at all.
     """
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        name = f"{folder}/{key[0].strip('/').replace('/', '_')}.zip"
-        with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED, allowZip64=True) as z:
+        system, root = _store(folder)
+        name = f"{quote(key[0], safe='')}.zip"
+        temporary = f"{root}/.{uuid.uuid4().hex}"
+        system.create_dir(root, recursive=True)
+        with system.open_output_stream(temporary) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, allowZip64=True) as z:
             for text in left["text"]:
                 z.writestr(METADATA_FILE, text)
             for path, entry in sorted(zip(right["path"], right["entry"], strict=True)):
-                z.write(path, entry)
-        return pd.DataFrame({"crate_id": [key[0]], "path": [name], "n_entries": [len(left) + len(right)]})
+                source, at = _store(path)
+                with source.open_input_stream(at) as content, z.open(zipfile.ZipInfo(entry), "w", force_zip64=True) as member:
+                    shutil.copyfileobj(content, member, 1 << 20)
+        system.move(temporary, f"{root}/{name}")
+        return pd.DataFrame({"crate_id": [key[0]], "path": [f"{folder.rstrip('/')}/{name}"], "n_entries": [len(left) + len(right)]})
 
     return docs.groupBy("crate_id").cogroup(plan.groupBy("crate_id")).applyInPandas(run, "crate_id string, path string, n_entries long")
 

@@ -10,12 +10,12 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from parcelgraph.functions.links import guess_location, is_not_url, with_base
+from parcelgraph.functions.links import expand_home, guess_location, is_not_url, with_base
 from parcelgraph.functions.values import number_text
-from parcelgraph.operators import counts, edit, frame, lookup, rdf, rdf_import, reach, validate
+from parcelgraph.operators import counts, edit, frame, lookup, nested, rdf, rdf_import, reach, validate
 from parcelgraph.package import NotReadable, Package
 from parcelgraph.sources import packages as sources
-from parcelgraph.sources import remote, sinks
+from parcelgraph.sources import contexts, remote, sinks
 
 CONTEXT = "https://w3id.org/ro/crate/1.1/context"
 
@@ -144,16 +144,23 @@ def test_archives(spark, tmp_path):
 
 
 def test_locations(spark):
-    urls = ["http://example.com", "sftp://example.com", "data:text/html,<html>", "urn:uuid:123", "about:blank", "s3://bucket/key"]
-    paths = ["#test", "main.nf#x/A:B:C", "file:///C:/x", "/home/u", "C:\\x", "../x", "./x", "~/x", "\\\\n\\s", "D:/x", "", "_:b", "http://a b", "a/b"]
+    """The parts of the URL standard in turn: special schemes with hosts of every kind, schemes without a host, then what has no scheme or a bad host."""
+    hosts = ["library.test", "user@library.test", "[2001:db8::7]", "192.0.2.9:8080", "library.test?year=1", "library.test#top"]
+    urls = [f"{scheme}://{host}" for scheme in ("https", "ws", "FTP") for host in hosts] + ["gopher://library.test/0", "tag:library.test,2020:shelf", "news:misc.test", "x-shelf:7", "gs://shelf/7"]
+    paths = ["", "shelf", "shelf/7.csv", "#shelf", "?year=1", "_:shelf", "7up:left", "/var/shelf", "./shelf", "../shelf", "~/shelf", "file:/var/shelf", "E:/shelf", "E:\\shelf", "\\\\server\\shelf", "https://", "https://two words.test", "https://a|b.test", "ws://[2001:zz]/"]
     got = {r["s"]: r["v"] for r in spark.createDataFrame([(x,) for x in urls + paths], "s string").select("s", is_not_url(F.col("s")).alias("v")).collect()}
     assert got == {**dict.fromkeys(urls, False), **dict.fromkeys(paths, True)}
-    cases = [("http://h/a/b", "c", "http://h/a/c"), ("http://h/a/", "./c", "http://h/a/c"), ("http://h/a/b/", "../c", "http://h/a/c"), ("http://h/a/", "/c", "http://h/c"), ("http://h/a/#x", "#y", "http://h/a#y"), ("s3://b/k/", "d/e", "s3://b/k/d/e")]
+    deep = "x/" * 30
+    cases = [
+        ("http://h/a/b", "c", "http://h/a/c"), ("http://h/a/", "./c", "http://h/a/c"), ("http://h/a/b/", "../c", "http://h/a/c"), ("http://h/a/", "/c", "http://h/c"), ("http://h/a/#x", "#y", "http://h/a#y"), ("s3://b/k/", "d/e", "s3://b/k/d/e"),
+        ("http://h", "c", "http://h/c"), ("http://h/a/b/", ".", "http://h/a/b/"), ("http://h/a/b/", "..", "http://h/a/"), (f"http://h/{deep}", "../" * 29 + "y", "http://h/x/y"), ("http://h/a/", "../../c", None), ("http://h/a/b", "../../c", "http://h/c"), ("urn:uuid:1", "c", "urn:uuid:1c"),
+    ]
     got = spark.createDataFrame(cases, "b string, r string, e string").select(with_base(F.col("b"), F.col("r")).alias("v"), "e").collect()
     assert [r["v"] for r in got] == [r["e"] for r in got]
-    cases = [("http://h/a/", "http://h/a/ro-crate-metadata.json"), ("http://h/a/x.json", "http://h/a/ro-crate-metadata.json"), ("http://h/a/b", "http://h/a/ro-crate-metadata.json"), ("http://h/a-b.c-d", "http://h/a-b.c-d/ro-crate-metadata.json")]
+    cases = [("http://h/a/", "http://h/a/ro-crate-metadata.json"), ("http://h/a/x.json", "http://h/a/ro-crate-metadata.json"), ("http://h/a/b", "http://h/a/ro-crate-metadata.json"), ("http://h/a-b.c-d", "http://h/a-b.c-d/ro-crate-metadata.json"), ("http://h/a/x.y.z", "http://h/a/x.y.z/ro-crate-metadata.json")]
     assert all(r["v"] == r["e"] for r in spark.createDataFrame(cases, "u string, e string").select(guess_location(F.col("u")).alias("v"), "e").collect())
     assert [remote.guessed(u) for u, _ in cases] == [e for _, e in cases]
+    assert [r[0] for r in spark.createDataFrame([("~",), ("~/a",), ("a~",)], "p string").select(expand_home(F.col("p"), "/home/me/")).collect()] == ["/home/me", "/home/me/a", "a~"]
 
 
 def test_numbers(spark):
@@ -226,3 +233,167 @@ def test_bagit_checksums():
 
     assert remote.bagit_metadata(bag(hashlib.sha512(b"{}").hexdigest())) == "{}"
     assert remote.bagit_metadata(bag("0" * 128)) is None
+
+
+def test_broken_archives_are_rejected(spark, tmp_path):
+    (tmp_path / "a.zip").write_bytes(b"no archive")
+    (tmp_path / "b.zip").write_bytes(sinks.zip_bytes("", {"x": b"1"}).replace(b"PK", b"KP", 1))
+    (tmp_path / "c.zip").write_bytes(sinks.zip_bytes(document(), {"x": b"1"}))
+    got = sources.parse(sources.read_zips(spark, str(tmp_path)))
+    assert got.crates.count() == 1 and {r["reason"] for r in got.rejects.collect()} == {"not JSON"}
+
+
+def test_archives_with_names_that_only_differ_in_slashes(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/x.txt").write_text("x")
+    docs = spark.createDataFrame([("a/b", document()), ("a_b", document())], "crate_id string, text string")
+    files = sinks.listed_files(spark, spark.createDataFrame([("a/b", f"{tmp_path}/in"), ("a_b", f"{tmp_path}/in")], "crate_id string, root string"))
+    got = sinks.write_zips(docs, sinks.archive_plan(files), f"{tmp_path}/out").collect()
+    assert len({r["path"] for r in got}) == 2 and {r["n_entries"] for r in got} == {2}
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a%2Fb.zip", "a_b.zip"]
+    assert sources.parse(sources.read_zips(spark, f"{tmp_path}/out")).crates.count() == 2
+
+
+def test_archive_of_a_folder_renames_ids(spark, tmp_path):
+    (tmp_path / "in/d").mkdir(parents=True)
+    (tmp_path / "in/d/b.txt").write_text("b")
+    package = Package.read_object(spark, document({"@id": "d/b.txt", "@type": "File"}, {"@id": "#e", "@type": "Thing", "of": {"@id": "d/b.txt"}}))
+    path = package.archive(f"{tmp_path}/in", f"{tmp_path}/out", flatten=True).first()["path"]
+    back = Package.read_zip(spark, path)
+    assert back.get_entity("b.txt")["type"] == "File" and back.get_entity("#e")["of"] == {"@id": "b.txt"}
+    assert sinks.parquet_bytes(package.add_urn_uuid("u").frame()) > 0
+
+
+def test_renames_and_removals_stay_in_their_package(spark):
+    both = sources.parse(sources.from_texts(spark, {k: document({"@id": "#e", "@type": "Thing", "of": {"@id": "#lic"}, "more": [{"@id": "#lic"}, {"@id": "#e"}, {"@id": "#e"}]}) for k in ("one", "two")}))
+    names = spark.createDataFrame([("one", "#lic", "#new")], "crate_id string, old string, new string")
+    entities, properties = edit.rename(both.entities, both.properties, names)
+    assert {(r["crate_id"], r["id"]) for r in entities.filter("id IN ('#lic', '#new')").collect()} == {("one", "#new"), ("two", "#lic")}
+    assert {(r["crate_id"], *r["ids"]) for r in properties.filter("key IN ('of', 'more') AND depth = 0").collect()} == {("one", "#new"), ("two", "#lic"), ("one", "#new", "#e", "#e"), ("two", "#lic", "#e", "#e")}
+    gone = spark.createDataFrame([("two", "#lic")], "crate_id string, id string")
+    left = edit.remove_links(both.properties, gone).filter("key IN ('of', 'more') AND depth = 0")
+    assert {(r["crate_id"], r["key"], *r["ids"]) for r in left.collect()} == {("one", "of", "#lic"), ("one", "more", "#lic", "#e", "#e"), ("two", "more", "#e", "#e")}
+
+
+def test_added_context_items_have_places_of_their_own(spark):
+    t = Package.read_object(spark, document()).tables
+    new = spark.createDataFrame([("object", "reference", None, "http://b"), ("object", "reference", None, "http://a"), ("object", "embedded", "k", "http://k"), ("object", "embedded", "l", "http://l")], "crate_id string, kind string, key string, value string")
+    items = edit.add_context(t.context_items, new)
+    assert [(r["pos"], r["key"], r["value"]) for r in items.orderBy("pos", "key").collect()] == [(0, None, CONTEXT), (1, None, "http://a"), (2, None, "http://b"), (3, "k", "http://k"), (3, "l", "http://l")]
+    assert json.loads(Package(t.with_tables(context_items=items), "object").text())["@context"] == [CONTEXT, "http://a", "http://b", {"k": "http://k", "l": "http://l"}]
+
+
+def test_parts_of_the_root(spark):
+    t = Package.read_object(spark, document({"@id": "a.csv", "@type": "File"}, hasPart=[{"@id": "a.csv"}])).tables
+    new = spark.createDataFrame([("object", "./", "b.csv")], "crate_id string, id string, part string")
+    assert edit.add_parts(t.entities, t.properties, new).filter("key = 'hasPart'").first()["ids"] == ["a.csv", "b.csv"]
+    for id_, parts in (("./", ["a.csv", "./"]), ("a.csv", ["a.csv"])):
+        ids = spark.createDataFrame([("object", id_)], "crate_id string, id string")
+        assert edit.add_part_to_root(t.entities, t.properties, ids).filter("key = 'hasPart' AND depth = 0").first()["ids"] == parts
+
+
+def test_escapes_of_ntriples(spark):
+    texts = ["C:\\new\\table", "a\\\\b\\", '"q"', "tab\there", "line\nend", "\\u0041 stays", "é 日 😀", ""]
+    rows = [("c", f"http://s/{i}", "iri", "http://p", t, "literal", None, None) for i, t in enumerate(texts)]
+    triples = spark.createDataFrame(rows, "crate_id string, s string, s_kind string, p string, o string, o_kind string, datatype string, lang string")
+    assert [r["o"] for r in rdf.parse_ntriples(rdf.ntriples(triples)).orderBy("s").collect()] == texts
+    line = r'<http://s/\u00E9> <http://p> "\u0041\U0001F600\b\f\'\\u0041\\\n"@en <http://g> . # end'
+    got = rdf.parse_ntriples(spark.createDataFrame([("c", line)], "crate_id string, line string")).first()
+    assert (got["s"], got["o"], got["lang"], got["datatype"]) == ("http://s/é", "A😀\b\f'\\u0041\\\n", "en", None)
+
+
+def test_malformed_lines(spark):
+    lines = spark.createDataFrame([("c", "garbage"), ("c", "# only a comment"), ("c", ""), ("c", "<http://s> <http://p> _:b ."), ("c", '<http://s> <http://p> "open .')], "crate_id string, line string")
+    with pytest.raises(Exception, match="not a triple"):
+        rdf.parse_ntriples(lines).collect()
+    with pytest.raises(Exception, match="not a triple"):
+        rdf.parse_ntriples(lines).select("s").collect()
+    assert {r["line"] for r in rdf.malformed_lines(lines).collect()} == {"garbage", '<http://s> <http://p> "open .'}
+    assert [(r["s"], r["o"], r["o_kind"]) for r in rdf.parse_ntriples(lines, strict=False).collect()] == [("http://s", "_:b", "blank")]
+
+
+def test_own_contexts(spark):
+    terms = spark.createDataFrame([("1.1", k, i) for k, i in TERMS.items()], "version string, term string, iri string")
+    own = {"name": "http://own/name", "ex": "http://ex/ns#", "@vocab": "http://vocab/", "@base": "http://base/c/"}
+    package = Package.read_object(spark, document({"@id": "#e", "@type": "ex:Kind", "ex:p": 1, "plain": {"@id": "../up"}, "far": {"@id": "x"}}, context=[CONTEXT, "http://more/ctx", own]))
+    known = contexts.Contexts({"http://more/ctx": json.dumps({"@context": ["http://next/ctx", {"far": {"@id": "http://far/p"}, "bad": 3}]}), "http://next/ctx": json.dumps({"far": "http://lost", "near": "http://near"})})
+    assert known.terms("http://more/ctx") == {"far": "http://far/p", "near": "http://near"}
+    with pytest.raises(contexts.MissingContext):
+        known.terms("http://elsewhere")
+    t = package.tables
+    got = {(r["s"], r["p"], r["o"]) for r in rdf.export_triples(t.crates, t.entities, t.properties, terms, context_items=t.context_items, contexts=known.table(spark, ["http://more/ctx"])).collect()}
+    e = "http://base/c#e"
+    assert {x for x in got if x[0] == e} == {(e, rdf.RDF_TYPE, "http://ex/ns#Kind"), (e, "http://ex/ns#p", "1"), (e, "http://vocab/plain", "http://base/up"), (e, "http://far/p", "http://vocab/x")}
+    assert ("http://base/c/", "http://own/name", "n") in got
+    above = Package.read_object(spark, document({"@id": "#e", "@type": "Dataset", "isPartOf": {"@id": "../../up"}}, context=[CONTEXT, {"@base": "http://base/c/"}]))
+    with pytest.raises(Exception, match="leads above"):
+        above.triples(terms, strict=False).collect()
+    bad = Package.read_object(spark, document({"@id": "#e", "@type": "Dataset", "isPartOf": {"@id": "two words"}}))
+    with pytest.raises(Exception, match="not an IRI"):
+        bad.triples(terms, base="http://h/").collect()
+    assert bad.triples(terms, base="http://h/", strict=False).count() > 0
+
+
+def test_dangling_references_and_turtle(spark):
+    terms = spark.createDataFrame([("1.2", "schema", "http://schema.org/"), ("1.2", "name", "http://schema.org/name")], "version string, term string, iri string")
+    rows = [("c", "http://s", "iri", "http://p", o, kind, None, None) for o, kind in (("http://s", "iri"), ("http://gone", "iri"), ("http://schema.org/Thing", "iri"), ("text", "literal"), ("_:b", "blank"))]
+    rows.append(("c", "http://s", "iri", rdf.RDF_TYPE, "http://schema.org/Thing", "iri", None, None))
+    triples = spark.createDataFrame(rows, "crate_id string, s string, s_kind string, p string, o string, o_kind string, datatype string, lang string")
+    assert {r["dst"] for r in rdf.dangling_references(triples, terms).collect()} == {"http://gone", "_:b"}
+    assert rdf.turtle(triples).first()["text"] == '<http://s> a <http://schema.org/Thing> ;\n    <http://p> "text", <http://gone>, <http://s>, <http://schema.org/Thing>, _:b .'
+
+
+def test_nested_packages_are_fetched_once(spark, tmp_path):
+    profile = {"@id": "https://w3id.org/ro/crate/1.1"}
+    below = lambda *at: document(*({"@id": x, "@type": "Dataset", "conformsTo": profile} for x in at))
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub/ro-crate-metadata.json").write_text(below("http://a/"))
+    sites = {"http://a/": below("http://b/", "sub/"), "http://b/": below("http://a/", "http://lost/")}
+    transport = lambda url, headers: remote.Response(200, [], sites[url].encode()) if url in sites else remote.Response(404, [], b"")  # noqa: E731, ARG005
+    found, asked = nested.fetch_nested(Package.read_object(spark, below("sub/")).tables, transport, str(tmp_path))
+    assert sorted(r["crate_id"] for r in found.crates.collect()) == ["http://a/", "http://b/", "sub/"]
+    assert {(r["url"], r["depth"], r["found"]) for r in asked.collect()} == {("sub/", 1, True), ("http://a/", 2, True), ("http://b/", 3, True), ("http://lost/", 4, False)}
+
+
+def test_content_negotiation(spark):
+    def transport(url, headers):
+        if headers.get("Accept") == remote.ZIP_TYPE:
+            return remote.Response(200, [("content-type", "application/zip")], sinks.zip_bytes(document(), {}))
+        return remote.Response(406 if headers else 404, [], b"")
+
+    assert remote.resolve("http://h/x", transport) == document()
+
+
+def test_needles():
+    assert [lookup.parse_needle(x) for x in ("42", "true", '"q"', '["a","b"]', "[1, 2]", '{"@id": "x"}', '{"b": "x", "a": 1}', 'say "hi"')] == [
+        ("string", '"42"'), ("string", '"true"'), ("string", '"q"'), ("strings", '["a","b"]'), ("string", '"[1, 2]"'), ("id", '{"@id":"x"}'), ("object", '{"a":1,"b":"x"}'), ("string", '"say \\"hi\\""'),
+    ]
+
+
+def test_package_face(spark, tmp_path):
+    terms = spark.createDataFrame([("1.1", "name", "http://schema.org/name")], "version string, term string, iri string")
+    package = Package.read_object(spark, document(context=[CONTEXT, {"t": "http://t"}]))
+    assert package.contexts() == [CONTEXT, "http://t"] and package.context_value("t") == "http://t" and package.urn_uuid() is None
+    assert package.add_urn_uuid("7").urn_uuid() == "7"
+    linked = package.set_links("#lic", "see", ["./", "#lic"]).set_links("#lic", "one", ["./"], single=True)
+    assert linked.get_entity("#lic") == {"id": "#lic", "type": "CreativeWork", "name": "free", "one": {"@id": "./"}, "see": [{"@id": "./"}, {"@id": "#lic"}]}
+    assert "see" not in linked.remove_field("#lic", "see").get_entity("#lic")
+    assert [e["id"] for e in package.append("a", "File").append("a", "File").to_list()][-2:] == ["a", "a"]
+    assert Package.report(spark, terms, text="{")["error_type"] == "JsonError"
+    assert Package.report(spark, terms, path=f"{tmp_path}/none.json")["error_type"] == "IoError"
+    assert Package.report(spark, terms, text=document(context="http://other"))["error_type"] == "SchemaError"
+    assert Package.report(spark, terms, text=document()) == {"is_valid": True, "invalid_keys": [], "invalid_ids": [], "invalid_types": [], "error_type": None, "error_message": None}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from parcelgraph.__main__ import main
+
+    at, out = f"{tmp_path}/m.json", f"{tmp_path}/out.json"
+    (tmp_path / "m.json").write_text(document())
+    main(["add-id-vec-values", at, "#lic", "see", "./,#x", out])
+    assert {"@id": "#x"} in json.loads(open(out).read())["@graph"][2]["see"]
+    main(["remove-field", out, "#lic", "see", out])
+    assert "see" not in json.loads(open(out).read())["@graph"][2]
+    capsys.readouterr()
+    main(["fields", at, "name"])
+    assert len(capsys.readouterr().out.splitlines()) == 3
