@@ -11,9 +11,12 @@ meets in none of them with probability 4e-6, and a pair at 0.3 meets in one with
 0.05.  Documents with equal sets are one node from the start.  The members of a
 band's bucket are compared with the one that meets most others, links are confirmed on the full
 sets, and what remains in other components of a bucket is then compared with the
-bucket's members if the sketches' estimate reaches ``LEAST_ESTIMATE``, six
+bucket's members unless that can't give a link: by the triangle inequality, by
+traces (the bins of ``TRACE_BITS`` that a set's shingles fall in; each bin of one set
+alone is a shingle of it alone, so similarity has an exact upper bound), or, for
+sets that fill their traces, by an estimate below ``LEAST_ESTIMATE``, six
 deviations below a link.  A pair at similarity 0.75 falls short of that with
-probability 2e-9, some thousand times more rarely than it meets in no band; copies
+probability 4e-9, a thousand times more rarely than it meets in no band; copies
 are never expanded into pairs.
 """
 
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelgraph.llm.components import connected_components
@@ -38,9 +41,11 @@ ROWS = 6
 BANDS = 64
 COORDINATES = ROWS * BANDS
 #: Bits of each bin that estimate a similarity, and the least estimate at which a pair beside the heads is compared:
-#: at similarity 0.75 the estimate's deviation is 0.024.
-BITS = 8
-LEAST_ESTIMATE = 0.6
+#: at similarity 0.75 the estimate's deviation is 0.026.
+BITS = 4
+LEAST_ESTIMATE = 0.59
+#: Bits of a set's trace.
+TRACE_BITS = 1536
 #: Most candidates whose keys are broadcast to find their texts; 24 bytes each.
 BROADCAST_ROWS = 1_000_000
 
@@ -88,6 +93,21 @@ def estimate_bits(sketch: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(low << (np.arange(per, dtype=np.uint64) * _U(BITS)), axis=2).view(np.int64)
 
 
+def traces(sets: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+    """A row of TRACE_BITS bits per set, packed to 64-bit numbers: the bins in which it has a shingle."""
+    bits = np.zeros((len(sets), TRACE_BITS), dtype=bool)
+    if sizes.sum():
+        bits[np.repeat(np.arange(len(sets)), sizes), ((np.concatenate(sets) >> _U(24)) % _U(TRACE_BITS)).astype(np.int64)] = True
+    return np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+
+
+def may_link(n: tuple[Column, Column], trace: tuple[Column, Column]) -> Column:
+    """False only if two sets' sizes and traces rule a link out."""
+    alone = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda t, b: t + b)
+    most = F.least(n[0] - alone(*trace), n[1] - alone(*trace[::-1]))
+    return 100 * most >= PERCENT * (n[0] + n[1] - most)
+
+
 def _lists(values: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(np.arange(0, values.size + 1, values.shape[1], dtype=np.int32), values.reshape(-1))
 
@@ -104,18 +124,18 @@ def _print(values: np.ndarray) -> bytes | None:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, n_shingles, set_key (null: empty set), band keys and estimate bits of every document."""
+    """doc_id, text_key, n_shingles, set_key (null: empty set), band keys, estimate bits and trace of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, sets, sizes in _sets_of(batch.column("text")):
                 sketch = sketches(sets, sizes)
-                lists = [_lists(band_keys(sketch)), _lists(estimate_bits(sketch))]
+                lists = [_lists(band_keys(sketch)), _lists(estimate_bits(sketch)), _lists(traces(sets, sizes))]
                 columns = [batch.column("doc_id").slice(a, b - a), batch.column("text_key").slice(a, b - a), pa.array(sizes), pa.array([_print(x) for x in sets], pa.binary()), *lists]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "n_shingles", "set_key", "bands", "bits"])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "n_shingles", "set_key", "bands", "bits", "trace"])
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    return rows.mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_key binary, bands array<long>, bits array<long>")
+    return rows.mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_key binary, bands array<long>, bits array<long>, trace array<long>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -162,7 +182,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     null ids; a component of null ids alone has none, and its rows are kept.
     """
     signed = written(signatures(docs))
-    nodes = signed.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_key")).alias("example"))
+    nodes = signed.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.first("trace").alias("trace"), F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_key")).alias("example"))
     nodes = written(nodes)
     keyed = nodes.select("set_key", F.explode("bands").alias("band")).repartition("band")
     crowded = keyed.groupBy("band").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high"), F.count("set_key").alias("crowd")).filter("low != high")
@@ -192,15 +212,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = written(placed.select("band", "set_key", "n", "head", "root", "head_root", F.coalesce(exact, bound).alias("low"), F.coalesce(exact, F.lit(1.0)).alias("high")))
     others = placed.filter("set_key != head")
     crowds = others.groupBy("band").agg(F.count("*").alias("others"), F.count_if(F.col("root") != F.col("head_root")).alias("minors")).filter("others > 1 AND minors > 0")
-    others = others.withColumn("minor", F.col("root") != F.col("head_root")).join(crowds.select("band"), "band").join(nodes.select("set_key", "bands", "bits"), "set_key")
-    side = lambda df, x: df.select("band", *(F.col(c).alias(f"{x}_{c}") for c in ("set_key", "n", "root", "low", "high", "bands", "bits", "minor")))
+    others = others.withColumn("minor", F.col("root") != F.col("head_root")).join(crowds.select("band"), "band").join(nodes.select("set_key", "bands", "bits", "trace"), "set_key")
+    side = lambda df, x: df.select("band", *(F.col(c).alias(f"{x}_{c}") for c in ("set_key", "n", "root", "low", "high", "bands", "bits", "trace", "minor")))
     apart = F.greatest(F.col("a_low") - F.col("b_high"), F.col("b_low") - F.col("a_high"))
     unequal = F.aggregate(F.zip_with("a_bits", "b_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     estimate = 1 - 2 * unequal / (BITS * COORDINATES)
     first_band = F.try_element_at(F.filter("a_bands", lambda x, i: x == F.element_at("b_bands", i + 1)), F.lit(1))  # a pair counts in the first bucket that it shares
     rest = (
         side(others.filter("minor"), "a").join(side(others, "b"), "band").filter("a_root != b_root AND (NOT b_minor OR a_set_key < b_set_key)").filter(similar("a_n", "b_n"))
-        .filter(apart <= 1 - PERCENT / 100 + 1e-9).filter(estimate >= LEAST_ESTIMATE).filter(first_band == F.col("band"))
+        .filter(apart <= 1 - PERCENT / 100 + 1e-9).filter(may_link((F.col("a_n"), F.col("b_n")), (F.col("a_trace"), F.col("b_trace")))).filter(estimate >= LEAST_ESTIMATE).filter(first_band == F.col("band"))
     )
     pairs = rest.select(F.least("a_set_key", "b_set_key").alias("a"), F.greatest("a_set_key", "b_set_key").alias("b")).distinct()
     more = written(compared(pairs, sets).filter("linked").select("a", "b"))

@@ -1,6 +1,7 @@
 from math import comb
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from parcelgraph.llm import minhash
 from tests.llm.conftest import DOCS, awkward_rows, passage
@@ -86,6 +87,21 @@ def test_representatives_with_clashing_columns_and_repeated_ids(spark):
     assert len(found) == 2 and sorted(found, key=repr)[0][0] == 1 and (None, None) in found
 
 
+def test_traces_never_rule_out_a_link(spark):
+    rng = np.random.default_rng(1)
+    pairs = []
+    for i in range(400):
+        n = int(rng.integers(1, 2000 if i % 4 == 0 else 200))
+        pool = rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64)
+        a, b = np.unique(pool[:n]), np.unique(pool[int(n * rng.uniform(0, 0.3)) :][:n])
+        both = len(np.intersect1d(a, b))
+        pairs.append((len(a), len(b), both / (len(a) + len(b) - both), *minhash.traces([a, b], np.array([len(a), len(b)])).tolist()))
+    rows = spark.createDataFrame(pairs, "n long, m long, similarity double, a array<long>, b array<long>")
+    got = [(r["similarity"], r["n"], r["may"]) for r in rows.select("similarity", "n", minhash.may_link((F.col("n"), F.col("m")), (F.col("a"), F.col("b"))).alias("may")).collect()]
+    assert all(may for x, _, may in got if x >= 0.75) and sum(x >= 0.75 for x, _, _ in got) > 50
+    assert not any(may for x, n, may in got if x < 0.6 and 20 <= n < 200)  # larger sets fill their traces
+
+
 def test_estimate_loses_no_more_than_the_banding():
     """Unequal bits of two sketches at similarity 0.75: a bin differs with 0.25, each of its bits then with 0.5."""
     one = np.array([0.25 * comb(minhash.BITS, i) / 2**minhash.BITS for i in range(minhash.BITS + 1)])
