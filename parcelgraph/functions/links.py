@@ -21,16 +21,6 @@ def is_not_url(s: Column) -> Column:
     return s.rlike(_LOCAL) | ~url
 
 
-def is_not_url_sql(s: str) -> str:
-    """``is_not_url`` as SQL text with ``regexp_matches``."""
-    special = "|".join(SPECIAL_SCHEMES)
-    host = r"([^/\\?#@]*@)?(\[[0-9A-Fa-f:.]+\]|[^\x00-\x20#/:<>?@\[\\\]^|%\x7F]+)(:[0-9]*)?([/\\?#]|$)"
-    return (
-        rf"(regexp_matches({s}, '^(\\\\|.:|/|\.|file:)') OR NOT (regexp_matches({s}, '^[A-Za-z][A-Za-z0-9+.\-]*:')"
-        rf" AND (NOT regexp_matches({s}, '(?i)^({special}):') OR regexp_matches({s}, '(?i)^({special}):[/\\]*{host}'))))"
-    )
-
-
 def is_absolute_iri(s: Column) -> Column:
     """Whether the text begins with a scheme."""
     return s.rlike(_SCHEME)

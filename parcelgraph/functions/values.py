@@ -40,9 +40,10 @@ def number_text(x: Column) -> Column:
 
 
 def json_text_sql(v: str) -> str:
-    """Compact JSON of a VARIANT; whole decimals keep their ``.0``."""
+    """Compact JSON of a VARIANT; whole decimals keep their ``.0`` (integers of up to 18 digits have another type, longer ones are decimals without it)."""
     t = f"schema_of_variant({v})"
-    return f"CASE WHEN {t} LIKE 'DECIMAL%' AND NOT {t} LIKE '%,0)' AND NOT contains(to_json({v}), '.') THEN concat(to_json({v}), '.0') WHEN {t} = 'DECIMAL(1,0)' THEN concat(to_json({v}), '.0') ELSE to_json({v}) END"
+    whole = f"{t} LIKE 'DECIMAL(%' AND NOT contains(to_json({v}), '.') AND (NOT {t} LIKE '%,0)' OR int(substring_index(substr({t}, 9), ',', 1)) <= 18)"
+    return f"CASE WHEN {whole} THEN concat(to_json({v}), '.0') ELSE to_json({v}) END"
 
 
 def kind(id_: Column, types: Column) -> Column:
