@@ -32,6 +32,10 @@ END_ID = 1
 PART_BYTES = 24_000_000
 #: Pieces that a worker remembers the ids of, over all its tasks; beyond, it forgets those met once.
 MEMORY_WORDS = 600_000
+#: Texts by which a tokenizer shows whether it may encode pieces: cases, marks, digits, contractions, other scripts, combining marks and white space of every kind.
+PROBES = (
+    "The quick brown Fox's den, isn't it? 12 3.45; A.B.C: end!", "  leading, trailing and\n\nbroken\tlines \r\n", "Ünïcödé ÉCOLE ﬁn Straße İ ΣΑΣ 日本語 emoji 😀.", "é é. x́. ,̧c a\x85b c\xa0d e\u2003f", "snake_case CamelCase http://h.x/a?b=c#d <b>e</b> (f) \"g\" 'h' --i",
+)
 
 
 class WordEncoder:
@@ -40,7 +44,11 @@ class WordEncoder:
     Pieces are words, cut between ASCII letters and the marks ``.,;:!?`` and, where
     no special token can be in the text, lower-cased in ASCII.  For a tokenizer
     that lower-cases, drops white space and never merges across it or between
-    letters and marks, as the word BPE does, this equals encoding whole texts.
+    letters and marks, as the word BPE does, this equals encoding whole texts.  Other
+    tokenizers, found out by PROBES, encode whole texts.
+
+    Pieces are remembered by their bytes.  Within a slice of a megabyte they are
+    told apart by 64-bit hashes and lengths.
     """
 
     def __init__(self, path: str) -> None:
@@ -49,43 +57,58 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.places: dict[int, int] = {}
+        self.places: dict[bytes, int] = {}
         self.ids = np.zeros(0, np.uint32)
         self.starts, self.lengths, self.met = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.by_pieces = all(self._agrees(x) for x in PROBES)
+
+    def _agrees(self, text: str) -> bool:
+        """Whether a text's pieces give the ids of the whole."""
+        raw = np.frombuffer(text.encode(), np.uint8)
+        return self._by_pieces(raw, np.array([0, len(raw)]), 0)[0][:-1].tolist() == self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _forget(self, room: int) -> None:
         """Keeps pieces met in several slices, or none if they leave too little room."""
         keep = np.flatnonzero(self.met > 1)
         if len(keep) + room > MEMORY_WORDS:
             keep = keep[:0]
-        hashes = np.fromiter(self.places, np.uint64, len(self.places))[keep]  # in the order of their places
+        names = list(self.places)  # in the order of their places
         lengths = self.lengths[keep]
         new_starts = np.cumsum(lengths) - lengths
         self.ids = self.ids[np.repeat(self.starts[keep] - new_starts, lengths) + np.arange(lengths.sum())]
         self.starts, self.lengths, self.met = new_starts, lengths, np.zeros(len(keep), np.int32)
-        self.places = dict(zip(hashes.tolist(), range(len(keep)), strict=True))
+        self.places = {names[i]: at for at, i in enumerate(keep.tolist())}
 
-    def _learn(self, hashes: list[int], words: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def _learn(self, words: list[bytes]) -> None:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
         self.met = np.concatenate([self.met, np.zeros(len(found), np.int32)])
         self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))])
-        self.places.update(zip(hashes, range(len(self.places), len(self.places) + len(hashes)), strict=True))
+        self.places.update(zip(words, range(len(self.places), len(self.places) + len(words)), strict=True))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of consecutive texts, each followed by ``end_id``, and how many each has."""
-        special = b"<|" in data[offsets[0] : offsets[-1]].tobytes()
-        words = split_words(data, offsets, lower=not special, at_marks=True)
-        distinct, first, which = np.unique(words.hashes, return_index=True, return_inverse=True)
+        if self.by_pieces:
+            return self._by_pieces(data, offsets, end_id)
+        texts = [data[a:b].tobytes().decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable((*ids, end_id) for ids in found), np.uint32), np.array([len(ids) + 1 for ids in found], np.int64)
+
+    def _by_pieces(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        raw = data[offsets[0] : offsets[-1]].tobytes()
+        words = split_words(data, offsets, lower=b"<|" not in raw, at_marks=True)
+        key = words.hashes + (words.ends - words.starts).astype(np.uint64)
+        _, first, which = np.unique(key, return_index=True, return_inverse=True)
+        raw = words.data.tobytes()
+        distinct = [raw[words.starts[i] : words.ends[i]] for i in first]
         if len(self.places) + len(distinct) > MEMORY_WORDS:
             self._forget(len(distinct))
-        new = [i for i, h in enumerate(distinct.tolist()) if h not in self.places]
+        new = list(dict.fromkeys(w for w in distinct if w not in self.places))
         if new:
-            raw = words.data.tobytes()
-            self._learn(distinct[new].tolist(), [raw[words.starts[i] : words.ends[i]].decode() for i in first[new]])
-        known = np.fromiter(map(self.places.__getitem__, distinct.tolist()), np.int64, len(distinct))
+            self._learn(new)
+        known = np.fromiter(map(self.places.__getitem__, distinct), np.int64, len(distinct))
         self.met[known] += 1
         at = known[which]
         lengths = self.lengths[at]

@@ -38,6 +38,16 @@ def test_pieces_equal_whole_texts_even_with_little_memory(tokenizer, monkeypatch
         assert ids.tolist() == [i for x in expected for i in x]
 
 
+def test_other_tokenizers_encode_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, whole = tokens.WordEncoder(path), Tokenizer.from_file(path)
+    assert tokens.WordEncoder(PATH).by_pieces and not encoder.by_pieces
+    texts = [t for t in ODD if t]
+    data, offsets = text_buffers(pa.array(texts, pa.string()))
+    ids, counts = encoder.encode(data, offsets, 1)
+    assert ids.tolist() == [i for t in texts for i in ids_of(whole, t)] and counts.tolist() == [len(ids_of(whole, t)) for t in texts]
+
+
 def test_files_round_trip(awkward, tokenizer, spark):
     folder = shared_folder(spark)
     manifest = tokens.write_tokens(awkward, PATH, folder)
