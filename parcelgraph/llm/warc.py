@@ -28,7 +28,10 @@ ARCHIVE_BYTES = 32_000_000
 DICTIONARY_BYTES = 32_768
 #: Bytes of an archive's records from which its dictionary is built.
 SAMPLE_BYTES = 1_000_000
+#: When the pages were fetched, unless said otherwise: the test tables have no times.
 DATE = "2024-01-01T00:00:00Z"
+#: Repeated digests (150 bytes each) that are broadcast, and parts of one digest's rows beyond that.
+BROADCAST_ROWS, SALTS = 200_000, 32
 
 # Fixed values of the two formats.
 SKIPPABLE_MAGIC = 0x184D2A5D
@@ -37,19 +40,30 @@ HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
 def with_types(pages: DataFrame) -> DataFrame:
-    """Adds payload, payload_bytes, payload_digest, record_type and refers_to to ``page_id, url, html``.
+    """Adds payload, payload_bytes, payload_digest, record_type, refers_to and refers_to_url to ``page_id, url, html``.
 
     A null html is an empty payload.  Rows that share both payload and the least
     page_id are all responses.  Null ids sort last: a payload that only they have
-    is a response each time.
+    is a response each time.  Other columns are not read.
+
+    Payloads stay where they are while the repeated digests are few enough to be
+    broadcast; beyond that rows meet them by digest and a part of their id, so that
+    a payload with a third of all rows is spread.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumns({"payload_bytes": F.length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)})
-    large = rows.filter(F.col("payload_bytes") >= REVISIT_BYTES)
-    first = large.groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").select("payload_digest", "first_id")
-    rows = rows.join(first, "payload_digest", "left")
+    large = rows.filter(F.col("payload_bytes") >= REVISIT_BYTES).select("page_id", "url", "payload_digest")
+    least = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url")))
+    first = large.groupBy("payload_digest").agg(least.alias("first"), F.count("*").alias("n")).filter("n > 1")
+    first = written(first.select("payload_digest", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url")))
+    if first.count() <= BROADCAST_ROWS:
+        rows = rows.join(F.broadcast(first), "payload_digest", "left")
+    else:
+        salted = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["payload_digest", "salt"], "left")
     revisit = F.coalesce(~F.col("page_id").eqNullSafe(F.col("first_id")) & F.col("first_id").isNotNull(), F.lit(False))
-    return rows.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first_id")).alias("refers_to"))
+    of = lambda c, name: F.when(revisit, F.col(c)).alias(name)
+    return rows.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), of("first_id", "refers_to"), of("first_url", "refers_to_url"))
 
 
 def _record_id(page_id: int | None) -> str:
@@ -61,18 +75,24 @@ def _page_of(record_id: str) -> int | None:
     return int(number) if number else None
 
 
-def record(row: dict) -> bytes:
+def _one_line(url: str | None) -> str | None:
+    return None if url is None else " ".join(url.split())
+
+
+def record(row: dict, date: str = DATE) -> bytes:
     """One WARC record."""
     revisit = row["record_type"] == "revisit"
     block = b"" if revisit else HTTP_HEAD + row["payload"]
     head = {
         "WARC-Type": row["record_type"],
         "WARC-Record-ID": _record_id(row["page_id"]),
-        "WARC-Date": DATE,
-        "WARC-Target-URI": None if row["url"] is None else " ".join(row["url"].split()),
+        "WARC-Date": date,
+        "WARC-Target-URI": _one_line(row["url"]),
         "WARC-Payload-Digest": f"sha256:{row['payload_digest']}",
         "WARC-Payload-Length": row["payload_bytes"],
         "WARC-Refers-To": _record_id(row["refers_to"]) if revisit else None,
+        "WARC-Refers-To-Target-URI": _one_line(row["refers_to_url"]) if revisit else None,
+        "WARC-Refers-To-Date": date if revisit else None,
         "WARC-Profile": REVISIT_PROFILE if revisit else None,
         "Content-Type": "application/http; msgtype=response",
         "Content-Length": len(block),
@@ -138,8 +158,8 @@ def read_archive(uri: str, name: str) -> Iterator[dict]:
                 }
 
 
-def write_warc(pages: DataFrame, folder: str) -> DataFrame:
-    """Writes archives to ``folder`` and returns the manifest: name, n_records, n_bytes.
+def write_warc(pages: DataFrame, folder: str, date: str = DATE) -> DataFrame:
+    """Writes archives, whose records have ``date``, to ``folder`` and returns the manifest: name, n_records, n_bytes.
 
     Names hold the task attempt, so what a lost task has written is never in the manifest.
     """
@@ -156,7 +176,7 @@ def write_warc(pages: DataFrame, folder: str) -> DataFrame:
 
         for batch in batches:
             for i in range(batch.num_rows):
-                records.append(record(batch.slice(i, 1).to_pylist()[0]))
+                records.append(record(batch.slice(i, 1).to_pylist()[0], date))
                 size += len(records[-1])
                 if size >= ARCHIVE_BYTES:
                     yield close()
