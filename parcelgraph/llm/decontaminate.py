@@ -119,7 +119,7 @@ def leaks_by_text(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     met = written(_merged(met.distinct(), ["text_key", "k", "m"]))
 
     keys = _small(met.select(F.col("text_key").alias("met_key")).distinct())
-    chosen = docs.filter("text IS NOT NULL").withColumn("text_key", _text_key(F.col("text"))).join(keys, F.col("text_key") == F.col("met_key"), "left_semi").select("text_key", "text").dropDuplicates(["text_key"])
+    chosen = docs.filter("text IS NOT NULL").select(_text_key(F.col("text")).alias("text_key"), "text").join(keys, F.col("text_key") == F.col("met_key"), "left_semi").dropDuplicates(["text_key"])
     chosen = chosen.select("text_key", _words(F.col("text")).alias("w"))
     piece = ["text_key", "k", "m", "at"]
     pieces = chosen.join(met.select("text_key", "k", "m", "high", F.explode(F.sequence("low", "high", F.lit(PIECE))).alias("at")), "text_key")
@@ -161,6 +161,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that leak no item."""
-    found = written(leaks_by_text(docs, benchmark).select(F.col("text_key").alias("leaked")).distinct())
-    return docs.join(_small(found), _text_key(F.coalesce(F.col("text"), F.lit(""))) == F.col("leaked"), "left_anti")
+    """The rows of ``docs`` that leak no item; its other columns may have any names."""
+    found = written(leaks_by_text(docs, benchmark).select("text_key").distinct())
+    rows = docs.select(F.struct("*").alias("row"), _text_key(F.coalesce(F.col("text"), F.lit(""))).alias("text_key"))
+    return rows.join(_small(found), "text_key", "left_anti").select("row.*")
