@@ -1,10 +1,13 @@
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from parcelgraph.llm import languages
 from parcelgraph.llm.registry import op8_language_id
+from parcelgraph.llm.word_arrays import split_words, text_buffers
 from tests.llm.conftest import DOCS
 
 SF = "/root/testdata/sf0.001"
@@ -29,6 +32,47 @@ def test_awkward_rows(spark, awkward):
     assert languages.identify(awkward.limit(0), docs.select("text", "lang")).collect() == []
 
 
+def test_mixtures_against_plain_inference(spark):
+    """Expectation-maximisation word by word, as its definition says, for texts of one and of two languages."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names, model = languages.train(docs.select("text", "lang").filter("lang IS NOT NULL"))
+    model = model.astype(float)
+
+    def likelihood(word):
+        padded = b" " + word + b" "
+        at = [((padded[i] << 16 | padded[i + 1] << 8 | padded[i + 2]) * 2654435761 % 2**32 >> 16) & (languages.FEATURES - 1) for i in range(len(word))]
+        log = sum(model[f] for f in at)
+        return np.exp(np.maximum(log - log.max(), -60.0))
+
+    def fit(rows, share, steps):
+        for _ in range(steps):
+            weight = [r * share / (r * share).sum() for r in rows]
+            share = sum(weight) / len(rows)
+        return share, sum(np.log((r * share).sum()) for r in rows)
+
+    def plain(text):
+        rows = [likelihood(w) for w in text.lower().encode().split()]
+        share, fitted = fit(rows, np.full(len(names), 1 / len(names)), languages.STEPS)
+        while (share > 0).sum() > 1:
+            less = share.copy()
+            less[np.where(share > 0, share, np.inf).argmin()] = 0
+            less = less + 1e-6 * (less > 0)
+            less, value = fit(rows, less / less.sum(), languages.MORE_STEPS)
+            if fitted - value >= 0.5 * np.log(len(rows) + 1.0):
+                break
+            share, fitted = less, value
+        return share
+
+    some = [r["text"][:600] for r in docs.filter("n_chars > 700").orderBy("doc_id").limit(12).collect()]
+    texts = some + [f"{a} {b}" for a, b in zip(some[:6], some[6:], strict=True)]
+    data, offsets = text_buffers(pa.array(texts, pa.string()))
+    got = languages.proportions(split_words(data, offsets, lower=True), model.astype(np.float32))
+    for text, share in zip(texts, got, strict=True):
+        if text.isascii():
+            assert np.allclose(share, plain(text), atol=0.01)
+    assert sum(t.isascii() for t in texts) >= 3
+
+
 def test_nothing_learned(awkward):
     got = languages.identify(awkward, awkward.select("text", "lang").limit(0)).collect()
     assert {r["lang_pred"] for r in got} == {"und"}

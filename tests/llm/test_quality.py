@@ -45,3 +45,25 @@ def test_features_of_a_text_do_not_depend_on_its_neighbours():
     for i, t in enumerate(texts):
         data, offsets = text_buffers(pa.array([t], pa.string()))
         assert np.allclose(quality.features(data, offsets)[0], together[i])
+
+
+def test_features_and_scores_against_plain_python():
+    text = "Ein Wort, zwei WORTE!\nEin Wort, zwei WORTE!\nx1 | /path 22 ä..?"
+    raw, words, lines = text.encode(), text.encode().split(), text.encode().split(b"\n")
+    count = lambda chars: sum(raw.count(c.encode()) for c in chars) / len(raw)
+    expected = {
+        "log_bytes": np.log1p(len(raw)), "log_words": np.log1p(len(words)), "word_length": np.mean([len(w) for w in words]), "word_length_spread": np.std([len(w) for w in words]), "log_longest_word": np.log1p(max(map(len, words))),
+        "short_words": np.mean([len(w) <= 3 for w in words]), "lines_per_word": len(lines) / len(words), "distinct_words": len(set(words)) / len(words), "repeated_lines": 1 - len(set(lines)) / len(lines),
+        "upper": sum(65 <= b < 91 for b in raw) / len(raw), "digits": count("0123456789"), "punctuation": count(".,;:!?'\"()-"), "pipes": count("|"), "exclamations": count("!"), "ends": count(".?!"), "commas": count(","), "slashes": count("/"), "non_ascii": sum(b > 127 for b in raw) / len(raw),
+    }
+    data, offsets = text_buffers(pa.array([text], pa.string()))
+    got = dict(zip(quality.FEATURES, quality.features(data, offsets)[0], strict=True))
+    assert all(abs(got[k] - v) < 1e-9 for k, v in expected.items())
+    rng = np.random.default_rng(2)
+    x = rng.uniform(size=(500, len(quality.FEATURES)))
+    model = quality.fit(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0.7).astype(float))
+    for row, score in zip(x[:20], model.scores(x[:20]), strict=True):
+        bins = [sum(e <= v for e in edges) for v, edges in zip(row, model.edges, strict=True)]
+        total = model.intercept + sum(model.tables[j][b] for j, b in enumerate(bins))
+        total += sum(t[bins[i] * quality.PAIR_BINS // quality.BINS][bins[j] * quality.PAIR_BINS // quality.BINS] for (i, j), t in zip(model.pairs, model.pair_tables, strict=True))
+        assert abs(score - 1 / (1 + np.exp(-total))) < 1e-9
