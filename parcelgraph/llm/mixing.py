@@ -15,7 +15,11 @@ each block that a node still has, so no node's quotas are ever gathered.
 Positions come from prefix sums in two levels (chunks of a source, then rows of a
 chunk; parts of a node, then blocks of a part), so that no task holds a whole
 source or node.  The tree's tables have about ``BLOCKS`` rows, at most two more
-for each source, whatever the corpus.
+for each source, whatever the corpus.  Everything is planned on keys; a block is a
+range of hashes, by which a document finds its shards, so that texts are shuffled
+once, to their shards.
+
+Documents are taken whole.  Rows equal in doc_id, source and text stay together.
 """
 
 from __future__ import annotations
@@ -41,8 +45,8 @@ BLOCKS = 1 << 16
 PARTS = 256
 #: Bytes of text in a task that shuffles a part of a shard.
 PART_BYTES = 16_000_000
-#: Rows up to which the table of blocks (32 bytes each) is broadcast.
-BROADCAST_ROWS = 500_000
+#: Rows up to which tables of blocks and of their ranges of hashes (60 bytes each) are broadcast.
+BROADCAST_ROWS = 400_000
 
 
 def _key_of(source: Column) -> Column:
@@ -50,12 +54,18 @@ def _key_of(source: Column) -> Column:
     return F.when(source.isNull(), "-").otherwise(F.concat(F.lit("="), source.cast("string")))
 
 
-def sized(docs: DataFrame, keep: bool = False) -> DataFrame:
-    """doc_id, source, size in words, bytes, and a hashed order that reruns share; with ``keep`` also the whole row as ``row``."""
-    order = F.xxhash64(F.lit("mix"), "doc_id", "source", F.xxhash64("text"))
-    whole = [F.struct("*").alias("row")] if keep else []
+def _order() -> Column:
+    return F.xxhash64(F.lit("mix"), "doc_id", "source", F.xxhash64("text"))
+
+
+def _chunk(n: int) -> Column:
+    return F.pmod(F.shiftrightunsigned("order", 24), F.lit(n)).cast("int")
+
+
+def sized(docs: DataFrame) -> DataFrame:
+    """doc_id, source, source_key (never null), size in words, bytes, and a hashed order that reruns share."""
     size_of = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), size_of.alias("bytes"), order.alias("order"), *whole)
+    return docs.select("doc_id", "source", _key_of(F.col("source")).alias("source_key"), n_words(F.col("text")).alias("size"), size_of.alias("bytes"), _order().alias("order"))
 
 
 def targets(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
@@ -85,65 +95,34 @@ def targets(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     )
 
 
-def _share_of(target: Column, start: Column, size: Column, whole: bool) -> Column:
-    """Words of ``[start, start + size)`` below ``target``; with ``whole`` all of them or none, whichever total is nearer to the target."""
-    if whole:
-        return F.when(2 * (target - start) >= size, size).otherwise(F.lit(0))
-    return F.greatest(F.lit(0), F.least(size, target - start))
+def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
+    """Per document: the columns of ``sized``, source_size, target, chunk, start (words of its source's stream before it), and words taken in each epoch.
 
-
-def _chunks(keys: DataFrame, weights: tuple[float, ...], share: float) -> tuple[int, DataFrame]:
-    """How many chunks a source's stream has, and per (source_key, chunk): its first place, the source's size and target."""
+    The document across a target is taken or left out by whichever total is nearer,
+    so the taken words differ from the target by half of it at most.
+    """
+    keys = written(sized(docs))
     n = max(CHUNKS, keys.count() // CHUNK_ROWS)
-    sums = keys.groupBy(_key_of(F.col("source")).alias("source_key"), _chunk(n).alias("chunk")).agg(F.sum("size").alias("words"))
+    keys = keys.withColumn("chunk", _chunk(n))
+    sums = keys.groupBy("source_key", "chunk").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source_key").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("source_key", "chunk", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("chunk_start"))
     goal = targets(keys, weights, share).select(_key_of(F.col("source")).alias("source_key"), "source_size", "target")
-    return n, written(starts.join(goal, "source_key"))
-
-
-def _chunk(n: int) -> Column:
-    return F.pmod(F.shiftrightunsigned("order", 24), F.lit(n)).cast("int")
-
-
-def _placed(rows: DataFrame, n: int, chunks: DataFrame, whole: bool) -> DataFrame:
-    """Adds source_key, source_size, target, chunk and ordinal (a key of the row), start and taken to rows of ``sized``.
-
-    The rows are shuffled once, by source and chunk.
-    """
-    rows = rows.withColumns({"source_key": _key_of(F.col("source")), "chunk": _chunk(n)})
-    in_chunk = Window.partitionBy("source_key", "chunk").orderBy("order", "doc_id", "size")
-    inner = F.sum("size").over(in_chunk.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    rows = rows.withColumns({"ordinal": F.row_number().over(in_chunk), "inner": inner}).join(chunks, ["source_key", "chunk"])
-    goal = F.round("target").cast("long")
-    rows = rows.withColumn("start", F.col("chunk_start") + F.col("inner")).drop("inner", "chunk_start")
-    return rows.withColumn("taken", F.array(*(_share_of(goal, F.col("start") + F.col("source_size") * e, F.col("size"), whole) for e in range(EPOCHS))))
-
-
-def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, whole: bool = False) -> DataFrame:
-    """Per document: doc_id, source, size, bytes, source_size, target, start (words of its source's stream before it), source_key, chunk and ordinal (a key of the row), and words taken in each epoch.
-
-    The last document in front of a target is taken in part, so a source's taken
-    words equal its target rounded.  With ``whole`` it is taken or left out as a
-    whole, so the taken words differ from the target by half of it at most.
-    """
-    keys = written(sized(docs))
-    return _placed(keys, *_chunks(keys, weights, share), whole).drop("order")
-
-
-def _draws(planned: DataFrame, block_words: int) -> DataFrame:
-    one = planned.select("*", F.posexplode("taken").alias("epoch", "words")).filter("words > 0")
-    return one.withColumn("block", F.floor(F.col("start") / block_words))
-
-
-def _block_words(planned: DataFrame, block_count: int) -> int:
-    total = planned.agg(F.sum(F.aggregate("taken", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-    return max(1, total // block_count)
+    by_order = Window.partitionBy("source_key", "chunk").orderBy("order")
+    first = F.coalesce(F.sum("size").over(by_order.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    upto = F.sum("size").over(by_order.rangeBetween(Window.unboundedPreceding, 0))  # with all rows of the same order
+    rows = keys.withColumns({"first": first, "together": upto - first}).join(starts.join(goal, "source_key"), ["source_key", "chunk"])
+    rows = rows.withColumn("start", F.col("chunk_start") + F.col("first"))
+    in_epoch = lambda e: F.when(2 * (F.round("target").cast("long") - F.col("start") - F.col("source_size") * e) >= F.col("together"), F.col("size")).otherwise(F.lit(0))
+    return rows.withColumn("taken", F.array(*map(in_epoch, range(EPOCHS)))).drop("first", "together", "chunk_start")
 
 
 def draws(planned: DataFrame, block_count: int = BLOCKS) -> DataFrame:
-    """A row per document and epoch in which the mix takes words of it, with its block; a document belongs to the block in which it starts."""
-    return _draws(planned, _block_words(planned, block_count))
+    """A row per document and epoch in which the mix takes it, with its block; a document belongs to the block in which it starts."""
+    total = planned.agg(F.sum(F.aggregate("taken", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    block_words = max(1, total // block_count)
+    one = planned.select("*", F.posexplode("taken").alias("epoch", "words")).filter("words > 0")
+    return one.withColumn("block", F.floor(F.col("start") / block_words)).drop("taken")
 
 
 def _ranked(rows: DataFrame, group: str, key: Column, *ties: str) -> DataFrame:
@@ -190,59 +169,46 @@ def blocks(draws: DataFrame, shards: int = SHARDS) -> DataFrame:
     return written(found.join(runs, ["source_key", "rank"]).select("source_key", "epoch", "block", "words", "rank", "shard"))
 
 
-def _dealt(drawn: DataFrame, leaf: DataFrame) -> DataFrame:
-    """Adds shard and local_order, a random place in it, to draws."""
-    drawn = drawn.join(small(leaf.select("source_key", "epoch", "block", "shard"), BROADCAST_ROWS), ["source_key", "epoch", "block"])
-    return drawn.withColumn("local_order", F.xxhash64(F.lit("local"), "shard", "source_key", "chunk", "ordinal", "epoch"))
-
-
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, shards: int = SHARDS, whole: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(plan, draws with their shard and place in it).
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
+    """(plan, draws with their shard).
 
     Rows of ``docs`` with null or empty text have size 0 and are never drawn;
     null is a source like any other; repeated rows are documents of their own.  An
     empty table gives empty tables.  Only doc_id, source and text are read.
     """
-    planned = written(plan(docs, weights, share, whole=whole))
+    planned = written(plan(docs, weights, share))
     drawn = draws(planned)
-    return planned, _dealt(drawn, blocks(drawn, shards))
+    leaf = blocks(drawn, shards).select("source_key", "epoch", "block", "shard")
+    return planned, drawn.join(small(leaf, BROADCAST_ROWS), ["source_key", "epoch", "block"])
 
 
-def shuffled_shards(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, shards: int = SHARDS, whole: bool = False) -> DataFrame:
-    """The mix by shard: shard, local_order, words (taken), size, and the document as the struct ``row``, a row for each time that it is taken.
+def shuffled_shards(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, shards: int = SHARDS) -> DataFrame:
+    """The mix by shard: shard, local_order, and the document as the struct ``row``, a row for each time that it is taken.
 
-    A shard's documents stand in the order of ``local_order`` in each of the
-    partitions that hold a part of the shard.  The tree is planned on keys; texts
-    are shuffled by chunk and by shard.
+    A shard's documents stand in the order of ``local_order``, a hash, in each of the
+    partitions that hold a part of the shard.
     """
-    keys = written(sized(docs))
-    n, chunks = _chunks(keys, weights, share)
-    planned = written(_placed(keys, n, chunks, whole))
-    block_words = _block_words(planned, BLOCKS)
-    leaf = blocks(_draws(planned, block_words), shards)
-    rows = _dealt(_draws(_placed(sized(docs, keep=True), n, chunks, whole), block_words), leaf)
+    planned, drawn = mix(docs, weights, share, shards)
+    key = ["source_key", "chunk", "epoch", "block", "shard"]
+    ranges = written(drawn.groupBy(*key).agg(F.min("order").alias("low"), F.max("order").alias("high")).drop("block"))
+    n = max(CHUNKS, planned.count() // CHUNK_ROWS)
+    rows = docs.filter(F.col("text").rlike(WORD)).select(_key_of(F.col("source")).alias("source_key"), _order().alias("order"), F.struct("*").alias("row")).withColumn("chunk", _chunk(n))
+    rows = rows.join(small(ranges, BROADCAST_ROWS), ["source_key", "chunk"]).filter(F.col("order").between(F.col("low"), F.col("high")))
     size = planned.agg(F.sum(F.col("bytes") * F.size(F.filter("taken", lambda x: x > 0)))).first()[0] or 0
     each = max(1, -(-size // (shards * PART_BYTES)))
+    rows = rows.select("shard", F.xxhash64(F.lit("local"), "shard", "epoch", "order").alias("local_order"), "row")
     part = F.col("shard") * each + F.pmod(F.shiftrightunsigned("local_order", 40), F.lit(each)).cast("int")
-    return rows.select("shard", "local_order", "words", "size", "row").repartitionById(shards * each, part).sortWithinPartitions("shard", "local_order")
+    return rows.repartitionById(shards * each, part).sortWithinPartitions("shard", "local_order")
 
 
-def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, shards: int = SHARDS, whole: bool = False) -> DataFrame:
-    """The mix itself: the columns of ``docs``, a row for each time that a document is taken, shard by shard in their local order.
-
-    A document taken in part keeps its first words, up to the end of the last one
-    taken; with ``whole`` none is.
-    """
-    drawn = shuffled_shards(docs, weights, share, shards, whole)
-    if whole:
-        return drawn.select("row.*")
-    pieces = F.regexp_extract_all("row.text", F.lit(rf"([\x20\x09-\x0D]*{WORD})"), F.lit(1))
-    text = F.when(F.col("words") >= F.col("size"), F.col("row.text")).otherwise(F.concat_ws("", F.slice(pieces, 1, F.col("words").cast("int"))))
-    return drawn.select(*(text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, shards: int = SHARDS) -> DataFrame:
+    """The mix itself: the columns of ``docs``, a row for each time that a document is taken, shard by shard in their local order."""
+    return shuffled_shards(docs, weights, share, shards).select("row.*")
 
 
 def per_document(planned: DataFrame, drawn: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken and the shards that hold the document; a row per document of the plan."""
-    key = ["source_key", "chunk", "ordinal"]
-    some = drawn.groupBy(*key).agg(F.sum("words").alias("words"), F.sort_array(F.collect_list("shard")).alias("shards"))  # EPOCHS shards at most
-    return planned.drop("taken").join(some, key, "left").select("doc_id", "size", "source_size", "target", F.coalesce("words", F.lit(0)).alias("taken"), F.concat_ws(",", "shards").alias("shards"))
+    key = ["source_key", "chunk", "order"]
+    some = drawn.groupBy(*key, "epoch").agg(F.max("words").alias("words"), F.max("shard").alias("shard"))  # rows of one order share their shards
+    some = some.groupBy(*key).agg(F.sum("words").alias("words"), F.sort_array(F.collect_list("shard")).alias("shards"))  # EPOCHS shards at most
+    return planned.join(some, key, "left").select("doc_id", "size", "source_size", "target", F.coalesce("words", F.lit(0)).alias("taken"), F.concat_ws(",", "shards").alias("shards"))
