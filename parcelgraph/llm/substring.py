@@ -129,7 +129,7 @@ def repeated_places(docs: DataFrame, buckets: int, groups: int) -> DataFrame:
 
     rows = _windows(docs, buckets, groups)
     salt = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("places"), F.lit(buckets)).cast("int")).otherwise(F.col("bucket"))
-    return rows.withColumn("bucket", salt).groupBy("bucket").applyInArrow(settle, "doc_group long, places binary")
+    return rows.withColumn("bucket", salt).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(settle, "doc_group long, places binary")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -170,4 +170,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     group = lambda key: F.pmod(key, F.lit(groups))
     texts = docs.select("doc_id", "text", group(F.coalesce(F.col("doc_id"), F.xxhash64("text"))).alias("doc_group"))
     gone = repeated_places(docs, buckets, groups)
+    texts, gone = texts.repartition(groups, "doc_group"), gone.repartition(groups, "doc_group")
     return texts.groupBy("doc_group").cogroup(gone.groupBy("doc_group")).applyInArrow(cut, "doc_id long, n_words long, n_removed long, text string, removed array<struct<start:int,end:int>>")
