@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelgraph.llm.shared import written
+from parcelgraph.llm.shared import drop, written
 
 
 #: Parts of a node with many edges in a join: no task gets all edges of the centre of a star.
@@ -33,7 +33,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = _beside(both, least, "u", "v").filter("v > u").select("v", "m")  # v > m
         low = large.groupBy("v").agg(F.min("m").alias("least"))
         small = _beside(large, low, "v", "m").select(F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("least").alias("b")), F.struct(F.col("m").alias("a"), F.col("least").alias("b")))).alias("e"))
-        edges = written(small.select("e.a", "e.b").filter("a != b").distinct())
+        old, edges = edges, written(small.select("e.a", "e.b").filter("a != b").distinct())
+        drop(old)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == state:
             break

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from parcelgraph.llm.shared import GAP, written
+from parcelgraph.llm.shared import GAP, drop, written
 
 SHINGLE = 5
 PERCENT = 75
@@ -142,7 +142,9 @@ def leaks_by_text(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     both = both.filter(100 * F.col("inter") >= PERCENT * union).withColumn("similarity", F.col("inter") / union)
     best = F.max_by(F.struct("start", F.col("m").alias("n_words"), "similarity", "hamming"), F.struct("similarity", -F.col("start")))
     both = both.groupBy("text_key", "item").agg(best.alias("best"))
-    return both.join(_small(named.select("item_id", "item")), "item").select("text_key", "item_id", "best.*")
+    out = written(both.join(_small(named.select("item_id", "item")), "item").select("text_key", "item_id", "best.*"))
+    drop(named, counted, prints, met, pieces, marked)
+    return out
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -155,13 +157,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     one text are told apart by their ids, different texts under one id are items of
     their own with a row each, and a null id is an id like any other.
     """
-    found = written(leaks_by_text(docs, benchmark))
+    found = leaks_by_text(docs, benchmark)
     named = docs.filter("text IS NOT NULL").select("doc_id", _text_key(F.col("text")).alias("text_key"))
     return named.join(found, "text_key").drop("text_key")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that leak no item; its other columns may have any names."""
-    found = written(leaks_by_text(docs, benchmark).select("text_key").distinct())
+    found = leaks_by_text(docs, benchmark).select("text_key").distinct()
     rows = docs.select(F.struct("*").alias("row"), _text_key(F.coalesce(F.col("text"), F.lit(""))).alias("text_key"))
     return rows.join(_small(found), "text_key", "left_anti").select("row.*")

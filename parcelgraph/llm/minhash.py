@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelgraph.llm.components import connected_components
-from parcelgraph.llm.shared import written
+from parcelgraph.llm.shared import drop, written
 from parcelgraph.llm.word_arrays import mix, shingle_sets, slices, split_words, text_buffers
 
 SHINGLE = 5
@@ -229,8 +229,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     owned = nodes.select("set_key", "least_id").join(roots.select(F.col("node").alias("set_key"), "root"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     ids = owned.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    ids = owned.join(ids, "root").select("set_key", "component_id")
-    out = signed.select("doc_id", "text_key", "n_shingles", "set_key").join(ids, "set_key", "left")
+    ids = written(owned.join(ids, "root").select("set_key", "component_id"))
+    slim = written(signed.select("doc_id", "text_key", "n_shingles", "set_key"))
+    drop(signed, nodes, shared, members, sets, stars, placed, more)
+    out = slim.join(ids, "set_key", "left")
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "text_key")
 
