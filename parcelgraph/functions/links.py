@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Schemes whose URLs need a host (WHATWG URL standard, "special" schemes but file).
 SPECIAL_SCHEMES = ("http", "https", "ws", "wss", "ftp")
 
+# Fixed value: a last segment that is a file or folder beside a package's metadata.
+PLAIN_NAME = r"\w*(\.\w*)?"
+
 _LOCAL = r"^(\\\\|.:|/|\.|file:)"
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
 _HOST = r"([^/\\?#@]*@)?(\[[0-9A-Fa-f:.]+\]|[^\x00-\x20#/:<>?@\[\\\]^|%\x7F]+)(:[0-9]*)?([/\\?#]|$)"
@@ -15,6 +20,11 @@ _SPECIAL = rf"(?i)^({'|'.join(SPECIAL_SCHEMES)}):"
 _SPECIAL_WHOLE = rf"(?i)^({'|'.join(SPECIAL_SCHEMES)}):[/\\]*{_HOST}"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def is_not_url(s: Column) -> Column:
     """True for local paths and for text that isn't an absolute URL (fragments, relative references, blank nodes)."""
     url = s.rlike(_SCHEME) & (~s.rlike(_SPECIAL) | s.rlike(_SPECIAL_WHOLE))
@@ -39,24 +49,36 @@ def _folded(path: Column) -> Column:
     return F.concat(F.array_join(kept, "/"), F.when(F.element_at(parts, -1).isin(".", ".."), "/").otherwise(""))
 
 
-def with_base(base: Column, s: Column) -> Column:
-    """Resolves a relative reference against a base IRI; null if it has more parent steps than the base's path has segments.
+def base_parts(base: Column) -> Column:
+    """What resolving against a base needs of it, as a struct: plain (without its fragment), authority, folder (of its path) and depth (segments of its path)."""
+    plain = F.regexp_replace(base, r"#.*$", "")
+    cut = let(plain, lambda p: F.struct(p.alias("plain"), F.regexp_extract(p, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1).alias("authority"), F.regexp_extract(p, r"^(.*/)", 1).alias("folder")))
+
+    def parts(c: Column) -> Column:
+        path = F.substring(c["plain"], F.length(c["authority"]) + 1, F.length(c["plain"]))
+        own = F.when(F.length(c["folder"]) > F.length(c["authority"]), F.substring(c["folder"], F.length(c["authority"]) + 1, F.length(c["folder"]))).otherwise("/")
+        return F.struct(c["plain"].alias("plain"), c["authority"].alias("authority"), own.alias("folder"), F.size(F.filter(F.split(path, "/"), lambda x: x != "")).alias("depth"))
+
+    return F.when(base.isNotNull(), let(cut, parts))
+
+
+def with_parts(parts: Column, s: Column) -> Column:
+    """Resolves a relative reference against a base's parts; null if it has more parent steps than the base's path has segments.
 
     A fragment replaces the base's fragment and loses a slash before it; a rooted
     path keeps scheme and authority; other paths replace what follows the last
     slash, with dot segments removed.  A base without an authority (``urn:``) is
     simply put in front.
     """
-    plain = F.regexp_replace(base, r"#.*$", "")
-    authority = F.regexp_extract(plain, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
-    folder = F.regexp_extract(plain, r"^(.*/)", 1)
     steps = (F.length(s) - F.length(F.replace(s, F.lit("../"), F.lit("")))) / 3
-    segments = F.size(F.filter(F.split(F.substring(plain, F.length(authority) + 1, F.length(plain)), "/"), lambda x: x != ""))
-    own = F.when(F.length(folder) > F.length(authority), F.substring(folder, F.length(authority) + 1, F.length(folder))).otherwise("/")
-    path = F.when(s.startswith("/"), s).otherwise(F.concat(own, s))
-    joined = F.concat(authority, F.when(path.rlike(r"/\.\.?(/|$)"), _folded(path)).otherwise(path))
-    fragment = F.concat(F.regexp_replace(plain, "/$", ""), s)
-    return F.when(s.startswith("#"), fragment).when(authority == "", F.concat(plain, s)).when(~s.contains("../") | (steps <= segments), joined)
+    path = let(F.when(s.startswith("/"), s).otherwise(F.concat(parts["folder"], s)), lambda x: F.when(x.rlike(r"/\.\.?(/|$)"), _folded(x)).otherwise(x))
+    fragment = F.concat(F.regexp_replace(parts["plain"], "/$", ""), s)
+    return F.when(s.startswith("#"), fragment).when(parts["authority"] == "", F.concat(parts["plain"], s)).when(~s.contains("../") | (steps <= parts["depth"]), F.concat(parts["authority"], path))
+
+
+def with_base(base: Column, s: Column) -> Column:
+    """Resolves a relative reference against a base IRI, as ``with_parts`` does."""
+    return let(base_parts(base), lambda parts: with_parts(parts, s))
 
 
 def guess_location(url: Column) -> Column:
@@ -67,7 +89,7 @@ def guess_location(url: Column) -> Column:
     """
     name = F.lit("ro-crate-metadata.json")
     last = F.substring_index(url, "/", -1)
-    beside = url.contains("/") & last.rlike(r"(?U)^\w*(\.\w*)?$")
+    beside = url.contains("/") & last.rlike(rf"(?U)^{PLAIN_NAME}$")
     folder = F.substring(url, F.lit(1), F.length(url) - F.length(last))
     return F.concat(F.when(beside, folder).otherwise(F.concat(url, F.lit("/"))), name)
 

@@ -98,11 +98,17 @@ def add_part(parts: Column, is_list: Column, id_: Column) -> Column:
 
 
 def add_parts(entities: DataFrame, properties: DataFrame, new: DataFrame) -> DataFrame:
-    """Gives the root with the id of ``new`` (crate_id, id, part) one more part; ids of other entities change nothing."""
+    """Gives the root with the id of ``new`` (crate_id, id, part) more parts, in the order of their ids; ids of other entities change nothing.
+
+    Parts of one root are added as one after another would be: a list grows by those
+    that it lacks, and anything else is replaced by a list of them.  A root's parts
+    are one value of one row.
+    """
     roots = entities.filter("kind = 'root'").groupBy("crate_id", "id").agg(F.min("pos").cast("int").alias("pos"))
-    new = new.join(roots, ["crate_id", "id"]).select("crate_id", "pos", "id", "part")
-    old = properties.filter("depth = 0 AND key = 'hasPart'").select("crate_id", "pos", "tag", "ids")
-    found = new.join(old, ["crate_id", "pos"], "left").withColumn("ids", add_part(F.col("ids"), F.coalesce(F.col("tag") == "ids", F.lit(False)), F.col("part")))
+    new = new.join(roots, ["crate_id", "id"]).groupBy("crate_id", "pos", "id").agg(F.sort_array(F.collect_set("part")).alias("parts"))
+    old = properties.filter("depth = 0 AND key = 'hasPart'").select("crate_id", "pos", F.when(F.col("tag") == "ids", F.col("ids")).alias("listed"))
+    ids = F.coalesce(F.concat("listed", F.array_except("parts", "listed")), "parts")
+    found = new.join(old, ["crate_id", "pos"], "left").withColumn("ids", ids)
     given = {"key": F.lit("hasPart"), "path": F.lit("hasPart"), "depth": F.lit(0), "origin": F.lit("dynamic"), "owner": F.col("id"), "tag": F.lit("ids"), "json": F.lit(None).cast("string")}
     kinds = dict(properties.dtypes)
     rows = found.select(*(given[c].alias(c) if c in given else (F.col(c) if c in ("crate_id", "pos", "id", "ids") else F.lit(None).cast(kinds[c]).alias(c)) for c in properties.columns))

@@ -13,7 +13,7 @@ def eav_frame(crates: DataFrame, context_items: DataFrame, entities: DataFrame,
     """uuid, id, key, value of every package whose base is a urn:uuid.
 
     A row per context term or reference, entity, type, link, scalar and element of
-    a flat list.  Nested values, nulls and JSON booleans give none.  A descriptor's
+    a flat list; booleans only where they were read from RDF.  Nested values, nulls and JSON booleans give none.  A descriptor's
     ``about`` stands under ``conformsTo`` unless ``fix_about``.
     """
     text = lambda c: c.cast("string")
@@ -24,7 +24,7 @@ def eav_frame(crates: DataFrame, context_items: DataFrame, entities: DataFrame,
     key = F.col("key") if fix_about else F.when((F.col("origin") == "fixed") & (F.col("key") == "about"), "conformsTo").otherwise(F.col("key"))
     values = (
         F.when(F.col("tag") == "string", F.array("s")).when(F.col("tag") == "int", F.array(text(F.col("i")))).when(F.col("tag") == "float", F.array(number_text(F.col("d"))))
-        .when(F.col("tag").isin("id", "ids"), F.col("ids")).when(F.col("tag").isin("strings", "ints", "floats"), F.col("items"))
+        .when(F.col("tag") == "bool", F.array("json")).when(F.col("tag").isin("id", "ids"), F.col("ids")).when(F.col("tag").isin("strings", "ints", "floats"), F.col("items"))
     )
     rows = top.select("crate_id", "id", key.alias("key"), F.explode(values).alias("value"))
     every = context.unionByName(graph).unionByName(types).unionByName(rows)

@@ -20,16 +20,16 @@ def locations(packages: Packages) -> DataFrame:
 
 
 def fetch_level(packages: Packages, transport: Transport, root: str | None = None, seen: DataFrame | None = None) -> tuple[Packages, DataFrame]:
-    """The packages right below, and url, found of every place that was asked: each once, and none of ``seen`` (url)."""
+    """The packages right below, and url, found, reason of every place that was asked: each once, and none of ``seen`` (url).  Places without a package are passed over, and say why."""
     urls = locations(packages).select(F.col("location").alias("url")).distinct()
     if seen is not None:
         urls = urls.join(seen.select("url"), "url", "left_anti")
     texts = written(resolve_all(urls.repartition("url"), transport, root))
-    return parse(texts.filter("text IS NOT NULL")), texts.select(F.col("crate_id").alias("url"), F.col("text").isNotNull().alias("found"))
+    return parse(texts.filter("text IS NOT NULL")), texts.select(F.col("crate_id").alias("url"), F.col("text").isNotNull().alias("found"), "reason")
 
 
 def fetch_nested(packages: Packages, transport: Transport, root: str | None = None) -> tuple[Packages, DataFrame]:
-    """All packages below, at every depth, and url, depth, found of every place that was asked.
+    """All packages below, at every depth, and url, found, reason, depth of every place that was asked.
 
     A place is asked once, however many packages name it, so cycles end.
     """

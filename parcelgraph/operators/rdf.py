@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelgraph.functions.links import has_relative_component, is_absolute_iri, with_base
+from parcelgraph.functions.links import base_parts, has_relative_component, is_absolute_iri, with_parts
 from parcelgraph.functions.values import number_text
-from parcelgraph.plans.storage import small
+from parcelgraph.plans.storage import small, written
 
 # IRIs of the RDF and XML Schema vocabularies.
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
@@ -20,8 +20,10 @@ DATA_TYPE_SPELLINGS = ("File", "Dataset", "MediaObject", "schema:Dataset", "sche
 PREFERRED_TERMS = ("File", "Journal", "contentUrl")
 # Fixed value: characters that no IRI has (RFC 3987).
 NOT_IN_IRI = r"[\x00-\x20<>\"{}|\\^`]"
-#: Most terms (some 100 bytes each) and packages (with their own contexts) that are broadcast.
-BROADCAST_TERMS, BROADCAST_PACKAGES = 200_000, 20_000
+# What the URLs of the profile's own contexts hold; their terms are the vocabulary.
+PROFILE_CONTEXTS = ("ro/crate/1.1", "ro/crate/1.2")
+#: Most terms that are broadcast, some 100 bytes each.
+BROADCAST_TERMS = 200_000
 
 
 def prefixes(terms: DataFrame) -> DataFrame:
@@ -29,47 +31,72 @@ def prefixes(terms: DataFrame) -> DataFrame:
     return terms.filter(F.col("iri").rlike("[/#]$")).select("version", F.col("term").alias("prefix"), F.col("iri").alias("ns"))
 
 
-def package_contexts(crates: DataFrame, context_items: DataFrame | None = None, contexts: DataFrame | None = None, base: str | None = None) -> DataFrame:
-    """crate_id, version, base, vocab, own: what each package's context says.
-
-    ``own`` maps the terms of embedded contexts, and of references that ``contexts``
-    (url, term, iri) knows, to IRIs; of two items the later one counts.  ``base`` is
-    for packages without an ``@base``.  A package's map is as large as its context.
-    """
-    home = crates.select("crate_id", F.coalesce("schema_version", F.lit("1.2")).alias("version"), F.coalesce("base", F.lit(base)).alias("base"))
-    if context_items is None:
-        return home.withColumns({"vocab": F.lit(None).cast("string"), "own": F.lit(None).cast("map<string,string>")})
+def _own_terms(context_items: DataFrame, contexts: DataFrame | None) -> DataFrame:
+    """crate_id, term, iri of embedded contexts and of references that ``contexts`` (url, term, iri) knows; of two items the later one counts."""
     terms = context_items.filter("kind = 'embedded'").select("crate_id", "pos", F.col("key").alias("term"), F.col("value").alias("iri"))
     if contexts is not None:
         references = context_items.filter("kind = 'reference'").select("crate_id", "pos", F.col("value").alias("url"))
         terms = terms.unionByName(references.join(contexts, "url").select("crate_id", "pos", "term", "iri"))
-    terms = terms.groupBy("crate_id", "term").agg(F.max_by("iri", "pos").alias("iri"))
-    entries = F.collect_list(F.when(~F.col("term").startswith("@"), F.struct("term", "iri")))
-    said = terms.groupBy("crate_id").agg(F.max(F.when(F.col("term") == "@vocab", F.col("iri"))).alias("vocab"), F.map_from_entries(entries).alias("own"))
-    return home.join(said, "crate_id", "left")
+    return terms.groupBy("crate_id", "term").agg(F.max_by("iri", "pos").alias("iri"))
 
 
-def expand(names: DataFrame, terms: DataFrame, column: str = "name", out: str = "iri") -> DataFrame:
-    """Adds ``out``, the IRI of ``column``, to a table with version, base and vocab (and own, a package's map of terms): exact term, known prefix, absolute, path against base, vocab, base, else unchanged.
+def unknown_references(context_items: DataFrame, contexts: DataFrame | None = None) -> DataFrame:
+    """crate_id, url: references to contexts that are neither the profile's own nor in ``contexts`` (url, term, iri)."""
+    urls = context_items.filter("kind = 'reference'").select("crate_id", F.col("value").alias("url"))
+    for own in PROFILE_CONTEXTS:
+        urls = urls.filter(~F.col("url").contains(own))
+    return (urls if contexts is None else urls.join(contexts.select("url").distinct(), "url", "left_anti")).select("crate_id", "url").distinct()
 
-    Null where a path leads above the base's root.  The vocabulary is broadcast if it
-    is small, so that names are expanded where they stand.
+
+def package_contexts(crates: DataFrame, context_items: DataFrame | None = None, contexts: DataFrame | None = None, base: str | None = None, strict: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Packages by the context that they share: (crate_id, ctx), (ctx, version, base, vocab), and the contexts' own terms (ctx, term, iri).
+
+    Own terms are those of embedded contexts, and of references that ``contexts``
+    (url, term, iri) knows.  ``base`` is for packages without an ``@base``.  With
+    ``strict`` a reference that is unknown raises; otherwise its terms are missing.
+    A package's terms are together once, to name its context by their digest.
     """
-    exact = terms.select(F.col("version").alias("of"), F.col("term").alias("known"), F.col("iri").alias("term_iri"))
-    spaces = prefixes(terms).select(F.col("version").alias("in"), F.col("prefix").alias("own_prefix"), "ns")
-    name, base, split = F.col(column), F.col("base"), F.when(F.col(column).contains(":"), F.substring_index(column, ":", 1))
-    found = names.join(small(exact, BROADCAST_TERMS), (F.col("version") == F.col("of")) & (name == F.col("known")), "left")
-    found = found.join(small(spaces, BROADCAST_TERMS), (F.col("version") == F.col("in")) & (split == F.col("own_prefix")), "left")
-    own = (lambda x: F.try_element_at("own", x)) if "own" in names.columns else (lambda x: F.lit(None).cast("string"))  # noqa: ARG005
-    own_space = F.when(own(split).rlike("[/#]$"), own(split))
-    local = F.substring(name, F.length(split) + 2, F.length(name))
-    iri = (
-        F.when(own(name).isNotNull(), own(name)).when(F.col("term_iri").isNotNull(), F.col("term_iri"))
-        .when(own_space.isNotNull(), F.concat(own_space, local)).when(F.col("ns").isNotNull(), F.concat("ns", local))
-        .when(is_absolute_iri(name), name).when(has_relative_component(name) & base.isNotNull(), with_base(base, name)).when(has_relative_component(name), name)
-        .when(F.col("vocab").isNotNull(), F.concat("vocab", name)).when(base.isNotNull(), with_base(base, name)).otherwise(name)
-    )
-    return found.withColumn(out, iri).drop("of", "known", "term_iri", "in", "own_prefix", "ns")
+    home = crates.select("crate_id", F.coalesce("schema_version", F.lit("1.2")).alias("version"), F.coalesce("base", F.lit(base)).alias("base"))
+    if context_items is None:
+        terms = home.select("crate_id", F.lit("").alias("term"), F.lit("").alias("iri")).filter("false")
+    else:
+        terms = written(_own_terms(context_items, contexts))
+        if strict:
+            unknown = unknown_references(context_items, contexts).groupBy("crate_id").agg(F.min("url").alias("unknown"))
+            refused = F.when(F.col("unknown").isNotNull(), F.raise_error(F.concat(F.lit("unknown context: "), F.col("unknown")))).otherwise(F.col("version"))
+            home = home.join(unknown, "crate_id", "left").withColumn("version", refused).drop("unknown")
+    said = terms.groupBy("crate_id").agg(F.max(F.when(F.col("term") == "@vocab", F.col("iri"))).alias("vocab"), F.sort_array(F.collect_list(F.struct("term", "iri"))).alias("all"))
+    digest = F.sha2(F.to_json(F.struct("version", "base", "all")), 256)
+    named = written(home.join(said, "crate_id", "left").select("crate_id", digest.alias("ctx"), "version", "base", "vocab"))
+    shared = named.groupBy("ctx").agg(F.min_by(F.struct("version", "base", "vocab"), "crate_id").alias("c"), F.min("crate_id").alias("crate_id"))
+    own = terms.filter(~F.col("term").startswith("@")).join(shared.select("crate_id", "ctx"), "crate_id").select("ctx", "term", "iri")
+    return named.select("crate_id", "ctx"), shared.select("ctx", "c.*"), own
+
+
+def expand(names: DataFrame, terms: DataFrame, column: str = "name", out: str = "iri", own: DataFrame | None = None) -> DataFrame:
+    """Adds ``out``, the IRI of ``column``, to a table with version, base and vocab: exact term, known prefix, absolute, path against base, vocab, base, else unchanged.
+
+    Terms of ``own`` (ctx, term, iri) count before the vocabulary's, for names with
+    that ctx.  Null where a path leads above the base's root.  The vocabulary is
+    broadcast if it is small.
+    """
+    name = F.col(column)
+    rows = names.withColumn("_prefix", F.when(name.contains(":"), F.substring_index(name, ":", 1)))
+    known = [("version", small(terms, BROADCAST_TERMS).select(F.col("version").alias("_of"), F.col("term").alias("_term"), F.col("iri").alias("_iri")))]
+    if own is not None:
+        known.insert(0, ("ctx", own.select(F.col("ctx").alias("_of"), F.col("term").alias("_term"), F.col("iri").alias("_iri"))))
+    for i, (of, table) in enumerate(known):
+        spaces = table.filter(F.col("_iri").rlike("[/#]$"))
+        rows = rows.join(table.withColumnRenamed("_iri", f"_exact{i}"), (F.col(of) == F.col("_of")) & (name == F.col("_term")), "left").drop("_of", "_term")
+        rows = rows.join(spaces.withColumnRenamed("_iri", f"_space{i}"), (F.col(of) == F.col("_of")) & (F.col("_prefix") == F.col("_term")), "left").drop("_of", "_term")
+    which = range(len(known))
+    spaced = F.concat(F.coalesce(*(F.col(f"_space{i}") for i in which)), F.substring(name, F.length("_prefix") + 2, F.length(name)))
+    relative, vocab = has_relative_component(name), F.col("vocab")
+    found = F.coalesce(*(F.col(f"_exact{i}") for i in which), spaced, F.when(is_absolute_iri(name), name))
+    by_vocab = ~relative & vocab.isNotNull()
+    rest = F.when(by_vocab, F.concat(vocab, name)).when(F.col("base").isNull(), name).otherwise(with_parts(F.col("_parts"), name))
+    rows = rows.withColumn("_parts", base_parts(F.col("base")))
+    return rows.withColumn(out, F.coalesce(found, rest)).drop("_prefix", "_parts", *(f"_exact{i}" for i in which), *(f"_space{i}" for i in which))
 
 
 def expansion_error(iri: Column, name: Column) -> Column:
@@ -79,37 +106,73 @@ def expansion_error(iri: Column, name: Column) -> Column:
     )
 
 
-def export_triples(crates: DataFrame, entities: DataFrame, properties: DataFrame, terms: DataFrame, base: str | None = None, strict: bool = True, context_items: DataFrame | None = None, contexts: DataFrame | None = None) -> DataFrame:
-    """The set of triples of every package, as crate_id, s, s_kind, p, o, o_kind, datatype, lang.
-
-    A type triple per type; texts as plain literals (empty ones of a root's required
-    properties are skipped), numbers typed, links as nodes.  Nested values, nulls
-    and JSON booleans give none.  Names are expanded by the vocabulary of the
-    package's version and its own context (``context_items``, and ``contexts`` for
-    references).  ``base`` is used by packages without their own.  With ``strict`` a
-    name that stays relative or isn't an IRI raises; one that leads above its base always does.
-    """
-    top = properties.filter((F.col("depth") == 0) & F.col("origin").isin("fixed", "dynamic"))
+def raw_triples(entities: DataFrame, properties: DataFrame) -> DataFrame:
+    """crate_id, s, p, o, o_kind, datatype with names as the package has them: a row per type, scalar, link, and element of a list, mixed lists and lists in lists too."""
+    inner = F.substring(F.col("path"), F.length("key") + 1, F.length("path")).rlike(r"^(\[[0-9]+\])+$") & F.col("path").startswith(F.col("key"))
+    top = properties.filter((F.col("depth") == 0) & F.col("origin").isin("fixed", "dynamic") | (F.col("origin") == "item") & inner)
     node, literal = F.lit("iri"), F.lit("literal")
     one = lambda o, kind, t: F.array(F.struct(o.alias("o"), kind.alias("o_kind"), t.cast("string").alias("datatype")))
     tag = F.col("tag")
     links = F.transform("ids", lambda x: F.struct(x.alias("o"), F.when(x.startswith("_:") & (F.col("origin") != "fixed"), "blank").otherwise(node).alias("o_kind"), F.lit(None).cast("string").alias("datatype")))
     texts = lambda t: F.transform("items", lambda x: F.struct(x.alias("o"), literal.alias("o_kind"), t.cast("string").alias("datatype")))
     values = (
-        F.when((tag == "string") & ~((F.col("origin") == "fixed") & (F.col("s") == "")), one(F.col("s"), literal, F.lit(None)))
+        F.when((tag == "string") & ~((F.col("origin") == "fixed") & (F.col("s") == "")), one(F.col("s"), literal, F.lit(None))).when(tag == "bool", one(F.col("json"), literal, F.lit(f"{XSD}boolean")))
         .when(tag == "int", one(F.col("i").cast("string"), literal, F.lit(f"{XSD}integer"))).when(tag == "float", one(number_text(F.col("d")), literal, F.lit(f"{XSD}double")))
         .when(tag.isin("id", "ids"), links).when(tag == "strings", texts(F.lit(None))).when(tag == "ints", texts(F.lit(f"{XSD}integer"))).when(tag == "floats", texts(F.lit(f"{XSD}double")))
     )
     rows = top.select("crate_id", F.col("id").alias("s"), F.col("key").alias("p"), F.explode(values).alias("v")).select("crate_id", "s", "p", "v.*")
     types = entities.select("crate_id", F.col("id").alias("s"), F.lit(RDF_TYPE).alias("p"), F.explode("types").alias("o")).withColumns({"o_kind": node, "datatype": F.lit(None).cast("string")})
-    rows = rows.unionByName(types).join(small(package_contexts(crates, context_items, contexts, base), BROADCAST_PACKAGES), "crate_id")
-    is_blank = F.col("s").startswith("_:")
-    for c, spared in (("s", is_blank), ("p", F.lit(False)), ("o", F.col("o_kind") != "iri")):
-        rows = expand(rows.withColumn("_name", F.when(~spared, F.col(c))), terms, "_name", "_iri")
-        why = expansion_error(F.col("_iri"), F.col("_name"))
-        bad = F.when(~spared, F.when(F.lit(strict) | F.col("_iri").isNull(), why))
-        rows = rows.withColumn(f"{c}_iri", F.when(bad.isNotNull(), F.raise_error(bad)).when(spared, F.col(c)).otherwise(F.col("_iri"))).drop("_name", "_iri")
-    out = rows.select("crate_id", F.col("s_iri").alias("s"), F.when(is_blank, "blank").otherwise("iri").alias("s_kind"), F.col("p_iri").alias("p"), F.col("o_iri").alias("o"), "o_kind", "datatype", F.lit(None).cast("string").alias("lang"))
+    return rows.unionByName(types)
+
+
+def expanded_names(rows: DataFrame, shared: DataFrame, own: DataFrame, terms: DataFrame) -> DataFrame:
+    """ctx, name, iri, why: each name that raw triples with a ctx have, once, with its IRI or the reason why it has none.  A table of its own."""
+    name = F.explode(F.array_compact(F.array(F.when(~F.col("s").startswith("_:"), F.col("s")), F.col("p"), F.when(F.col("o_kind") == "iri", F.col("o")))))
+    names = rows.select("ctx", name.alias("name")).distinct().join(shared, "ctx")
+    found = expand(names, terms, own=own).select("ctx", "name", "iri")
+    return written(found.withColumn("why", expansion_error(F.col("iri"), F.col("name"))))
+
+
+def _named_rows(crates: DataFrame, entities: DataFrame, properties: DataFrame, terms: DataFrame, base: str | None, context_items: DataFrame | None, contexts: DataFrame | None, strict: bool) -> tuple[DataFrame, DataFrame]:
+    home, shared, own = package_contexts(crates, context_items, contexts, base, strict)
+    rows = raw_triples(entities, properties).join(home, "crate_id")
+    return rows, expanded_names(rows, shared, own, terms)
+
+
+def name_errors(crates: DataFrame, entities: DataFrame, properties: DataFrame, terms: DataFrame, base: str | None = None, context_items: DataFrame | None = None, contexts: DataFrame | None = None) -> DataFrame:
+    """crate_id, name, reason: what keeps packages from being exported: names without an absolute IRI, and references to unknown contexts."""
+    rows, names = _named_rows(crates, entities, properties, terms, base, context_items, contexts, False)
+    bad = names.filter("why IS NOT NULL").select("ctx", "name", "why")
+    said = rows.select("crate_id", "ctx", F.explode(F.array_compact(F.array(F.when(~F.col("s").startswith("_:"), F.col("s")), F.col("p"), F.when(F.col("o_kind") == "iri", F.col("o"))))).alias("name"))
+    found = said.join(bad, ["ctx", "name"]).select("crate_id", "name", F.col("why").alias("reason"))
+    if context_items is not None:
+        found = found.unionByName(unknown_references(context_items, contexts).select("crate_id", F.col("url").alias("name"), F.lit("unknown context").alias("reason")))
+    return found.distinct()
+
+
+def export_triples(crates: DataFrame, entities: DataFrame, properties: DataFrame, terms: DataFrame, base: str | None = None, strict: bool = True, context_items: DataFrame | None = None, contexts: DataFrame | None = None) -> DataFrame:
+    """The set of triples of every package, as crate_id, s, s_kind, p, o, o_kind, datatype, lang.
+
+    A type triple per type; texts as plain literals (empty ones of a root's required
+    properties are skipped), numbers and booleans read from RDF typed, links as
+    nodes.  Nested objects, nulls and JSON booleans give none.  Names are expanded by
+    the vocabulary of the package's version and its own context (``context_items``,
+    and ``contexts`` for references).  ``base`` is used by packages without their
+    own.  With ``strict`` a name that stays relative or isn't an IRI raises, and so
+    does a reference to an unknown context; a name that leads above its base always does.
+
+    Each name is expanded once for all packages that share a context; triples meet
+    their names' IRIs again by context and name.
+    """
+    rows, names = _named_rows(crates, entities, properties, terms, base, context_items, contexts, strict)
+    refused = F.col("why").isNotNull() if strict else F.col("iri").isNull()
+    iri = F.when(refused, F.raise_error(F.col("why"))).otherwise(F.col("iri"))
+    names = names.select("ctx", "name", iri.alias("iri"))
+    blank, node = F.col("s").startswith("_:"), F.col("o_kind") == "iri"
+    rows = rows.select("crate_id", "ctx", "p", "o_kind", "datatype", F.when(blank, "blank").otherwise("iri").alias("s_kind"), "s", "o", F.when(~blank, F.col("s")).alias("s_name"), F.when(node, F.col("o")).alias("o_name"))
+    of = lambda c: names.select("ctx", F.col("name").alias(c), F.col("iri").alias(f"{c}_iri"))
+    rows = rows.join(of("p"), ["ctx", "p"]).join(of("s_name"), ["ctx", "s_name"], "left").join(of("o_name"), ["ctx", "o_name"], "left")
+    out = rows.select("crate_id", F.coalesce("s_name_iri", "s").alias("s"), "s_kind", F.col("p_iri").alias("p"), F.coalesce("o_name_iri", "o").alias("o"), "o_kind", "datatype", F.lit(None).cast("string").alias("lang"))
     return out.distinct()
 
 
@@ -129,13 +192,28 @@ def _object() -> Column:
     return F.when(F.col("o_kind") == "literal", literal).otherwise(_node("o_kind", "o"))
 
 
+def scoped_blanks(triples: DataFrame) -> DataFrame:
+    """The triples with blank nodes' labels made their package's own, so that files of many packages keep them apart.
+
+    A label gets a 128-bit digest of the package in front, so equal labels of one package stay equal.
+    """
+    own = F.concat(F.lit("_:b"), F.substring(F.sha2("crate_id", 256), 1, 32), F.lit("x"))
+    named = lambda kind, x: F.when(F.col(kind) == "blank", F.concat(own, F.substring(F.col(x), F.lit(3), F.length(x)))).otherwise(F.col(x))
+    return triples.withColumns({"s": named("s_kind", "s"), "o": named("o_kind", "o")})
+
+
 def ntriples(triples: DataFrame, graph: Column | None = None) -> DataFrame:
-    """crate_id, line: N-Triples, or N-Quads with a graph IRI."""
+    """crate_id, line: N-Triples, or N-Quads with a graph IRI.  Blank nodes keep their labels: ``scoped_blanks`` first makes them fit for one file."""
     tail = [F.concat(F.lit("<"), graph, F.lit(">"))] if graph is not None else []
     return triples.select("crate_id", F.concat_ws(" ", _node("s_kind", "s"), F.concat(F.lit("<"), F.col("p"), F.lit(">")), _object(), *tail, F.lit(".")).alias("line"))
 
 
-_LINE = r'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(<[^>]*>|_:[^\s.]+|"[^"\\]*+(?:\\.[^"\\]*+)*+")(?:\^\^<([^>]*)>|@([A-Za-z0-9\-]+))?\s*(?:<[^>]*>|_:\S+)?\s*\.\s*(?:#.*)?$'
+# What N-Triples allows in IRIs, blank nodes and texts.
+_UCHAR = r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}"
+_IRI_BODY = rf"[^\x00-\x20<>\"{{}}|\\^`]*+(?:(?:{_UCHAR})[^\x00-\x20<>\"{{}}|\\^`]*+)*+"
+_BLANK = r"_:[\w\-·]+(?:\.+[\w\-·]+)*+"
+_TEXT = rf"\"[^\"\\]*+(?:(?:\\[tbnrf\"'\\]|{_UCHAR})[^\"\\]*+)*+\""
+_LINE = rf"(?U)^\s*(<{_IRI_BODY}>|{_BLANK})\s+<({_IRI_BODY})>\s+(<{_IRI_BODY}>|{_BLANK}|{_TEXT})(?:\^\^<({_IRI_BODY})>|@([A-Za-z]+(?:-[A-Za-z0-9]+)*+))?\s*(?:<{_IRI_BODY}>|{_BLANK})?\s*\.\s*(?:#.*)?$"
 # The escapes of N-Triples and what they stand for.
 _ESCAPES = (("\\t", "\t"), ("\\b", "\b"), ("\\n", "\n"), ("\\r", "\r"), ("\\f", "\f"), ('\\"', '"'), ("\\'", "'"))
 

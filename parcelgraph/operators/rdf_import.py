@@ -68,7 +68,7 @@ def import_packages(triples: DataFrame, terms: DataFrame, base: str | None = Non
     values = rows.filter(F.col("p") != RDF_TYPE).withColumn("v", typed_literal(F.col("o"), F.col("datatype")))
     node = F.col("o_kind") != "literal"
     tag = F.when(node, "id").otherwise(F.col("v.tag"))
-    text = F.when(node, F.col("target")).when(F.col("v.tag") == "string", F.col("v.s")).otherwise(F.col("o"))
+    text = F.when(node, F.col("target")).when(F.col("v.tag") == "string", F.col("v.s")).when(F.col("v.tag") == "bool", F.col("v.b").cast("string")).otherwise(F.col("o"))
     grouped = values.groupBy("crate_id", "id", "key").agg(F.sort_array(F.collect_list(F.struct(tag.alias("tag"), text.alias("text"), F.col("v.i").alias("i"), F.col("v.d").alias("d")))).alias("all"))
     one, tags = F.element_at("all", 1), F.array_distinct(F.transform("all", lambda x: x["tag"]))
     plural = {"id": "ids", "string": "strings", "int": "ints", "float": "floats"}
@@ -83,6 +83,13 @@ def import_packages(triples: DataFrame, terms: DataFrame, base: str | None = Non
         F.when(whole.isin("id", "ids"), texts).alias("ids"), F.when(whole.isin("strings", "ints", "floats"), texts).alias("items"),
         F.when(lone, quoted(one)).otherwise(F.concat(F.lit("["), F.concat_ws(",", F.transform("all", quoted)), F.lit("]"))).alias("json"),
     )
+    # The members of mixed lists are rows too, as they are for packages read from JSON.
+    mixed = grouped.withColumn("whole", whole).filter("whole = 'array'").join(entities.select("crate_id", "id", "pos"), ["crate_id", "id"]).select("crate_id", "pos", "id", "key", F.posexplode("all").alias("nth", "x"))
+    x = F.col("x")
+    items = mixed.select(
+        "crate_id", "pos", "id", "key", F.concat("key", F.lit("["), F.col("nth").cast("string"), F.lit("]")).alias("path"), F.lit(1).alias("depth"), F.lit("item").alias("origin"), F.col("id").alias("owner"), x["tag"].alias("tag"),
+        F.when(x["tag"] == "string", x["text"]).alias("s"), x["i"].alias("i"), x["d"].alias("d"), F.when(x["tag"] == "id", F.array(x["text"])).alias("ids"), F.lit(None).cast("array<string>").alias("items"), quoted(x).alias("json"),
+    )
     # A descriptor's profile is always the same, and one that says nothing is about the root.
     properties = properties.filter(~((F.col("id") == DESCRIPTOR_ID) & (F.col("key") == "conformsTo")))
     due = entities.filter("kind = 'descriptor'").select("crate_id", "pos", "id", F.explode(F.array(F.struct(F.lit("conformsTo").alias("key"), F.lit(CONTEXT_IRI).alias("to")), F.struct(F.lit("about").alias("key"), F.lit(ROOT_ID).alias("to")))).alias("d")).select("crate_id", "pos", "id", "d.*")
@@ -94,4 +101,4 @@ def import_packages(triples: DataFrame, terms: DataFrame, base: str | None = Non
     missing = missing.withColumns({"path": F.col("key"), "depth": F.lit(0), "origin": F.lit("fixed"), "owner": F.col("id"), "tag": F.lit("string"), "s": F.lit(""), "json": F.lit('""'), **empty}).select(*properties.columns)
     crates = home.select("crate_id", F.lit("rdf").alias("source"), F.lit("1.2").alias("schema_version"), "base")
     context = home.select("crate_id", F.lit(1).alias("pos"), F.lit("reference").alias("kind"), F.lit(None).cast("string").alias("key"), F.lit(CONTEXT_IRI).alias("value"))
-    return Packages(crates, context, entities, written(properties.unionByName(missing).unionByName(due)))
+    return Packages(crates, context, entities, written(properties.unionByName(missing).unionByName(due).unionByName(items)))

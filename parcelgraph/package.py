@@ -172,9 +172,9 @@ class Package:
         t = self.tables
         return frame.eav_frame(t.crates, t.context_items, t.entities, t.properties)
 
-    def triples(self, terms: DataFrame, base: str | None = None, strict: bool = True) -> DataFrame:
+    def triples(self, terms: DataFrame, base: str | None = None, strict: bool = True, contexts: DataFrame | None = None) -> DataFrame:
         t = self.tables
-        return rdf.export_triples(t.crates, t.entities, t.properties, terms, base, strict, t.context_items)
+        return rdf.export_triples(t.crates, t.entities, t.properties, terms, base, strict, t.context_items, contexts)
 
     def links(self) -> DataFrame:
         return lookup.edges(self.tables.properties)

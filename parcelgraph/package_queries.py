@@ -15,7 +15,7 @@ from parcelgraph.functions.links import expand_home, guess_location, is_absolute
 from parcelgraph.functions.values import number_text
 from parcelgraph.operators import edit, frame, lookup, nested, rdf, rdf_import, validate
 from parcelgraph.plans.package_views import BASE_SQL, CONTEXT, CUT, PROFILE, UNLICENSED, package_texts, packages
-from parcelgraph.plans.storage import written
+from parcelgraph.plans.storage import new_folder, written
 from parcelgraph.plans.views import table
 from parcelgraph.registration import query
 from parcelgraph.session import ship_package
@@ -75,17 +75,12 @@ def package_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packages written as files, indented, and read back from them."""
     ship_package(spark)
     docs = sinks.documents(packages(spark, sf_dir)).withColumn("path", F.concat("crate_id", F.lit("/"), F.lit(sources.METADATA_FILE)))
-    folder = _new_folder(spark)
+    folder = new_folder(spark)
     sinks.write_documents(docs, folder).write.format("noop").mode("overwrite").save()
     back = sources.parse(sources.read_texts(spark, f"{folder}/*/{sources.METADATA_FILE}"))
     return back.entities.groupBy(F.regexp_extract("crate_id", r"(c-\d+)/[^/]*$", 1).alias("crate_id")).agg(F.count("*").alias("entities"))
 
 
-def _new_folder(spark: SparkSession) -> str:
-    """A new place in the shared folder."""
-    return written(spark.range(1)).inputFiles()[0].rpartition("/")[0] + "-files"
-
-
 @query(_WITH + "SELECT crate_id, pos, id FROM e")
 def package_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.all_ids(packages(spark, sf_dir).entities)
@@ -323,14 +318,14 @@ def package_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_FRAME)
 def frame_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = _new_folder(spark)
+    folder = new_folder(spark)
     sinks.write_csv(_frame(spark, sf_dir), folder)
     return spark.read.option("header", True).option("nullValue", "\0").csv(folder)
 
 
 @query(_FRAME)
 def frame_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = _new_folder(spark)
+    folder = new_folder(spark)
     sinks.write_parquet(_frame(spark, sf_dir), folder)
     return spark.read.parquet(folder)
 
@@ -450,7 +445,7 @@ def archived_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def zipped_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packages as zip archives, written and read back."""
     ship_package(spark)
-    folder, p = _new_folder(spark), packages(spark, sf_dir)
+    folder, p = new_folder(spark), packages(spark, sf_dir)
     none = spark.createDataFrame([], "crate_id string, path string, entry string")
     sinks.write_zips(sinks.documents(p), none, folder).write.format("noop").mode("overwrite").save()
     back = sources.parse(sources.read_zips(spark, folder))

@@ -5,20 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def written_path(df: DataFrame) -> str:
-    """Writes the rows to a new folder under ``spark.checkpoint.dir``; where that is unset, under a temporary folder in local mode and an error on a cluster."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession) -> str:
+    """A new path under ``spark.checkpoint.dir``; where that is unset, under a temporary folder in local mode and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="parcelgraph-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def written_path(df: DataFrame) -> str:
+    """Writes the rows to a new folder."""
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return path
 

@@ -14,9 +14,11 @@ from parcelgraph.functions.links import is_not_url
 from parcelgraph.functions.values import kind, schema_version
 from parcelgraph.operators import counts, edit, frame, lookup, rdf, reach, validate
 from parcelgraph.plans import views
+from parcelgraph.plans.storage import new_folder
 from parcelgraph.plans.tables import CONTEXT_ITEMS, PROPERTIES
 from parcelgraph.plans.views import entity_id, table
 from parcelgraph.registration import QUERIES, SQL, Query, query
+from parcelgraph.sources import sinks
 from parcelgraph.sources.packages import flatten
 
 def queries() -> dict[str, Query]:
@@ -272,7 +274,11 @@ def ntriples_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_TRIPLES.replace("SELECT DISTINCT *", "SELECT DISTINCT s, p, o, o_kind, datatype"))
 def ntriples_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rdf.parse_ntriples(rdf.ntriples(_triples(spark, sf_dir))).select("s", "p", "o", "o_kind", "datatype")
+    """Triples written to files and read back."""
+    folder = new_folder(spark)
+    sinks.write_lines(rdf.ntriples(_triples(spark, sf_dir)), folder)
+    lines = spark.read.text(folder).select(F.lit(views.SHOP).alias("crate_id"), F.col("value").alias("line"))
+    return rdf.parse_ntriples(lines).select("s", "p", "o", "o_kind", "datatype")
 
 
 @query(f"SELECT s, p, n, \"values\", CASE WHEN n = 1 THEN \"values\" END AS single FROM (SELECT s, p, count(*) AS n, string_agg(o, '|' ORDER BY o) AS \"values\" FROM ({_TRIPLES}) WHERE p <> '{rdf.RDF_TYPE}' GROUP BY s, p)")

@@ -48,13 +48,21 @@ def read_zips(spark: SparkSession, paths: str | list[str], strict: bool = True)
 
 
 def fetch_texts(urls: DataFrame, fetch: Callable[[str], str | None]) -> DataFrame:
-    """The documents behind ``url``, read by tasks through ``fetch``; None becomes a null text, which is rejected later."""
+    """crate_id, source, text, reason of the documents behind ``url``, read by tasks through ``fetch``.  None and whatever it raises become a null text, which is rejected later, and a reason."""
+
+    def one(url: str) -> tuple[str | None, str | None]:
+        try:
+            text = fetch(url)
+        except Exception as e:  # noqa: BLE001, one place must not end the job
+            return None, f"{type(e).__name__}: {e}"
+        return text, None if text is not None else "not found"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"crate_id": b["url"], "source": b["url"], "text": [fetch(u) for u in b["url"]]})
+            got = [one(u) for u in b["url"]]
+            yield pd.DataFrame({"crate_id": b["url"], "source": b["url"], "text": pd.Series([g[0] for g in got], dtype=object), "reason": pd.Series([g[1] for g in got], dtype=object)})
 
-    return urls.select("url").mapInPandas(run, "crate_id string, source string, text string")
+    return urls.select("url").mapInPandas(run, "crate_id string, source string, text string, reason string")
 
 
 def _typed(level: DataFrame) -> DataFrame:

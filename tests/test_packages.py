@@ -312,6 +312,81 @@ def test_malformed_lines(spark):
     assert [(r["s"], r["o"], r["o_kind"]) for r in rdf.parse_ntriples(lines, strict=False).collect()] == [("http://s", "_:b", "blank")]
 
 
+@pytest.mark.parametrize("line", [r'<http://s> <http://p> "x\qy" .', "<http://s s> <http://p> <http://o> .", "<http://s> <http://p> <http://o{}> .", r'<http://s> <http://p> "\u12" .', '<http://s> <http://p> "x"@1 .'])
+def test_escapes_and_iris_that_are_none(spark, line):
+    lines = spark.createDataFrame([("c", line)], "crate_id string, line string")
+    assert rdf.malformed_lines(lines).count() == 1 and rdf.parse_ntriples(lines, strict=False).count() == 0
+
+
+def test_blank_nodes_of_packages_stay_apart_in_one_file(spark, tmp_path):
+    rows = spark.createDataFrame([(c, "_:b", "blank", "http://p", o, k, None, None) for c in ("one", "two") for o, k in ((c, "literal"), ("_:b", "blank"))], "crate_id string, s string, s_kind string, p string, o string, o_kind string, datatype string, lang string")
+    sinks.write_lines(rdf.ntriples(rdf.scoped_blanks(rows)), str(tmp_path / "all"))
+    back = rdf.parse_ntriples(spark.read.text(str(tmp_path / "all")).select(F.lit("file").alias("crate_id"), F.col("value").alias("line"))).collect()
+    assert len(back) == 4 and len({r["s"] for r in back}) == 2
+    assert all(r["s"] == r["o"] for r in back if r["o_kind"] == "blank")
+
+
+def test_booleans_and_mixed_lists_survive_rdf(spark):
+    terms = spark.createDataFrame([("1.2", k, i) for k, i in TERMS.items()], "version string, term string, iri string")
+    name = "http://h/c/ro-crate-metadata.json"
+    lines = [f"<{name}> <http://schema.org/about> <http://h/c/> .", f"<http://h/c/> <{rdf.RDF_TYPE}> <http://schema.org/Dataset> ."]
+    lines += [f'<http://h/c/> <http://schema.org/name> "{v}"^^<{rdf.XSD}boolean> .' for v in ("1",)] + [f'<http://h/c/> <http://x/mix> {v} .' for v in ('"text"', f'"2"^^<{rdf.XSD}integer>', f'"false"^^<{rdf.XSD}boolean>', "<http://h/c/>")]
+    triples = rdf.parse_ntriples(spark.createDataFrame([("c", x) for x in lines], "crate_id string, line string"))
+    t = rdf_import.import_packages(triples, terms)
+    found = {(r["p"], r["o"], r["datatype"]) for r in rdf.export_triples(t.crates, t.entities, t.properties, terms, strict=False).filter("s = 'http://h/c/'").collect()}
+    assert ("http://schema.org/name", "true", f"{rdf.XSD}boolean") in found
+    assert {x[1:] for x in found if x[0] == "http://x/mix"} == {("text", None), ("2", f"{rdf.XSD}integer"), ("false", f"{rdf.XSD}boolean"), ("http://h/c/", None)}
+    urn = t.crates.withColumn("base", F.lit("urn:uuid:0-0"))
+    rows = {(r["key"], r["value"]) for r in frame.eav_frame(urn, t.context_items, t.entities, t.properties).filter("id = './'").collect()}
+    assert ("name", "true") in rows
+
+
+def test_members_of_mixed_lists_are_triples(spark, valued):
+    terms = spark.createDataFrame([("1.1", k, i) for k, i in TERMS.items()], "version string, term string, iri string")
+    rows = rdf.raw_triples(valued.entities, valued.properties).filter("s = '#e'").collect()
+    assert {r["o"] for r in rows if r["p"] == "mix"} == {"1", "a", "#lic"}
+    assert {r["o"] for r in rows if r["p"] == "holes"} == {"a"}
+    assert not {r["p"] for r in rows} & {"flags", "yes", "none", "object", "inner", "deep"}
+    assert terms.count() > 0
+
+
+def test_unknown_contexts_are_told(spark):
+    terms = spark.createDataFrame([("1.1", k, i) for k, i in TERMS.items()], "version string, term string, iri string")
+    lost = Package.read_object(spark, document(context=[CONTEXT, "http://nowhere/ctx"]))
+    with pytest.raises(Exception, match="unknown context: http://nowhere/ctx"):
+        lost.triples(terms, base="http://h/").collect()
+    assert lost.triples(terms, base="http://h/", strict=False).count() > 0
+    known = spark.createDataFrame([("http://nowhere/ctx", "t", "http://t")], "url string, term string, iri string")
+    assert lost.triples(terms, base="http://h/", contexts=known).count() > 0
+    t = Package.read_object(spark, document({"@id": "#e", "@type": "Dataset", "isPartOf": {"@id": "two words"}}, context=[CONTEXT, "http://nowhere/ctx"])).tables
+    got = {(r["name"], r["reason"]) for r in rdf.name_errors(t.crates, t.entities, t.properties, terms, "http://h/", t.context_items).collect()}
+    assert got == {("http://nowhere/ctx", "unknown context"), ("two words", "not an IRI: http://h/two words")}
+
+
+def test_places_that_raise_are_rows(spark):
+    def transport(url, headers):
+        if "broken" in url:
+            raise OSError("no route")
+        return remote.Response(200, [], document().encode()) if "good" in url else remote.Response(404, [], b"")
+
+    urls = spark.createDataFrame([("http://good/x",), ("http://broken/x",), ("http://gone/x",)], "url string")
+    got = {r["crate_id"]: (r["text"] is not None, r["reason"]) for r in remote.resolve_all(urls, transport, tries=2).collect()}
+    assert got == {"http://good/x": (True, None), "http://broken/x": (False, "OSError: no route"), "http://gone/x": (False, "not found")}
+
+    def fetch(url):
+        if "broken" in url:
+            raise ValueError("bad")
+
+    assert {(r["crate_id"], r["reason"]) for r in sources.fetch_texts(urls, fetch).collect()} == {("http://good/x", "not found"), ("http://broken/x", "ValueError: bad"), ("http://gone/x", "not found")}
+
+
+def test_two_parts_at_once(spark):
+    t = Package.read_object(spark, document(hasPart=[{"@id": "a"}])).tables
+    new = spark.createDataFrame([(t.crates.first()["crate_id"], "./", p) for p in ("c", "b", "a", "b")], "crate_id string, id string, part string")
+    rows = edit.add_parts(t.entities, t.properties, new).filter("key = 'hasPart' AND depth = 0").collect()
+    assert [r["ids"] for r in rows] == [["a", "b", "c"]]
+
+
 def test_own_contexts(spark):
     terms = spark.createDataFrame([("1.1", k, i) for k, i in TERMS.items()], "version string, term string, iri string")
     own = {"name": "http://own/name", "ex": "http://ex/ns#", "@vocab": "http://vocab/", "@base": "http://base/c/"}
