@@ -81,6 +81,20 @@ def with_base(base: Column, s: Column) -> Column:
     return let(base_parts(base), lambda parts: with_parts(parts, s))
 
 
+def resolved(base: Column, s: Column) -> Column:
+    """Resolves a relative reference against a base IRI as RFC 3986 has it: fragments and queries keep the base's path as it is, and steps above its root are lost.  A base without an authority is put in front."""
+
+    def use(parts: Column) -> Column:
+        steps = F.regexp_extract(s, "^[^?#]*", 0)
+        path = let(F.when(s.startswith("/"), steps).otherwise(F.concat(parts["folder"], steps)), lambda x: F.when(x.rlike(r"/\.\.?(/|$)"), _folded(x)).otherwise(x))
+        whole = F.concat(parts["authority"], path, F.substring(s, F.length(steps) + 1, F.length(s)))
+        query = F.concat(F.regexp_replace(parts["plain"], r"\?.*$", ""), s)
+        scheme = F.concat(F.substring_index(parts["plain"], ":", 1), F.lit(":"), s)
+        return F.when(s == "", parts["plain"]).when(s.startswith("#"), F.concat(parts["plain"], s)).when(s.startswith("?"), query).when(s.startswith("//"), scheme).when(parts["authority"] == "", F.concat(parts["plain"], s)).otherwise(whole)
+
+    return let(base_parts(base), use)
+
+
 def guess_location(url: Column) -> Column:
     """Where a package's metadata lies, from the package's URL.
 

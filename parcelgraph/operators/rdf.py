@@ -218,7 +218,7 @@ _LINE = rf"(?U)^\s*(<{_IRI_BODY}>|{_BLANK})\s+<({_IRI_BODY})>\s+(<{_IRI_BODY}>|{
 _ESCAPES = (("\\t", "\t"), ("\\b", "\b"), ("\\n", "\n"), ("\\r", "\r"), ("\\f", "\f"), ('\\"', '"'), ("\\'", "'"))
 
 
-def _unescaped(s: Column) -> Column:
+def unescaped(s: Column) -> Column:
     """A text without its escapes.
 
     Doubled backslashes divide it first, so that no other escape can begin with one
@@ -258,10 +258,10 @@ def parse_ntriples(lines: DataFrame, strict: bool = True) -> DataFrame:
         rows = rows.filter(F.size("parts") == 5)
     s, p, datatype, lang, o = (F.try_element_at("parts", F.lit(i)) for i in range(1, 6))
     kind = lambda x: F.when(x.startswith("_:"), "blank").when(x.startswith("<"), "iri").otherwise("literal")
-    bare = lambda x: _unescaped(F.when(x.startswith("_:"), x).otherwise(F.substring(x, F.lit(2), F.length(x) - 2)))
+    bare = lambda x: unescaped(F.when(x.startswith("_:"), x).otherwise(F.substring(x, F.lit(2), F.length(x) - 2)))
     checked = F.when(F.size("parts") != 5, F.raise_error(F.concat(F.lit("not a triple: "), F.col("line")))).otherwise(bare(s))
     known = lambda x: F.when(x != "", x)
-    return rows.select("crate_id", checked.alias("s"), kind(s).alias("s_kind"), _unescaped(p).alias("p"), bare(o).alias("o"), kind(o).alias("o_kind"), _unescaped(known(datatype)).alias("datatype"), known(lang).alias("lang"))
+    return rows.select("crate_id", checked.alias("s"), kind(s).alias("s_kind"), unescaped(p).alias("p"), bare(o).alias("o"), kind(o).alias("o_kind"), unescaped(known(datatype)).alias("datatype"), known(lang).alias("lang"))
 
 
 def turtle(triples: DataFrame) -> DataFrame:

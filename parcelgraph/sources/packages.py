@@ -134,6 +134,11 @@ def _context_items(crates: DataFrame) -> DataFrame:
     )
 
 
+def tolerant_json(text: str) -> str:
+    """A text as VARIANT, tried once more with ``: None`` as ``: null``; null if it isn't JSON.  As SQL."""
+    return f"coalesce(try_parse_json({text}), try_parse_json(replace({text}, ': None', ': null')))"
+
+
 def parse(texts: DataFrame) -> Packages:
     """Packages from (crate_id, source, text).
 
@@ -141,10 +146,14 @@ def parse(texts: DataFrame) -> Packages:
     is rejected if it isn't JSON, its context is an object or holds a term that
     isn't text, or any entity lacks an id, a type or a required property.
     """
-    spark = texts.sparkSession
-    tried = "coalesce(try_parse_json(text), try_parse_json(replace(text, ': None', ': null')))"
-    docs = written(texts.selectExpr("crate_id", "source", f"{tried} AS v"))
-    graph = spark.sql("SELECT crate_id, e.pos, e.value AS doc FROM {t}, LATERAL variant_explode(try_variant_get(v, '$[\"@graph\"]', 'variant')) AS e(pos, key, value)", t=docs)
+    docs = written(texts.selectExpr("crate_id", "source", f"{tolerant_json('text')} AS v"))
+    graph = "SELECT crate_id, e.pos, e.value AS doc FROM {t}, LATERAL variant_explode(try_variant_get(v, '$[\"@graph\"]', 'variant')) AS e(pos, key, value)"
+    return parse_parts(docs, texts.sparkSession.sql(graph, t=docs))
+
+
+def parse_parts(docs: DataFrame, graph: DataFrame) -> Packages:
+    """Packages from documents (crate_id, source, v VARIANT, null for what isn't JSON) and the entities of their graphs (crate_id, pos, doc VARIANT)."""
+    spark = docs.sparkSession
     typed = graph.selectExpr(
         "*",
         "CASE WHEN schema_of_variant(try_variant_get(doc, '$[\"@id\"]', 'variant')) = 'STRING' THEN try_variant_get(doc, '$[\"@id\"]', 'string') END AS id",
