@@ -11,6 +11,7 @@ from parcelgraph.plans.views import table
 from parcelgraph.registration import query
 from parcelgraph.session import ship_package
 from parcelgraph.sources import remote, sinks
+from parcelgraph.sources.contexts import close_contexts
 from parcelgraph.sources.large import read_large
 from parcelgraph.sources.packages import METADATA_FILE
 from parcelgraph.sources.turtle import malformed_statements, read_turtle
@@ -150,6 +151,30 @@ def unknown_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rdf.unknown_references(items, contexts)
 
 
+def _context_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """url, text: a context for each customer, which refers to its nation's, some to one that is nowhere; nations refer to a region's, and regions back to nations."""
+    c, n, r = (table(spark, sf_dir, name) for name in ("customer", "nation", "region"))
+    of_customer = F.expr("""'{"@context":["https://w3id.org/ro/crate/1.2/context","http://ctx.example/n/' || c_nationkey || '",' || CASE WHEN c_custkey % 7 = 0 THEN '"http://ctx.example/lost/' || c_custkey % 3 || '",' ELSE '' END || '{"level":"http://c.example/' || c_custkey || '","@vocab":"http://v","none":null}]}'""")
+    of_nation = F.expr("""'["http://ctx.example/r/' || n_regionkey || '",{"level":"http://n.example/' || n_nationkey || '","shared":{"@id":"http://n.example/shared/' || n_nationkey || '"},"twice":"http://lost"},{"twice":"http://n.example/twice"}]'""")
+    of_region = F.expr("""'{"@context":[{"level":"http://r.example","shared":"http://r.example/shared","zone":"http://r.example/' || r_name || '"},"http://ctx.example/n/' || r_regionkey || '"]}'""")
+    url = lambda kind, key: F.concat(F.lit(f"http://ctx.example/{kind}/"), F.col(key).cast("string")).alias("url")
+    return c.select(url("c", "c_custkey"), of_customer.alias("text")).unionByName(n.select(url("n", "n_nationkey"), of_nation.alias("text"))).unionByName(r.select(url("r", "r_regionkey"), of_region.alias("text")))
+
+
+@query("SELECT 'http://ctx.example/c/' || c_custkey AS url, term, CASE term WHEN 'level' THEN 'http://c.example/' || c_custkey WHEN 'shared' THEN 'http://n.example/shared/' || c_nationkey WHEN 'twice' THEN 'http://n.example/twice' ELSE 'http://r.example/' || r_name END AS iri FROM (SELECT *, unnest(['level', 'shared', 'twice', 'zone']) AS term FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey)")
+def context_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The terms of contexts that refer to contexts, outer ones before inner ones, cycles and all."""
+    documents = _context_documents(spark, sf_dir)
+    return close_contexts(documents.select("url").filter("url LIKE '%/c/%'"), documents)[0]
+
+
+@query("SELECT 'http://ctx.example/c/' || c_custkey AS url, 'http://ctx.example/lost/' || c_custkey % 3 AS missing FROM customer WHERE c_custkey % 7 = 0")
+def missing_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contexts behind contexts that are nowhere, for each context that leads to them."""
+    documents = _context_documents(spark, sf_dir)
+    return close_contexts(documents.select("url").filter("url LIKE '%/c/%'"), documents)[1]
+
+
 def _said(url: str, headers: dict[str, str]) -> remote.Response:  # noqa: ARG001
     """A transport for documents that are in the address: some places raise, some have nothing."""
     kind, _, text = url.removeprefix("data:").partition(",")

@@ -8,18 +8,53 @@ from pyspark.sql import functions as F
 from parcelgraph.plans.storage import written
 
 
+#: Hops before chains are looked for: most graphs of packages are done by then.
+PLAIN_HOPS = 4
+
+
+def _hop(frontier: DataFrame, links: DataFrame, found: DataFrame) -> DataFrame:
+    step = frontier.join(links, ["crate_id", "id"]).select("crate_id", F.col("dst").alias("id")).distinct()
+    return written(step.join(found, ["crate_id", "id"], "left_anti"))
+
+
+def _chain_heads(links: DataFrame, found: DataFrame) -> DataFrame:
+    """crate_id, id, head: of the ids that aren't found and that one link alone leads to, where their chain of such links begins.
+
+    Each round doubles the way that pointers cover, so the number of rounds is the
+    logarithm of the longest chain.  A chain that bites its own tail has no head and is left out.
+    """
+    undone = links.join(found.select("crate_id", F.col("id").alias("dst")), ["crate_id", "dst"], "left_anti")
+    lone = undone.groupBy("crate_id", "dst").agg(F.count("*").alias("n"), F.min("id").alias("head")).filter("n = 1 AND head <> dst")
+    pointers = written(lone.select("crate_id", F.col("dst").alias("id"), "head", F.lit(True).alias("moved")))
+    moving = pointers.count()
+    while moving:
+        further = pointers.select("crate_id", F.col("id").alias("head"), F.col("head").alias("next"))
+        step = pointers.join(further, ["crate_id", "head"], "left").select("crate_id", "id", F.coalesce("next", "head").alias("head"), F.col("next").isNotNull().alias("moved"))
+        pointers = written(step)
+        before, moving = moving, pointers.filter("moved").count()
+        if moving == before:  # every round brings some of each chain to its head: only rings are left
+            break
+    return pointers.filter("NOT moved").select("crate_id", "id", "head")
+
+
 def reachable(starts: DataFrame, edges: DataFrame, max_hops: int | None = None) -> DataFrame:
     """crate_id, id of everything that links lead to from ``starts`` (crate_id, id), which are part of it.
 
-    Each hop joins the last hop's new ids with the links; ids already found are
-    dropped, so cycles end.  A hop's result is a table in the shared folder.
+    A hop joins the last hop's new ids with the links; ids already found are
+    dropped, so cycles end.  Where a few hops don't do, chains of ids that one link
+    alone leads to are followed to their ends at once before each further hop, so
+    that long chains cost the logarithm of their length.  Tables in between are in
+    the shared folder.
     """
-    links = edges.select("crate_id", F.col("src").alias("id"), F.col("dst")).distinct()
+    links = written(edges.filter("src IS NOT NULL AND dst IS NOT NULL").select("crate_id", F.col("src").alias("id"), "dst").distinct())
     found = frontier = written(starts.select("crate_id", "id").distinct())
     hops = 0
     while (max_hops is None or hops < max_hops) and not frontier.isEmpty():
-        step = frontier.join(links, ["crate_id", "id"]).select("crate_id", F.col("dst").alias("id")).distinct()
-        frontier = written(step.join(found, ["crate_id", "id"], "left_anti"))
+        if max_hops is None and hops >= PLAIN_HOPS:
+            ends = _chain_heads(links, found).join(found.select("crate_id", F.col("id").alias("head")), ["crate_id", "head"], "left_semi")
+            chained = written(ends.select("crate_id", "id"))
+            found, frontier = written(found.unionByName(chained)), frontier.unionByName(chained)
+        frontier = _hop(frontier, links, found)
         found = found.unionByName(frontier)
         hops += 1
     return found
