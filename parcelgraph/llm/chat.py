@@ -21,6 +21,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parcelgraph.functions.links import let
+
 #: Marks of the roles that have their own: a bracket, a name, a bracket.
 TEMPLATE = {"system": ("[SYS]", "[/SYS]"), "user": ("[INST]", "[/INST]"), "assistant": ("[ANS]", "</s>"), "tool": ("[TOOL]", "[/TOOL]")}
 #: Marks of all other roles.
@@ -39,16 +41,26 @@ class Template:
             raise ValueError("marks must differ, and be a name between brackets")
         if loss_role not in self.marks:
             raise ValueError("the role that is trained on needs marks of its own")
-        behind = [f"{re.escape(c[0])}(?=\\\\*{re.escape(c[1:])})" for c in self.controls]
-        self.control = "|".join(re.escape(c) for c in self.controls)
-        self._to_escape = "|".join(behind)
-        self._escaped = "|".join(f"(?<={re.escape(c[0])})\\\\(?=\\\\*{re.escape(c[1:])})" for c in self.controls)
+        # By first character, so that most characters of a text are passed over at a glance.
+        rests = {first: "(?:" + "|".join(re.escape(c[1:]) for c in self.controls if c[0] == first) + ")" for first in sorted({c[0] for c in self.controls})}
+        self._first = list(rests)
+        starts = "[" + "".join(map(re.escape, rests)) + "]"
+        self.control = starts + "(?:" + "|".join(f"(?<={re.escape(c)}){rest}" for c, rest in rests.items()) + ")"
+        self._to_escape = "|".join(f"{re.escape(c)}(?=\\\\*{rest})" for c, rest in rests.items())
+        self._escaped = "\\\\(?:" + "|".join(f"(?<={re.escape(c)}\\\\)(?=\\\\*{rest})" for c, rest in rests.items()) + ")"
+
+    def may_conflict(self, text: Column) -> Column:
+        """Whether a text holds the first character of any control string: others can't be taken for one."""
+        found = text.contains(self._first[0])
+        for c in self._first[1:]:
+            found = found | text.contains(c)
+        return found
 
     def escape(self, text: Column) -> Column:
-        return F.regexp_replace(text, self._to_escape, r"$0\\")
+        return F.when(self.may_conflict(text), F.regexp_replace(text, self._to_escape, r"$0\\")).otherwise(text)
 
     def unescape(self, text: Column) -> Column:
-        return F.regexp_replace(text, self._escaped, "")
+        return F.when(text.contains("\\"), F.regexp_replace(text, self._escaped, "")).otherwise(text)
 
     def _mark(self, role: Column, which: int) -> Column:
         marks = F.lit(self.other[which])
@@ -72,19 +84,21 @@ class Template:
     def parse(self, formatted: Column) -> Column:
         """The turns of a formatted text as array<struct<role, text>>; null if it isn't in the grammar.
 
-        Control strings and what lies between them are two lists; each second one
-        of either belongs to the same turn, so the work is linear.
+        The text is cut before each control string; each second piece closes what
+        the one before it opened, so the work is linear.
         """
-        marks, between = F.regexp_extract_all(formatted, F.lit(self.control), F.lit(0)), F.split(formatted, self.control, -1)
         even, odd = (lambda a: F.filter(a, lambda _, i: i % 2 == 0)), (lambda a: F.filter(a, lambda _, i: i % 2 == 1))
-        pairs = F.zip_with(even(marks), odd(marks), lambda a, b: F.concat(a, b))
-        bodies = odd(between)
-        good = (
-            F.forall(even(between), lambda x: x == "") & F.forall(pairs, lambda x: F.coalesce(x.isin(*[a + b for a, b in [*self.marks.values(), self.other]]), F.lit(False)))
-            & F.forall(bodies, lambda x: x.startswith(" ") & x.endswith(" ") & (F.length(x) >= 2))
-        )
-        turns = F.zip_with(pairs, bodies, lambda pair, x: self._turn(pair, self.unescape(x.substr(F.lit(2), F.length(x) - 2))))
-        return F.when(good, turns)
+        known = [a + b for a, b in [*self.marks.values(), self.other]]
+        pieces = F.filter(F.split(formatted, f"(?={self.control})", -1), lambda x: x != "")
+        marked = F.transform(pieces, lambda x: let(F.regexp_extract(x, f"^{self.control}", 0), lambda m: F.struct(m.alias("mark"), x.substr(F.length(m) + 1, F.length(x)).alias("rest"))))
+        pairs = lambda x: F.zip_with(even(x), odd(x), lambda a, b: F.concat(a["mark"], b["mark"]))
+        cut = let(marked, lambda x: F.struct(pairs(x).alias("pairs"), F.transform(even(x), lambda a: a["rest"]).alias("bodies"), F.forall(odd(x), lambda b: b["rest"] == "").alias("together")))
+
+        def turns(x: Column) -> Column:
+            good = x["together"] & F.forall(x["pairs"], lambda p: F.coalesce(p.isin(*known), F.lit(False))) & F.forall(x["bodies"], lambda t: t.startswith(" ") & t.endswith(" ") & (F.length(t) >= 2))
+            return F.when(good, F.zip_with(x["pairs"], x["bodies"], lambda pair, t: self._turn(pair, self.unescape(t.substr(F.lit(2), F.length(t) - 2)))))
+
+        return let(cut, turns)
 
     def _turn(self, pair: Column, body: Column) -> Column:
         said = F.substring_index(body, "\n", 1)
@@ -121,8 +135,7 @@ def format_conversations(conversations: DataFrame, template: Template | None = N
     rows = conversations.select("conv_id", "turn", F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text"))
     source = F.array(F.struct("role", "text"))
     same = lambda escaped: F.coalesce(template.parse(_rendered_turn(template, F.lit(escaped))) == source, F.lit(False))
-    # Most texts hold no bracket of a control string: nothing in them can be taken for one.
-    plain = ~F.concat("role", "text").rlike("|".join(sorted({re.escape(c[0]) for c in template.controls})))
+    plain = ~template.may_conflict(F.concat("role", "text"))
     escaped = F.when(plain | same(False), False).when(same(True), True).otherwise(F.raise_error(F.concat(F.lit("a turn doesn't come back: "), F.col("text"))))
     rows = rows.withColumn("escaped", escaped)
     turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "escaped"))).alias("turns"))
