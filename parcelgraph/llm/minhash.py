@@ -14,10 +14,11 @@ sets, and what remains in other components of a bucket is then compared with the
 bucket's members unless that can't give a link: by the triangle inequality, by
 traces (the bins of ``TRACE_BITS`` that a set's shingles fall in; each bin of one set
 alone is a shingle of it alone, so similarity has an exact upper bound), or, for
-sets that fill their traces, by an estimate below ``LEAST_ESTIMATE``, six
-deviations below a link.  A pair at similarity 0.75 falls short of that with
-probability 4e-9, a thousand times more rarely than it meets in no band; copies
-are never expanded into pairs.
+two sets of at least ``TRACE_BITS`` shingles, which fill their traces so that these
+say nothing, by an estimate below ``LEAST_ESTIMATE``, six deviations below a link.
+Such a pair at similarity 0.75 falls short of that with probability 4e-9, a thousand
+times more rarely than it meets in no band; smaller sets are left out by exact
+bounds alone.  Copies are never expanded into pairs.
 """
 
 from __future__ import annotations
@@ -40,8 +41,8 @@ PERCENT = 75
 ROWS = 6
 BANDS = 64
 COORDINATES = ROWS * BANDS
-#: Bits of each bin that estimate a similarity, and the least estimate at which a pair beside the heads is compared:
-#: at similarity 0.75 the estimate's deviation is 0.026.
+#: Bits of each bin that estimate a similarity, and the least estimate at which a pair of large sets beside the heads is
+#: compared: at similarity 0.75 the estimate's deviation is 0.026.
 BITS = 4
 LEAST_ESTIMATE = 0.59
 #: Bits of a set's trace.
@@ -217,10 +218,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     apart = F.greatest(F.col("a_low") - F.col("b_high"), F.col("b_low") - F.col("a_high"))
     unequal = F.aggregate(F.zip_with("a_bits", "b_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     estimate = 1 - 2 * unequal / (BITS * COORDINATES)
+    is_near = (F.least("a_n", "b_n") < TRACE_BITS) | (estimate >= LEAST_ESTIMATE)
     first_band = F.try_element_at(F.filter("a_bands", lambda x, i: x == F.element_at("b_bands", i + 1)), F.lit(1))  # a pair counts in the first bucket that it shares
     rest = (
         side(others.filter("minor"), "a").join(side(others, "b"), "band").filter("a_root != b_root AND (NOT b_minor OR a_set_key < b_set_key)").filter(similar("a_n", "b_n"))
-        .filter(apart <= 1 - PERCENT / 100 + 1e-9).filter(may_link((F.col("a_n"), F.col("b_n")), (F.col("a_trace"), F.col("b_trace")))).filter(estimate >= LEAST_ESTIMATE).filter(first_band == F.col("band"))
+        .filter(apart <= 1 - PERCENT / 100 + 1e-9).filter(may_link((F.col("a_n"), F.col("b_n")), (F.col("a_trace"), F.col("b_trace")))).filter(is_near).filter(first_band == F.col("band"))
     )
     pairs = rest.select(F.least("a_set_key", "b_set_key").alias("a"), F.greatest("a_set_key", "b_set_key").alias("b")).distinct()
     more = written(compared(pairs, sets).filter("linked").select("a", "b"))
