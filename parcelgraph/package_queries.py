@@ -469,11 +469,11 @@ def _bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"id": b["id"], "found": [r[0] for r in rows], "bare": [r[1] for r in rows]}, dtype=object)
 
 
-@query("SELECT n_nationkey AS id, CASE WHEN n_nationkey % 2 = 0 THEN n_name END AS found, CAST(NULL AS VARCHAR) AS bare FROM nation")
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS found, CAST(NULL AS VARCHAR) AS bare FROM customer")
 def bagit_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("text"), (F.col("n_nationkey") % 2 == 0).alias("good"))
-    return rows.mapInPandas(_bags, "id int, found string, bare string")
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("text"), (F.col("c_custkey") % 2 == 0).alias("good"))
+    return rows.mapInPandas(_bags, "id long, found string, bare string")
 
 
 @query("SELECT url, CASE WHEN url LIKE '%#%' OR regexp_matches(url, '[^/]*[?=&%.~:-][^/]*$') AND NOT regexp_matches(url, '/[A-Za-z0-9_]*[.][A-Za-z0-9_]*$') THEN url || '/' ELSE regexp_extract(url, '^(.*/)', 1) END || 'ro-crate-metadata.json' AS location FROM (SELECT url FROM pages UNION ALL SELECT 'https://parts.example/' || p_type || '/' || p_partkey || CASE p_size % 3 WHEN 0 THEN '/' WHEN 1 THEN '.json' ELSE '' END FROM part)")
@@ -533,27 +533,39 @@ def remote_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(roots, "crate_id", "left").select(F.col("crate_id").alias("url"), "name")
 
 
-def _tree(url: str, headers: dict[str, str]) -> remote.Response:  # noqa: ARG001
-    """A made-up site of packages: number n holds 4n to 4n + 3, below 60, and 0."""
-    number = int(url.removeprefix("https://tree.example/"))
-    below = [f"https://tree.example/{x}" for x in (*range(4 * number, 4 * number + 4), 0) if x != number and x < 60]
-    return remote.Response(200, [], _document(str(number), *below).encode())
+def _nested_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """crate_id, path, text: a package for each customer, which holds those of the customers with eight times its key and up to seven more."""
+    key = F.col("c_custkey")
+    part = F.concat(F.lit(',{"@id":"part-'), key.cast("string"), F.lit(f'/","@type":"Dataset","conformsTo":{{"@id":"{PROFILE}/1.2"}},"subjectOf":{{"@id":"p-'), key.cast("string"), F.lit('.json"}}'))
+    customers = table(spark, sf_dir, "customer").select("c_custkey")
+    parts = customers.select(F.floor(key / 8).alias("up"), part.alias("part")).filter("up > 0").groupBy("up").agg(F.array_join(F.sort_array(F.collect_list("part")), "").alias("parts"))  # eight at most
+    rows = customers.join(parts, F.col("up") == key, "left")
+    name = F.concat(F.lit("p-"), key.cast("string"), F.lit(".json"))
+    head, tail = _document("?").split("?")
+    graph_end = "]}"
+    return rows.select(name.alias("crate_id"), name.alias("path"), F.concat(F.lit(head), key.cast("string"), F.lit(tail.removesuffix(graph_end)), F.coalesce("parts", F.lit("")), F.lit(graph_end)).alias("text"))
 
 
-@query("WITH RECURSIVE n AS (SELECT DISTINCT n_nationkey AS n FROM nation), e AS (SELECT a.x AS up, b.y AS down FROM (SELECT unnest(range(60)) AS x) AS a, (SELECT unnest(range(60)) AS y) AS b WHERE b.y <> a.x AND (b.y // 4 = a.x OR b.y = 0)), t(x, depth) AS (SELECT n, 1 FROM n UNION SELECT e.down, depth + 1 FROM t JOIN e ON e.up = t.x WHERE depth < 9) SELECT 'https://tree.example/' || x AS url, min(depth) AS depth FROM t GROUP BY x")
+def _no_route(url: str, headers: dict[str, str]) -> remote.Response:  # noqa: ARG001
+    """For packages whose parts are all files."""
+    raise OSError(url)
+
+
+@query("WITH RECURSIVE t(k, depth) AS (SELECT c_custkey, 1 FROM customer WHERE c_custkey // 8 = 1 UNION ALL SELECT c_custkey, depth + 1 FROM t JOIN customer ON c_custkey // 8 = k) SELECT 'p-' || k || '.json' AS url, depth FROM t")
 def nested_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packages below a package with a place for each nation, fetched at every depth; places that are met again are not asked again."""
+    """Packages below the first customer's, read from files at every depth."""
     ship_package(spark)
-    places = table(spark, sf_dir, "nation").agg(F.concat_ws(",", F.sort_array(F.collect_list(F.concat(F.lit("https://tree.example/"), "n_nationkey"))))).first()[0]  # 25 nations
-    start = sources.parse(sources.from_texts(spark, {"start": _document("start", *places.split(","))}))
-    found, asked = nested.fetch_nested(start, _tree)
+    folder = new_folder(spark)
+    texts = _nested_texts(spark, sf_dir)
+    sinks.write_documents(texts, folder).write.format("noop").mode("overwrite").save()
+    first = texts.filter("path = 'p-1.json'").select("crate_id", "path", "text").withColumnRenamed("path", "source")
+    found, asked = nested.fetch_nested(sources.parse(first), _no_route, folder)
     return asked.join(found.crates.select(F.col("crate_id").alias("url")), "url", "left_semi").select("url", F.col("depth").cast("int").alias("depth"))
 
 
-@query(f"SELECT 'p-' || n_nationkey AS crate_id, 'Private' AS license FROM nation WHERE n_nationkey < 2 UNION ALL SELECT 'texts', CAST(count(*) AS VARCHAR) FROM customer WHERE c_custkey % 50 NOT IN ({CUT})")
+@query("SELECT 'p-' || c_custkey AS crate_id, './' AS id, c_mktsegment AS license, '2024-01-01' AS date FROM customer")
 def default_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packages made from nothing, and how many of the documents at hand are JSON."""
-    made = [sources.default_package(spark, f"p-{i}", "2024-01-01") for i in range(2)]
-    licenses = [p.properties.filter("key = 'license'").select("crate_id", F.col("s").alias("license")) for p in made]
-    texts = package_texts(spark, sf_dir).filter(F.try_parse_json("text").isNotNull()).agg(F.count("*").cast("string").alias("license")).select(F.lit("texts").alias("crate_id"), "license")
-    return licenses[0].unionByName(licenses[1]).unionByName(texts)
+    """A package made from nothing for each customer."""
+    names = table(spark, sf_dir, "customer").select(F.concat(F.lit("p-"), F.col("c_custkey").cast("string")).alias("crate_id"), F.lit("2024-01-01").alias("now"), F.col("c_mktsegment").alias("license"))
+    one = lambda key, c: F.max(F.when(F.col("key") == key, F.col("s"))).alias(c)
+    return sources.default_packages(names).properties.filter("id = './'").groupBy("crate_id", "id").agg(one("license", "license"), one("datePublished", "date"))

@@ -46,16 +46,27 @@ def package_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.expr("'c-' || c_custkey").alias("crate_id"), F.lit("tables").alias("source"), F.expr(text).alias("text"))
 
 
-_parsed: dict[tuple[str, str], Packages] = {}
+_parsed: dict[tuple, Packages] = {}
+
+
+def _versions(spark: SparkSession, sf_dir: str) -> tuple:
+    """Name, size and time of the files that packages are made of."""
+    hadoop, found = spark._jsc.hadoopConfiguration(), []
+    for name in ("customer", "orders"):
+        for file in sorted(table(spark, sf_dir, name).inputFiles()):
+            path = spark._jvm.org.apache.hadoop.fs.Path(file)
+            status = path.getFileSystem(hadoop).getFileStatus(path)
+            found.append((file, status.getLen(), status.getModificationTime()))
+    return tuple(found)
 
 
 def packages(spark: SparkSession, sf_dir: str) -> Packages:
-    """The packages of ``package_texts``, parsed once in a session as long as their tables are there."""
+    """The packages of ``package_texts``, parsed once for each state of their files as long as the parsed tables are there."""
     from parcelgraph.sources.packages import parse
 
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, *_versions(spark, sf_dir))
     try:
-        if key in _parsed and _parsed[key].crates.count() >= 0:
+        if key in _parsed and all(getattr(_parsed[key], t).limit(1).count() >= 0 for t in ("crates", "context_items", "entities", "properties", "rejects")):
             return _parsed[key]
     except PySparkException:
         pass

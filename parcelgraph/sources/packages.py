@@ -184,10 +184,13 @@ def parse_parts(docs: DataFrame, graph: DataFrame) -> Packages:
     return Packages(crates, items, entities.select("crate_id", "pos", "id", "kind", "types", "types_is_array"), written(flatten(entities.select("crate_id", "pos", "id", "kind", "doc"))), rejects)
 
 
-def default_package(spark: SparkSession, crate_id: str, now: str, license_: str = "Private") -> Packages:
-    """A package of a descriptor and a root, with ``now`` as its date."""
-    doc = f"""{{"@context": "https://w3id.org/ro/crate/1.2/context", "@graph": [
-        {{"@id": "{DESCRIPTOR_ID}", "@type": "CreativeWork", "conformsTo": {{"@id": "https://w3id.org/ro/crate/1.2"}}, "about": {{"@id": "{ROOT_ID}"}}}},
-        {{"@id": "{ROOT_ID}", "@type": "Dataset", "name": "", "description": "", "datePublished": "{now}", "license": "{license_}"}}]}}"""
-    return parse(from_texts(spark, {crate_id: doc}))
+def default_packages(names: DataFrame) -> Packages:
+    """Packages of a descriptor and a root for each row of (crate_id, now, license), with ``now`` as its date."""
+    fixed = f'{{"@context":"https://w3id.org/ro/crate/1.2/context","@graph":[{{"@id":"{DESCRIPTOR_ID}","@type":"CreativeWork","conformsTo":{{"@id":"https://w3id.org/ro/crate/1.2"}},"about":{{"@id":"{ROOT_ID}"}}}},{{"@id":"{ROOT_ID}","@type":"Dataset","name":"","description":"","datePublished":'
+    quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    return parse(names.select("crate_id", F.lit("new").alias("source"), F.concat(F.lit(fixed), quoted("now"), F.lit(',"license":'), quoted("license"), F.lit("}]}")).alias("text")))
+
 
+def default_package(spark: SparkSession, crate_id: str, now: str, license_: str = "Private") -> Packages:
+    """One such package."""
+    return default_packages(spark.createDataFrame([(crate_id, now, license_)], "crate_id string, now string, license string"))
