@@ -5,10 +5,12 @@ from __future__ import annotations
 import io
 import json
 import os
-import shutil
+import struct
 import uuid
 import zipfile
+import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 from urllib.parse import quote
 
 import pandas as pd
@@ -16,7 +18,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelgraph.plans.storage import written_path
+from parcelgraph.plans.storage import new_folder, written, written_path
 from parcelgraph.plans.tables import Packages
 from parcelgraph.sources.packages import METADATA_FILE
 
@@ -67,15 +69,18 @@ def _store(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 def write_documents(docs: DataFrame, folder: str) -> DataFrame:
-    """Writes each (crate_id, path, text) to ``folder/path`` and returns crate_id, path, n_bytes."""
+    """Writes each (crate_id, path, text) to ``folder/path`` and returns crate_id, path, n_bytes.  A file appears whole or not at all."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, root = _store(folder)
         for b in batches:
             for path, text in zip(b["path"], b["text"], strict=True):
-                system.create_dir(os.path.dirname(f"{root}/{path}"), recursive=True)
-                with system.open_output_stream(f"{root}/{path}") as out:
+                home = os.path.dirname(f"{root}/{path}")
+                system.create_dir(home, recursive=True)
+                temporary = f"{home}/.{uuid.uuid4().hex}"
+                with system.open_output_stream(temporary) as out:
                     out.write(text.encode())
+                system.move(temporary, f"{root}/{path}")
             yield pd.DataFrame({"crate_id": b["crate_id"], "path": b["path"], "n_bytes": [len(t.encode()) for t in b["text"]]})
 
     return docs.select("crate_id", "path", "text").mapInPandas(run, "crate_id string, path string, n_bytes long")
@@ -139,30 +144,90 @@ def parquet_bytes(frame: DataFrame) -> int:
     return int(path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength())
 
 
+# Fixed values of the zip format: signatures, the version that knows 64-bit sizes, and flags (UTF-8 names, deflate).
+_LOCAL, _CENTRAL, _END64, _LOCATOR, _END = b"PK\3\4", b"PK\1\2", b"PK\6\6", b"PK\6\7", b"PK\5\6"
+_VERSION, _UTF8, _DEFLATED, _MIDNIGHT_1980, _IN_EXTRA = 45, 0x800, 8, 0x21, 0xFFFFFFFF
+#: Bytes that are read at a time, and tasks that a thread of the cluster gets for compressing.
+_COPIED, _TASKS_A_CORE = 1 << 20, 4
+
+
+def _packed(members: DataFrame) -> DataFrame:
+    """crate_id, entry, part, start, packed, size, crc of members (crate_id, entry, path or text): each compressed by some task into that task's file, wherever its package's others are."""
+    spark = members.sparkSession
+    folder = new_folder(spark)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, root = _store(folder)
+        system.create_dir(root, recursive=True)
+        part, at = f"{folder}/{uuid.uuid4().hex}", 0
+        with system.open_output_stream(_store(part)[1]) as out:
+            for b in batches:
+                rows = []
+                for crate_id, entry, path, text in zip(b["crate_id"], b["entry"], b["path"], b["text"], strict=True):
+                    z, crc, size, start = zlib.compressobj(6, zlib.DEFLATED, -15), 0, 0, at
+                    source, where = _store(path) if path is not None else (None, None)
+                    with source.open_input_stream(where) if source is not None else io.BytesIO(text.encode()) as content:
+                        while chunk := content.read(_COPIED):
+                            crc, size = zlib.crc32(chunk, crc), size + len(chunk)
+                            at += out.write(z.compress(chunk))
+                    at += out.write(z.flush())
+                    rows.append((crate_id, entry, part, start, at - start, size, crc))
+                yield pd.DataFrame(rows, columns=["crate_id", "entry", "part", "start", "packed", "size", "crc"])
+
+    dealt = members.repartition(spark.sparkContext.defaultParallelism * _TASKS_A_CORE, "crate_id", "entry")
+    return written(dealt.mapInPandas(run, "crate_id string, entry string, part string, start long, packed long, size long, crc long"))
+
+
+def _assembled(out: BinaryIO, members: pd.DataFrame) -> None:
+    """Writes an archive of compressed members: headers and members in turn, then the directory with their places."""
+    names = [e.encode() for e in members["entry"]]
+    heads = [30 + len(n) + 20 for n in names]
+    sizes = (pd.Series(heads, dtype="int64") + members["packed"].reset_index(drop=True)).cumsum()
+    places = [0, *map(int, sizes)]
+    for name, row in zip(names, members.itertuples(), strict=True):
+        head = struct.pack("<4s2B4HL2L2H", _LOCAL, _VERSION, 0, _UTF8, _DEFLATED, 0, _MIDNIGHT_1980, row.crc, _IN_EXTRA, _IN_EXTRA, len(name), 20)
+        out.write(head + name + struct.pack("<HHQQ", 1, 16, row.size, row.packed))
+        system, at = _store(row.part)
+        with system.open_input_file(at) as content:
+            content.seek(row.start)
+            left = row.packed
+            while left:
+                chunk = content.read(min(left, _COPIED))
+                out.write(chunk)
+                left -= len(chunk)
+    directory = 0
+    for name, row, place in zip(names, members.itertuples(), places, strict=False):
+        head = struct.pack("<4s4B4HL2L5H2L", _CENTRAL, _VERSION, 3, _VERSION, 0, _UTF8, _DEFLATED, 0, _MIDNIGHT_1980, row.crc, _IN_EXTRA, _IN_EXTRA, len(name), 28, 0, 0, 0, 0o600 << 16, _IN_EXTRA)
+        directory += out.write(head + name + struct.pack("<HHQQQ", 1, 24, row.size, row.packed, place))
+    n, behind = len(names), places[-1]
+    out.write(struct.pack("<4sQ2H2L4Q", _END64, 44, _VERSION, _VERSION, 0, 0, n, n, directory, behind))
+    out.write(struct.pack("<4sLQL", _LOCATOR, 0, behind + directory, 1) + struct.pack("<4s4H2LH", _END, 0, 0, 0xFFFF, 0xFFFF, _IN_EXTRA, _IN_EXTRA, 0))
+
+
 def write_zips(docs: DataFrame, plan: DataFrame, folder: str) -> DataFrame:
     """Writes a zip per package to ``folder`` (any store), its document (crate_id, text) and its planned files, and returns crate_id, path, n_entries.
 
-    Inputs are never changed.  A package's files are streamed one by one.  The
-    archive's name is the package's id, escaped so that different ids have different
-    names; it appears whole or not at all.
+    Inputs are never changed.  Files are read and compressed by as many tasks as
+    there are, however they spread over packages; putting a package's compressed
+    members together, in the order of their names behind its document, is one
+    task's copying.  The archive's name is the package's id, escaped so that
+    different ids have different names; it appears whole or not at all.
     """
+    null = F.lit(None).cast("string")
+    members = docs.select("crate_id", F.lit(METADATA_FILE).alias("entry"), null.alias("path"), "text").unionByName(plan.select("crate_id", "entry", "path", null.alias("text")))
 
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         system, root = _store(folder)
         name = f"{quote(key[0], safe='')}.zip"
         temporary = f"{root}/.{uuid.uuid4().hex}"
         system.create_dir(root, recursive=True)
-        with system.open_output_stream(temporary) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, allowZip64=True) as z:
-            for text in left["text"]:
-                z.writestr(METADATA_FILE, text)
-            for path, entry in sorted(zip(right["path"], right["entry"], strict=True)):
-                source, at = _store(path)
-                with source.open_input_stream(at) as content, z.open(zipfile.ZipInfo(entry), "w", force_zip64=True) as member:
-                    shutil.copyfileobj(content, member, 1 << 20)
+        rows = rows.assign(later=rows["entry"] != METADATA_FILE).sort_values(["later", "entry"])
+        with system.open_output_stream(temporary) as out:
+            _assembled(out, rows)
         system.move(temporary, f"{root}/{name}")
-        return pd.DataFrame({"crate_id": [key[0]], "path": [f"{folder.rstrip('/')}/{name}"], "n_entries": [len(left) + len(right)]})
+        return pd.DataFrame({"crate_id": [key[0]], "path": [f"{folder.rstrip('/')}/{name}"], "n_entries": [len(rows)]})
 
-    return docs.groupBy("crate_id").cogroup(plan.groupBy("crate_id")).applyInPandas(run, "crate_id string, path string, n_entries long")
+    return _packed(members).groupBy("crate_id").applyInPandas(run, "crate_id string, path string, n_entries long")
 
 
 def zip_bytes(document: str, files: dict[str, bytes]) -> bytes:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import json
 import random
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from parcelgraph.operators import reach
-from parcelgraph.sources import contexts, large, packages, turtle
+from parcelgraph.sources import contexts, large, packages, sinks, turtle
 from parcelgraph.sources.ordered import read_pieces
 
 PROFILE = "https://w3id.org/ro/crate/1.2"
@@ -157,3 +158,22 @@ def test_reach_against_brute_force(spark, monkeypatch, seed):
     df = spark.createDataFrame([("c", s, d) for s, d in edges] + [("other", "0", "9")], "crate_id string, src string, dst string").coalesce(1)
     got = [x["id"] for x in reach.reachable(spark.createDataFrame([("c", "0"), ("c", "30")], "crate_id string, id string"), df).collect()]
     assert sorted(got) == sorted(brute_reach(["0", "30"], edges))
+
+
+def test_an_archive_of_many_files_is_compressed_by_many_tasks(spark, tmp_path):
+    source = tmp_path / "in"
+    (source / "deep").mkdir(parents=True)
+    contents = {f"deep/{i}.txt": random.Random(i).randbytes(50) * i for i in range(60)} | {"é 日.bin": b"x" * 3_000_000, "empty": b""}
+    for name, content in contents.items():
+        (source / name).write_bytes(content)
+    files = sinks.listed_files(spark, spark.createDataFrame([("c", str(source))], "crate_id string, root string"))
+    docs = spark.createDataFrame([("c", document(0)), ("alone", document(1))], "crate_id string, text string")
+    packed = sinks._packed(sinks.archive_plan(files).select("crate_id", "entry", "path", F.lit(None).cast("string").alias("text")))
+    assert packed.select("part").distinct().count() > 3
+    rows = {r["crate_id"]: r for r in sinks.write_zips(docs, sinks.archive_plan(files), str(tmp_path / "out")).collect()}
+    assert rows["c"]["n_entries"] == 63 and rows["alone"]["n_entries"] == 1
+    with zipfile.ZipFile(rows["c"]["path"]) as z:
+        assert z.testzip() is None and z.namelist()[0] == packages.METADATA_FILE
+        assert {n: z.read(n) for n in z.namelist()[1:]} == contents
+        assert z.read(packages.METADATA_FILE).decode() == document(0)
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["alone.zip", "c.zip"]
