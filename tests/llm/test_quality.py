@@ -67,3 +67,9 @@ def test_features_and_scores_against_plain_python():
         total = model.intercept + sum(model.tables[j][b] for j, b in enumerate(bins))
         total += sum(t[bins[i] * quality.PAIR_BINS // quality.BINS][bins[j] * quality.PAIR_BINS // quality.BINS] for (i, j), t in zip(model.pairs, model.pair_tables, strict=True))
         assert abs(score - 1 / (1 + np.exp(-total))) < 1e-9
+
+
+def test_empty_tables(spark, awkward, empty):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality.score(empty, none).collect() == []
+    assert {r["score"] for r in quality.score(awkward, none).collect()} == {0.5}
