@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from parcelgraph.functions.links import expand_home, guess_location, is_absolute_iri, with_base
 from parcelgraph.functions.values import number_text
 from parcelgraph.operators import edit, frame, lookup, nested, rdf, rdf_import, validate
-from parcelgraph.plans.package_views import BASE_SQL, CONTEXT, CUT, PROFILE, UNLICENSED, package_texts, packages
+from parcelgraph.plans.package_views import BASE_SQL, CONTEXT, CUT, PROFILE, UNLICENSED, packages
 from parcelgraph.plans.storage import new_folder, written
 from parcelgraph.plans.views import table
 from parcelgraph.registration import query
