@@ -276,6 +276,67 @@ def turtle(triples: DataFrame) -> DataFrame:
     return blocks.select("crate_id", "s", F.concat(F.col("subject"), F.lit(" "), F.array_join(F.transform("lines", lambda x: x["text"]), " ;\n    "), F.lit(" .")).alias("text"))
 
 
+# What XML 1.0 allows in a name behind its prefix, and what no XML text holds.
+_LOCAL_NAME = r"[\p{L}_][\p{L}\p{N}_.\-]*$"
+_NOT_IN_XML = r"[\x00-\x08\x0B\x0C\x0E-\x1F\uFFFE\uFFFF]"
+# Names of the RDF vocabulary that are syntax and no properties.
+RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
+RDF_SYNTAX = ("RDF", "Description", "ID", "about", "parseType", "resource", "nodeID", "datatype", "li", "aboutEach", "aboutEachPrefix", "bagID")
+#: What stands before and behind the blocks of an RDF/XML document.
+RDFXML_HEAD, RDFXML_TAIL = f'<?xml version="1.0" encoding="UTF-8"?>\n<rdf:RDF xmlns:rdf="{RDF}">\n', "</rdf:RDF>\n"
+
+
+def _xml(s: Column) -> Column:
+    for raw, code in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\r", "&#13;")):
+        s = F.replace(s, F.lit(raw), F.lit(code))
+    return s
+
+
+def _rdfxml_error() -> Column:
+    """Why a triple can't be said in RDF/XML: null if it can."""
+    local = F.regexp_extract("p", _LOCAL_NAME, 0)
+    return (
+        F.when((local == "") | (local == F.col("p")), F.concat(F.lit("no XML name ends "), F.col("p"))).when(F.col("p").isin(*(RDF + x for x in RDF_SYNTAX)), F.concat(F.lit("syntax, no property: "), F.col("p")))
+        .when(F.concat("s", "p", "o").rlike(_NOT_IN_XML), "a character that XML lacks")
+    )
+
+
+def rdfxml_errors(triples: DataFrame) -> DataFrame:
+    """crate_id, s, p, reason: triples that RDF/XML can't say."""
+    return triples.withColumn("reason", _rdfxml_error()).filter("reason IS NOT NULL").select("crate_id", "s", "p", "reason")
+
+
+def rdfxml(triples: DataFrame, strict: bool = True) -> DataFrame:
+    """crate_id, s, text: an RDF/XML element per subject, its properties in order.
+
+    A property's IRI is cut before the longest name that XML allows at its end; a
+    subject numbers the namespaces that are left, in order, and declares them, so
+    blocks make documents in any order and number, between ``RDFXML_HEAD`` and
+    ``RDFXML_TAIL``.  A triple that RDF/XML can't say raises, or is left out without
+    ``strict`` (``rdfxml_errors`` has it).  A block is as large as one subject.
+    """
+    why = _rdfxml_error()
+    rows = triples.withColumn("p", F.when(why.isNotNull(), F.raise_error(why)).otherwise(F.col("p"))) if strict else triples.filter(why.isNull())
+    local = F.regexp_extract("p", _LOCAL_NAME, 0)
+    space = F.substring(F.col("p"), F.lit(1), F.length("p") - F.length(local))
+    node = lambda x, kind: F.when(F.col(kind) == "blank", F.concat(F.lit('rdf:nodeID="b'), _xml(F.substring(F.col(x), F.lit(3), F.length(x))), F.lit('"')))
+    about = F.coalesce(node("s", "s_kind"), F.concat(F.lit('rdf:about="'), _xml(F.col("s")), F.lit('"')))
+    points = F.coalesce(node("o", "o_kind"), F.concat(F.lit('rdf:resource="'), _xml(F.col("o")), F.lit('"')))
+    marks = F.when(F.col("lang").isNotNull(), F.concat(F.lit(' xml:lang="'), F.col("lang"), F.lit('"'))).when(F.col("datatype").isNotNull(), F.concat(F.lit(' rdf:datatype="'), _xml(F.col("datatype")), F.lit('"'))).otherwise("")
+    literal = F.col("o_kind") == "literal"
+    said = F.struct(space.alias("space"), local.alias("local"), F.when(literal, marks).otherwise(F.concat(F.lit(" "), points)).alias("marks"), F.when(literal, _xml(F.col("o"))).alias("text"))
+    blocks = rows.select("crate_id", "s", about.alias("about"), said.alias("x")).groupBy("crate_id", "s", "about").agg(F.sort_array(F.collect_set("x")).alias("all"))
+    blocks = blocks.withColumn("spaces", F.array_sort(F.array_distinct(F.transform("all", lambda x: x["space"]))))
+    declared = F.array_join(F.transform("spaces", lambda x, i: F.concat(F.lit(" xmlns:n"), i.cast("string"), F.lit('="'), _xml(x), F.lit('"'))), "")
+
+    def element(x: Column) -> Column:
+        name = F.concat(F.lit("n"), (F.array_position("spaces", x["space"]) - 1).cast("string"), F.lit(":"), x["local"])
+        return F.concat(F.lit("    <"), name, x["marks"], F.when(x["text"].isNull(), "/>\n").otherwise(F.concat(F.lit(">"), x["text"], F.lit("</"), name, F.lit(">\n"))))
+
+    body = F.array_join(F.transform("all", element), "")
+    return blocks.select("crate_id", "s", F.concat(F.lit("  <rdf:Description"), declared, F.lit(" "), F.col("about"), F.lit(">\n"), body, F.lit("  </rdf:Description>\n")).alias("text"))
+
+
 def typed_literal(text: Column, datatype: Column) -> Column:
     """A literal's value as struct (tag, s, i, d, b): by its XML Schema type, else by what the text looks like."""
     local = F.when(datatype.startswith(XSD), F.substring(datatype, len(XSD) + 1, 40))
@@ -292,25 +353,62 @@ def typed_literal(text: Column, datatype: Column) -> Column:
     return F.struct(tag.alias("tag"), F.when(tag == "string", text).alias("s"), i.alias("i"), d.alias("d"), b.alias("b"))
 
 
-def compact(iris: DataFrame, terms: DataFrame) -> DataFrame:
-    """Adds ``name`` to (version, base, vocab, iri): exact term, longest namespace, vocab or base taken off, else the IRI."""
-    rank = F.struct(~F.col("term").isin(*PREFERRED_TERMS), F.col("term"))
-    exact = terms.groupBy("version", "iri").agg(F.min_by("term", rank).alias("exact"))
-    spaces = prefixes(terms).groupBy("version").agg(F.collect_list(F.struct(F.length("ns").alias("n"), "prefix", "ns")).alias("spaces"))  # some tens of namespaces a vocabulary
-    fit = F.array_max(F.filter("spaces", lambda x: F.col("iri").startswith(x["ns"]) & (F.length("iri") > x["n"])))
+def _beginnings(iri: Column) -> Column:
+    """Hash and length of each beginning of an IRI that ends in a slash or ``#`` and leaves something: what may be its namespace."""
+    parts = F.split(iri, "(?<=[/#])", -1)
+    begun = F.transform(parts, lambda x, i: F.array_join(F.slice(parts, 1, i + 1), ""))
+    return F.transform(F.filter(begun, lambda x: F.length(x) < F.length(iri)), lambda x: F.struct(F.xxhash64(x).alias("h"), F.length(x).alias("n")))
+
+
+def _short_names(asked: DataFrame, terms: DataFrame, own: DataFrame | None) -> DataFrame:
+    """version, iri (and ctx), exact, fit (n, own, prefix): the best term and the longest namespace of distinct IRIs.
+
+    An IRI's beginnings meet namespaces by hash; a name that an own term hides
+    stands for something else and is none.
+    """
+    key = asked.columns
+    same = lambda side: (F.col("version" if side is terms else "ctx") == F.col("_of")) & (F.col("iri") == F.col("_iri"))
+    begun = asked.select(*key, F.explode(_beginnings(F.col("iri"))).alias("b")).select(*key, "b.*")
+    exact, fits = [], []
+    for side in (terms,) if own is None else (terms, own):
+        of = "version" if side is terms else "ctx"
+        known = small(side.select(F.col(of).alias("_of"), F.col("term").alias("_term"), F.col("iri").alias("_iri")), BROADCAST_TERMS)
+        spaces = known.filter(F.col("_iri").rlike("[/#]$")).withColumns({"_h": F.xxhash64("_iri"), "_n": F.length("_iri")})
+        found = asked.join(known, same(side)).select(*key, F.lit(side is own).alias("own"), F.col("_term").alias("term"))
+        fit = begun.join(spaces, (F.col(of) == F.col("_of")) & (F.col("h") == F.col("_h")) & (F.col("n") == F.col("_n")))
+        fit = fit.filter(F.startswith(F.col("iri"), F.col("_iri"))).select(*key, "n", F.lit(side is own).alias("own"), F.col("_term").alias("prefix"))
+        if own is not None and side is terms:
+            hidden = own.select("ctx", "term").distinct()
+            found, fit = found.join(hidden, ["ctx", "term"], "left_anti"), fit.join(hidden.withColumnRenamed("term", "prefix"), ["ctx", "prefix"], "left_anti")
+        exact.append(found.select(*key, "own", "term"))
+        fits.append(fit.select(*key, "n", "own", "prefix"))
+    exact, fits = (x[0] if len(x) == 1 else x[0].unionByName(x[1]) for x in (exact, fits))
+    rank = F.struct(~F.col("own"), ~F.col("term").isin(*PREFERRED_TERMS), F.col("term"))
+    exact = exact.groupBy(*key).agg(F.min_by("term", rank).alias("exact"))
+    fits = fits.groupBy(*key).agg(F.max(F.struct("n", "own", "prefix")).alias("fit"))
+    return exact.join(fits, key, "full")
+
+
+def compact(iris: DataFrame, terms: DataFrame, own: DataFrame | None = None) -> DataFrame:
+    """Adds ``name`` to (version, base, vocab, iri): exact term, longest namespace, vocab or base taken off, else the IRI.
+
+    Terms of ``own`` (ctx, term, iri) count before the vocabulary's, for IRIs with
+    that ctx, and hide those of the same name, so that the name expands to its IRI again.
+    """
+    key = ["version", "iri"] if own is None else ["version", "ctx", "iri"]
+    short = _short_names(iris.select(*key).filter("iri IS NOT NULL").distinct(), terms, own)
     iri, base = F.col("iri"), F.regexp_replace("base", "#.*$", "")
     off = lambda x: F.substring(iri, F.length(x) + 1, F.length(iri))
-    found = iris.join(exact, ["version", "iri"], "left").join(spaces, "version", "left").withColumn("fit", fit)
     name = F.coalesce(
         F.col("exact"),
-        F.when(F.col("fit").isNotNull(), F.concat(F.col("fit.prefix"), F.lit(":"), off(F.col("fit.ns")))),
+        F.concat(F.col("fit.prefix"), F.lit(":"), F.substring(iri, F.col("fit.n") + 1, F.length(iri))),
         F.when(iri.startswith(F.col("vocab")), off(F.col("vocab"))),
         F.when(iri == base, "./"),
         F.when(iri.startswith(base), off(base)),
         F.when(iri.startswith(F.concat(F.regexp_replace(base, "/$", ""), F.lit("#"))), off(F.regexp_replace(base, "/$", ""))),
         iri,
     )
-    return found.withColumn("name", name).drop("exact", "spaces", "fit")
+    return iris.join(short, key, "left").withColumn("name", name).select(*iris.columns, "name")
 
 
 def import_kind(id_: Column, types: Column) -> Column:

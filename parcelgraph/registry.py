@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelgraph import graph_queries, package_queries  # noqa: F401, which register their own
+from parcelgraph import edit_queries, graph_queries, package_queries  # noqa: F401, which register their own
 from parcelgraph.functions.links import is_not_url
 from parcelgraph.functions.values import kind, schema_version
 from parcelgraph.operators import counts, edit, frame, lookup, rdf, reach, validate

@@ -18,6 +18,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parcelgraph.operators.rdf import RDFXML_HEAD, RDFXML_TAIL
 from parcelgraph.plans.storage import new_folder, written, written_path
 from parcelgraph.plans.tables import Packages
 from parcelgraph.sources.packages import METADATA_FILE
@@ -99,6 +100,29 @@ def write_lines(lines: DataFrame, path: str) -> None:
     lines.select("line").write.mode("overwrite").text(path)
 
 
+def write_rdfxml(blocks: DataFrame, folder: str) -> DataFrame:
+    """Writes the elements of ``rdf.rdfxml`` as RDF/XML documents, one for each task, and returns path, blocks.  A file appears whole or not at all."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, root = _store(folder)
+        system.create_dir(root, recursive=True)
+        name, n = uuid.uuid4().hex, 0
+        with system.open_output_stream(f"{root}/.{name}") as out:
+            out.write(RDFXML_HEAD.encode())
+            for b in batches:
+                for text in b["text"]:
+                    out.write(text.encode())
+                n += len(b)
+            out.write(RDFXML_TAIL.encode())
+        if n:
+            system.move(f"{root}/.{name}", f"{root}/part-{name}.rdf")
+            yield pd.DataFrame({"path": [f"{root}/part-{name}.rdf"], "blocks": [n]})
+        else:
+            system.delete_file(f"{root}/.{name}")
+
+    return written(blocks.select("text").mapInPandas(run, "path string, blocks long"))
+
+
 def archive_plan(files: DataFrame, flatten: bool = False) -> DataFrame:
     """crate_id, path, entry, external, relative (its path below the root) of (crate_id, root, path): the name of each file in its package's archive.
 
