@@ -87,11 +87,16 @@ def parse_needle(text: str) -> tuple[str, str]:
     return _plain_tag(value), json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
 
 
+def needle_text(tag: str, text: str) -> str:
+    """What a property's ``s`` (of texts) or ``json`` is if it equals a needle."""
+    return json.loads(text) if tag == "string" else text
+
+
 def entities_with_value(properties: DataFrame, needle: str) -> DataFrame:
     """crate_id, pos, id, key: entities with a dynamic value equal to the needle, with the first such key (innermost in nested objects)."""
     tag, text = parse_needle(needle)
     found = properties.filter(F.col("origin").isin("dynamic", "nested") & (F.col("tag") == tag))
-    found = found.filter(F.col("s") == json.loads(text) if tag == "string" else F.col("json") == text)
+    found = found.filter(F.col("s" if tag == "string" else "json") == needle_text(tag, text))
     return found.groupBy("crate_id", "pos", "id").agg(F.min_by("key", "path").alias("key"))
 
 
