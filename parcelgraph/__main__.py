@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelgraph.operators import counts, validate
+from parcelgraph.operators import counts, edit_log, validate
 from parcelgraph.package import Package
 
 
@@ -17,11 +17,16 @@ def _parser() -> argparse.ArgumentParser:
     for verb, names in {
         "init": ("out",), "add": ("path", "id", "type", "out"), "delete": ("path", "id", "out"), "rename": ("path", "old", "new", "out"), "crate": ("path",), "entity": ("path", "id"),
         "fields": ("path", "key"), "value": ("path", "text"), "validate": ("path", "vocabulary"), "frame": ("path", "uuid", "out"),
-        "add-id-value": ("path", "id", "key", "value", "out"), "add-id-vec-values": ("path", "id", "key", "values", "out"), "remove-field": ("path", "id", "key", "out"), "zip": ("path", "root", "uuid", "out"),
+        "add-id-value": ("path", "id", "key", "value", "out"), "add-id-vec-values": ("path", "id", "key", "values", "out"), "remove-field": ("path", "id", "key", "out"), "add-multiple": ("path", "id", "out"), "edit": ("path", "log", "out"), "zip": ("path", "root", "uuid", "out"),
     }.items():
         p = verbs.add_parser(verb)
         for name in names:
             p.add_argument(name, **({"type": lambda x: x.split(",")} if name == "values" else {}))
+        if verb == "init":
+            p.add_argument("--reference", action="append", default=[], help="another context's URL")
+            p.add_argument("--term", nargs=2, action="append", default=[], metavar=("NAME", "IRI"))
+        if verb == "add-multiple":
+            p.add_argument("--set", nargs=3, action="append", required=True, metavar=("KEY", "TYPE", "VALUE"), help=f"types: {', '.join(edit_log.VALUE_TYPES)}")
     return top
 
 
@@ -48,7 +53,8 @@ def main(argv: list[str] | None = None) -> None:
     match a.verb:
         case "init":
             with open(a.out, "w", encoding="utf-8") as f:
-                f.write(Package.default(spark, spark.range(1).select(F.current_timestamp().cast("string")).first()[0]).text())
+                new = Package.default(spark, spark.range(1).select(F.current_timestamp().cast("string")).first()[0])
+                f.write((new.add_context(a.reference, dict(a.term)) if a.reference or a.term else new).text())
         case "add":
             save(load().append(a.id, a.type))
         case "delete":
@@ -72,6 +78,10 @@ def main(argv: list[str] | None = None) -> None:
             save(load().set_links(a.id, a.key, a.values))
         case "remove-field":
             save(load().remove_field(a.id, a.key))
+        case "add-multiple":
+            save(load().set_values(a.id, [tuple(v) for v in a.set]))
+        case "edit":
+            save(load().apply(spark.read.schema(edit_log.EDITS).json(a.log, mode="FAILFAST")))
         case "zip":
             _show(load().add_urn_uuid(a.uuid).archive(a.root, a.out))
         case "frame":

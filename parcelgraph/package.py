@@ -12,7 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelgraph.operators import edit, frame, lookup, rdf, validate
+from parcelgraph.operators import edit, edit_log, frame, lookup, rdf, validate
 from parcelgraph.plans.storage import written
 from parcelgraph.plans.tables import Packages
 from parcelgraph.sources import packages as sources
@@ -102,6 +102,27 @@ class Package:
         gone = self.tables.entities.sparkSession.createDataFrame([(self.crate_id, id_, key)], "crate_id string, id string, key string")
         return self._with(properties=edit.remove_property(self.tables.entities, self.tables.properties, gone))
 
+    def apply(self, edits: DataFrame) -> Package:
+        """The package after a log of edits (``edit_log.EDITS``, whose ``crate_id`` doesn't count)."""
+        edits = edits.withColumn("crate_id", F.lit(self.crate_id)).select(*(c.split(" ")[0] for c in edit_log.EDITS.split(", ")))
+        entities, properties = edit_log.apply_edits(self.tables.entities, self.tables.properties, edits)
+        return self._with(entities=entities, properties=properties)
+
+    def set_values(self, id_: str, values: list[tuple[str, str, str]]) -> Package:
+        """Sets properties, each a key, a type of ``edit_log.VALUE_TYPES`` and a text; raises if a text isn't of its type."""
+        rows = [(self.crate_id, n, id_, *v) for n, v in enumerate(values)]
+        edits = edit_log.typed_edits(self.tables.entities.sparkSession.createDataFrame(rows, "crate_id string, seq bigint, id string, key string, type string, text string"))
+        bad = edit_log.bad_edits(edits).orderBy("seq").first()
+        if bad:
+            raise ValueError(f"{values[bad['seq']]}: {bad['reason']}")
+        return self.apply(edits)
+
+    def add_context(self, references: list[str], terms: dict[str, str]) -> Package:
+        """References and, as one embedded context, terms behind the package's own context."""
+        rows = [(self.crate_id, "reference", None, r) for r in references] + [(self.crate_id, "embedded", k, v) for k, v in terms.items()]
+        new = self.tables.entities.sparkSession.createDataFrame(rows, "crate_id string, kind string, key string, value string")
+        return self._with(context_items=edit.add_context(self.tables.context_items, new))
+
     def append(self, id_: str, type_: str) -> Package:
         """Appends a data entity, whether or not there is one with the id."""
         t, spark = self.tables, self.tables.entities.sparkSession

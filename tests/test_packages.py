@@ -469,6 +469,18 @@ def test_command_line(spark, tmp_path, capsys):
     assert {"@id": "#x"} in json.loads(open(out).read())["@graph"][2]["see"]
     main(["remove-field", out, "#lic", "see", out])
     assert "see" not in json.loads(open(out).read())["@graph"][2]
+    main(["add-multiple", at, "#lic", out, "--set", "n", "int", " 7 ", "--set", "ok", "bool", "true", "--set", "n", "float", "1e3", "--set", "who", "ids", "#a, #b"])
+    entity = json.loads(open(out).read())["@graph"][2]
+    assert (entity["n"], entity["ok"], entity["who"]) == (1000.0, True, [{"@id": "#a"}, {"@id": "#b"}])
+    with pytest.raises(ValueError, match="no value"):
+        main(["add-multiple", at, "#lic", out, "--set", "n", "int", "seven"])
+    log = tmp_path / "log.json"
+    log.write_text("\n".join(json.dumps(e) for e in [{"seq": 1, "verb": "rename", "id": "#lic", "new_id": "#free"}, {"seq": 2, "verb": "set", "id": "#free", "key": "name", "tag": "string", "s": "other", "json": '"other"'}, {"seq": 3, "verb": "put", "id": "#new", "kind": "contextual", "types": ["Thing"]}]))
+    main(["edit", at, str(log), out])
+    graph = json.loads(open(out).read())["@graph"]
+    assert graph[2]["@id"] == "#free" and graph[2]["name"] == "other" and graph[-1] == {"@id": "#new", "@type": "Thing"}
+    main(["init", out, "--reference", "http://c.example/", "--term", "t", "http://t.example/"])
+    assert json.loads(open(out).read())["@context"][1:] == ["http://c.example/", {"t": "http://t.example/"}]
     capsys.readouterr()
     main(["fields", at, "name"])
     assert len(capsys.readouterr().out.splitlines()) == 3
