@@ -13,6 +13,8 @@ MOST_KEYS = 1_000
 #: About how many bytes a file holds.
 FILE_BYTES = 256 << 20
 _HASH = "key_hash"
+TABLES = ("entities", "properties", "values")
+_VALUES = "crate_id string, pos int, id string, key string, path string, origin string, tag string, text string"
 
 
 def write_clustered(rows: DataFrame, folder: str, key: Column, files: int, within: tuple[str, ...] = ("crate_id", "pos")) -> None:
@@ -23,7 +25,7 @@ def write_clustered(rows: DataFrame, folder: str, key: Column, files: int, withi
     """
     hashed = rows.withColumn(_HASH, F.xxhash64(key))
     order = (_HASH, *within)
-    hashed.repartitionByRange(files, *order).sortWithinPartitions(*order).write.option(f"parquet.bloom.filter.enabled#{_HASH}", "true").parquet(f"{folder}/rows")
+    hashed.repartitionByRange(files, *order).sortWithinPartitions(*order).write.option("compression", "zstd").option(f"parquet.bloom.filter.enabled#{_HASH}", "true").parquet(f"{folder}/rows")
     of_file = rows.sparkSession.read.schema(f"{_HASH} bigint").parquet(f"{folder}/rows").groupBy(F.col("_metadata.file_name").alias("file"))
     of_file.agg(F.min(_HASH).alias("least"), F.max(_HASH).alias("largest")).coalesce(1).write.parquet(f"{folder}/files")
 
@@ -54,13 +56,16 @@ class PackageIndex:
         self.spark, self.folder = spark, folder.rstrip("/")
 
     @classmethod
-    def write(cls, packages: Packages, folder: str, files: int) -> PackageIndex:
-        """``files`` for each table: about its bytes by ``FILE_BYTES``."""
+    def write(cls, packages: Packages, folder: str, files: int, tables: tuple[str, ...] = TABLES) -> PackageIndex:
+        """``files`` for each table: about its bytes by ``FILE_BYTES``.  Of ``tables`` those that will be looked up."""
         made = cls(packages.entities.sparkSession, folder)
-        write_clustered(packages.entities, f"{made.folder}/entities", F.col("id"), files)
-        write_clustered(packages.properties, f"{made.folder}/properties", F.col("id"), files)
-        said = packages.properties.filter(F.col("origin").isin("dynamic", "nested"))
-        write_clustered(said.withColumn("text", _text()), f"{made.folder}/values", F.col("text"), files)
+        if "entities" in tables:
+            write_clustered(packages.entities, f"{made.folder}/entities", F.col("id"), files)
+        if "properties" in tables:
+            write_clustered(packages.properties, f"{made.folder}/properties", F.col("id"), files)
+        if "values" in tables:
+            said = packages.properties.filter(F.col("origin").isin("dynamic", "nested")).withColumn("text", _text())
+            write_clustered(said.select(*(c.split(" ")[0] for c in _VALUES.split(", "))), f"{made.folder}/values", F.col("text"), files)
         return made
 
     def entities(self, ids: list[str]) -> DataFrame:
@@ -77,8 +82,8 @@ class PackageIndex:
     def entities_with_value(self, needle: str) -> DataFrame:
         """As ``lookup.entities_with_value``."""
         tag, text = lookup.parse_needle(needle)
-        rows = find(self.spark, f"{self.folder}/values", f"{PROPERTIES}, text string", "text", [lookup.needle_text(tag, text)])
-        return lookup.entities_with_value(rows.drop("text"), needle)
+        rows = find(self.spark, f"{self.folder}/values", _VALUES, "text", [lookup.needle_text(tag, text)])
+        return lookup.entities_with_value(rows.withColumns({"s": F.col("text"), "json": F.col("text")}), needle)
 
 
 def _text() -> Column:

@@ -48,3 +48,13 @@ def test_empty_tables_are_looked_up(spark, packages, tmp_path):
     none = Packages(packages.crates, packages.context_items, packages.entities.filter("false"), packages.properties.filter("false"))
     index = clustered.PackageIndex.write(none, str(tmp_path / "none"), files=4)
     assert index.entities(["./"]).isEmpty() and index.entities_with_value("x").isEmpty()
+
+
+def test_only_tables_that_are_looked_up_are_written(spark, packages, tmp_path):
+    bare = packages.with_tables(properties=None)
+    index = clustered.PackageIndex.write(bare, str(tmp_path / "e"), files=4, tables=("entities",))
+    assert rows(index.entities(["#e é 7"])) == rows(packages.entities.filter("id = '#e é 7'"))
+    index = clustered.PackageIndex.write(packages, str(tmp_path / "v"), files=4, tables=("values",))
+    assert rows(index.entities_with_value("vc7")) == rows(lookup.entities_with_value(packages.properties, "vc7"))
+    assert [x.name for x in sorted((tmp_path / "v").iterdir())] == ["values"]
+    assert "owner" not in spark.read.parquet(str(tmp_path / "v" / "values" / "rows")).columns

@@ -504,3 +504,14 @@ def test_packages_without_properties(spark):
     for name in ("crates", "context_items", "entities", "rejects"):
         assert rows(getattr(whole, name)) == rows(getattr(bare, name)), name
     assert bare.properties is None and whole.properties.count() > 0
+
+
+def test_some_columns_and_the_top_level(spark):
+    """Tables of some columns, and of the top level alone, are what the whole table says there."""
+    texts = sources.from_texts(spark, {"a": document({"@id": "#e", "@type": ["Thing", "File"], **VALUES, "deep": {"@id": "#in", "list": [1, {"x": [{"@id": "y"}, {"z": 2.0}]}]}})})
+    whole = sources.parse(texts).properties
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(sources.parse(texts, "top").properties) == rows(whole.filter("depth = 0"))
+    for columns in (("ids",), ("path", "json"), ("owner", "s")):
+        some = sources.parse(texts, columns).properties
+        assert set(some.columns) == {"crate_id", "pos", "id", "key", "depth", "origin", "tag", *columns} and rows(some) == rows(whole.select(*some.columns)), columns
