@@ -65,9 +65,9 @@ def packages(spark: SparkSession, sf_dir: str, properties: bool | str | tuple[st
     from parcelgraph.sources.packages import parse
 
     at = (spark.sparkContext.applicationId, *_versions(spark, sf_dir))
-    for key in ((*at, properties), (*at, True)):
+    for key in [k for k in _parsed if k[:-1] == at and (not properties or k[-1] in (properties, True))]:
         try:
-            if key in _parsed and all(t.limit(1).count() >= 0 for t in vars(_parsed[key]).values() if t is not None):
+            if all(t.limit(1).count() >= 0 for t in vars(_parsed[key]).values() if t is not None):
                 return _parsed[key]
         except PySparkException:
             pass
