@@ -16,22 +16,22 @@ DATA_TYPES = ("File", "Dataset")
 
 def tag_sql(v: str, shape: str | None = None) -> str:
     """The tag of the VARIANT expression ``v``, as SQL; ``shape`` is its schema where a column has it."""
-    t, items, fields = shape or f"schema_of_variant({v})", f"try_variant_get({v}, '$', 'array<variant>')", f"try_variant_get({v}, '$', 'map<string,variant>')"
-    no_null = f"forall({items}, e -> schema_of_variant(e) <> 'VOID')"
+    t, items = shape or f"schema_of_variant({v})", f"try_variant_get({v}, '$', 'array<variant>')"
+    no_null = lambda kind: f"forall(try_variant_get({v}, '$', 'array<{kind}>'), e -> e IS NOT NULL)"
+    lone_ids = f"forall(try_variant_get({v}, '$', 'array<struct<`@id`:string>>'), e -> e.`@id` IS NOT NULL)"
     only_ids = f"forall({items}, e -> schema_of_variant(e) LIKE 'OBJECT<%' AND map_contains_key(try_variant_get(e, '$', 'map<string,variant>'), '@id') AND forall(map_values(try_variant_get(e, '$', 'map<string,variant>')), f -> schema_of_variant(f) = 'STRING'))"
-    return f"""CASE
-        WHEN {t} = 'STRING' THEN 'string'
-        WHEN {t} = 'VOID' THEN 'null'
-        WHEN {t} = 'BOOLEAN' THEN 'null_bool'
-        WHEN {t} = 'BIGINT' THEN 'int'
-        WHEN {t} LIKE 'DECIMAL%' OR {t} IN ('DOUBLE', 'FLOAT') THEN 'float'
-        WHEN {t} LIKE 'OBJECT<%' THEN CASE WHEN map_keys({fields}) = array('@id') AND schema_of_variant(try_variant_get({v}, '$["@id"]', 'variant')) = 'STRING' THEN 'id' ELSE 'object' END
-        WHEN size({items}) = 0 THEN 'strings'
-        WHEN {t} = 'ARRAY<STRING>' AND {no_null} THEN 'strings'
-        WHEN {t} = 'ARRAY<BIGINT>' AND {no_null} THEN 'ints'
-        WHEN ({t} LIKE 'ARRAY<DECIMAL%' OR {t} = 'ARRAY<DOUBLE>') AND {no_null} THEN 'floats'
-        WHEN {only_ids} THEN 'ids'
-        ELSE 'array' END"""
+    # One look at the schema tells most values, where a filter on the tag works it out anew for each condition.
+    common = f"element_at(map('STRING', 'string', 'VOID', 'null', 'BOOLEAN', 'null_bool', 'BIGINT', 'int', 'DECIMAL', 'float', 'DOUBLE', 'float', 'FLOAT', 'float', 'OBJECT<`@id`: STRING>', 'id'), substring_index({t}, '(', 1))"
+    # The schema of a list is that of all its members: with @id alone each has no other key, and lacks this one only if it is null or empty.
+    return f"""coalesce({common}, CASE
+        WHEN {t} LIKE 'OBJECT<%' THEN 'object'
+        WHEN {t} = 'ARRAY<OBJECT<`@id`: STRING>>' AND {lone_ids} THEN 'ids'
+        WHEN {t} = 'ARRAY<STRING>' AND {no_null('string')} THEN 'strings'
+        WHEN {t} = 'ARRAY<VOID>' AND size({items}) = 0 THEN 'strings'
+        WHEN {t} = 'ARRAY<BIGINT>' AND {no_null('bigint')} THEN 'ints'
+        WHEN ({t} LIKE 'ARRAY<DECIMAL%' OR {t} = 'ARRAY<DOUBLE>') AND {no_null('double')} THEN 'floats'
+        WHEN {t} LIKE 'ARRAY<OBJECT<%' AND {only_ids} THEN 'ids'
+        ELSE 'array' END)"""
 
 
 def number_text(x: Column) -> Column:

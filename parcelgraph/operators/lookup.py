@@ -107,13 +107,12 @@ def has_value(properties: DataFrame, needle: str) -> DataFrame:
 
 def edges(properties: DataFrame) -> DataFrame:
     """crate_id, src, key, dst, origin: links of descriptors (about, conformsTo), roots (license, also as text) and dynamic values at any depth."""
-    top = F.col("key")
-    fixed = properties.filter(F.col("origin") == "fixed").filter(top.isin("about", "conformsTo", "license"))
-    target = F.when(F.col("tag").isin("id", "ids"), F.col("ids")).when((top == "license") & (F.col("tag") == "string"), F.array("s"))
-    linked = fixed.withColumn("targets", target)
+    top, link = F.col("key"), F.col("tag").isin("id", "ids")
+    fixed = (F.col("origin") == "fixed") & top.isin("about", "conformsTo", "license")
     # The elements of a list of links are in the list's own row; members of mixed lists have rows of their own.
-    rest = properties.filter(F.col("origin").isin("dynamic", "nested", "item", "element") & F.col("tag").isin("id", "ids")).withColumn("targets", F.col("ids"))
-    return linked.unionByName(rest).filter("targets IS NOT NULL").select("crate_id", F.col("id").alias("src"), "key", F.explode("targets").alias("dst"), "origin")
+    rest = F.col("origin").isin("dynamic", "nested", "item", "element") & link
+    target = F.when(link, F.col("ids")).when(fixed & (top == "license") & (F.col("tag") == "string"), F.array("s"))
+    return properties.filter(fixed | rest).select("crate_id", F.col("id").alias("src"), "key", F.explode(target).alias("dst"), "origin")
 
 
 def linked_ids(edges_: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelgraph.plans.storage import written
+from parcelgraph.plans.storage import tasks
 from parcelgraph.plans.tables import Packages
 from parcelgraph.plans.views import table
 
@@ -36,12 +36,15 @@ _LICENSE = """'{"@id":"#lic","@type":"CreativeWork","name":"free"}'"""
 
 
 def package_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """crate_id, source, text."""
-    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.expr(_ORDER).alias("text"), F.expr(f"""'{{"@id":"' || {ORDER_ID} || '"}}'""").alias("part"))
+    """crate_id, source, text, dealt to all tasks by customer: orders travel as columns and become text where their package is."""
+    n = tasks(spark)
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority").repartition(n, "o_custkey")
+    orders = orders.select("o_custkey", "o_orderkey", F.expr(_ORDER).alias("text"), F.expr(f"""'{{"@id":"' || {ORDER_ID} || '"}}'""").alias("part"))
     listed = F.sort_array(F.collect_list(F.struct("o_orderkey", "text", "part")))
-    orders = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(listed.alias("all"))  # one document's
+    orders = orders.groupBy("o_custkey").agg(listed.alias("all"))  # one document's
     joined = lambda name: F.array_join(F.transform("all", lambda x: x[name]), ",")
-    rows = table(spark, sf_dir, "customer").join(orders, "c_custkey", "left").withColumns({"parts": joined("part"), "files": joined("text")})
+    customers = table(spark, sf_dir, "customer").repartition(n, "c_custkey")
+    rows = customers.hint("shuffle_hash").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left").withColumns({"parts": joined("part"), "files": joined("text")})
     text = f"""'{{"@context":' || {CONTEXT} || ',"@graph":[' || {_DESCRIPTOR} || ',' || {_ROOT} || ',' || {_LICENSE} || coalesce(',' || files, '') || ']' || CASE WHEN c_custkey % 50 = {CUT} THEN '' ELSE '}}' END"""
     return rows.select(F.expr("'c-' || c_custkey").alias("crate_id"), F.lit("tables").alias("source"), F.expr(text).alias("text"))
 
@@ -71,8 +74,7 @@ def packages(spark: SparkSession, sf_dir: str, properties: bool | str | tuple[st
                 return _parsed[key]
         except PySparkException:
             pass
-    found = parse(package_texts(spark, sf_dir), properties)
-    _parsed[(*at, properties)] = found.with_tables(crates=written(found.crates))
+    _parsed[(*at, properties)] = parse(package_texts(spark, sf_dir), properties, dealt=True)
     return _parsed[(*at, properties)]
 
 
