@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelgraph.operators.rdf import RDFXML_HEAD, RDFXML_TAIL
-from parcelgraph.plans.storage import new_folder, written, written_path
+from parcelgraph.plans.storage import new_folder, tasks, written, written_path
 from parcelgraph.plans.tables import Packages
 from parcelgraph.sources.packages import METADATA_FILE
 
@@ -240,18 +240,32 @@ def write_zips(docs: DataFrame, plan: DataFrame, folder: str) -> DataFrame:
     null = F.lit(None).cast("string")
     members = docs.select("crate_id", F.lit(METADATA_FILE).alias("entry"), null.alias("path"), "text").unionByName(plan.select("crate_id", "entry", "path", null.alias("text")))
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        system, root = _store(folder)
-        name = f"{quote(key[0], safe='')}.zip"
+    def one(system: fs.FileSystem, root: str, crate_id: str, rows: pd.DataFrame) -> tuple[str, str, int]:
+        name = f"{quote(crate_id, safe='')}.zip"
         temporary = f"{root}/.{uuid.uuid4().hex}"
-        system.create_dir(root, recursive=True)
-        rows = rows.assign(later=rows["entry"] != METADATA_FILE).sort_values(["later", "entry"])
         with system.open_output_stream(temporary) as out:
             _assembled(out, rows)
         system.move(temporary, f"{root}/{name}")
-        return pd.DataFrame({"crate_id": [key[0]], "path": [f"{folder.rstrip('/')}/{name}"], "n_entries": [len(rows)]})
+        return crate_id, f"{folder.rstrip('/')}/{name}", len(rows)
 
-    return _packed(members).groupBy("crate_id").applyInPandas(run, "crate_id string, path string, n_entries long")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Rows come package by package; the last of a batch may go on in the next.
+        system, root = _store(folder)
+        system.create_dir(root, recursive=True)
+        kept: list[pd.DataFrame] = []
+        for b in batches:
+            done, starts = [], [0, *(i for i in range(1, len(b)) if b["crate_id"].iat[i] != b["crate_id"].iat[i - 1]), len(b)]
+            for at, end in zip(starts, starts[1:], strict=False):
+                if kept and kept[0]["crate_id"].iat[0] != b["crate_id"].iat[at]:
+                    done.append(one(system, root, kept[0]["crate_id"].iat[0], pd.concat(kept) if len(kept) > 1 else kept[0]))
+                    kept = []
+                kept.append(b.iloc[at:end])
+            yield pd.DataFrame(done, columns=["crate_id", "path", "n_entries"])
+        if kept:
+            yield pd.DataFrame([one(system, root, kept[0]["crate_id"].iat[0], pd.concat(kept))], columns=["crate_id", "path", "n_entries"])
+
+    ordered = _packed(members).repartition(tasks(docs.sparkSession), "crate_id").sortWithinPartitions("crate_id", F.col("entry") != METADATA_FILE, "entry")
+    return ordered.mapInPandas(run, "crate_id string, path string, n_entries long")
 
 
 def zip_bytes(document: str, files: dict[str, bytes]) -> bytes:

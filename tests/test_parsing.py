@@ -50,3 +50,23 @@ def test_tags_of_odd_lists(spark):
     p = parse(texts(spark, a=HEAD + "," + odd + "}]}"), properties="top")
     got = {r["key"]: r["tag"] for r in p.properties.filter("origin = 'dynamic' AND length(key) = 1").collect()}
     assert got == {"a": "array", "b": "array", "c": "ids", "d": "array", "e": "strings", "f": "strings", "g": "ids", "h": "object", "i": "array", "j": "floats"}
+
+
+def test_archives_of_packages_that_span_batches(spark, tmp_path):
+    """Packages' members come in several batches, and each has one archive, which tasks read by its path."""
+    from parcelgraph.sources import sinks
+    from parcelgraph.sources.packages import read_listed
+
+    docs = texts(spark, **{f"p-{i}": HEAD + "}]}" for i in range(7)}).select("crate_id", "text")
+    file = tmp_path / "x"
+    file.write_text("x")
+    plan_ = spark.createDataFrame([(f"p-{i}", str(file), f"f{j}") for i in range(7) for j in range(5)], "crate_id string, path string, entry string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        made = written(sinks.write_zips(docs, plan_, f"file://{tmp_path}/out"))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted((r["crate_id"], r["n_entries"]) for r in made.collect()) == [(f"p-{i}", 6) for i in range(7)]
+    back = parse(read_listed(made, zipped=True), properties=False)
+    assert back.crates.count() == 7 and back.entities.count() == 14
