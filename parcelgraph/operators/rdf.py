@@ -24,6 +24,8 @@ NOT_IN_IRI = r"[\x00-\x20<>\"{}|\\^`]"
 PROFILE_CONTEXTS = ("ro/crate/1.1", "ro/crate/1.2")
 #: Most terms that are broadcast, some 100 bytes each.
 BROADCAST_TERMS = 200_000
+#: Names of contexts that are broadcast to their triples: those that so many triples have, and at most so many, the most used ones.
+COMMON_USES, COMMON_NAMES = 1_000, 50_000
 
 
 def prefixes(terms: DataFrame) -> DataFrame:
@@ -126,13 +128,28 @@ def raw_triples(entities: DataFrame, properties: DataFrame) -> DataFrame:
 
 
 def expanded_names(rows: DataFrame, shared: DataFrame, own: DataFrame, terms: DataFrame) -> DataFrame:
-    """ctx, name, iri, why: each name that raw triples with a ctx have, once, with its IRI or the reason why it has none.  A table of its own."""
+    """ctx, name, uses, iri, why: each name that raw triples with a ctx have, once, with its IRI or the reason why it has none.  A table of its own."""
     name = F.explode(F.array_compact(F.array(F.when(~F.col("s").startswith("_:"), F.col("s")), F.col("p"), F.when(F.col("o_kind") == "iri", F.col("o")))))
-    names = rows.select("ctx", name.alias("name")).distinct().join(shared, "ctx")
-    found = expand(names, terms, own=own).select("ctx", "name", "iri")
+    names = rows.select("ctx", name.alias("name")).groupBy("ctx", "name").agg(F.count("*").alias("uses")).join(shared, "ctx")
+    found = expand(names, terms, own=own).select("ctx", "name", "uses", "iri")
     return written(found.withColumn("why", expansion_error(F.col("iri"), F.col("name"))))
 
 
+def with_names(rows: DataFrame, names: DataFrame, column: str, out: str) -> DataFrame:
+    """Adds ``out``, the IRI of ``column`` by (ctx, name, uses, iri), null where it has none.
+
+    Names that many triples share, such as properties, would each be one task's: the
+    most used ones are broadcast, and triples that have theirs are dealt by a hash of
+    themselves in the shuffle that looks up the others.
+    """
+    common = names.filter(F.col("uses") >= COMMON_USES).orderBy(F.desc("uses")).limit(COMMON_NAMES).select("ctx", F.col("name").alias(column), F.col("iri").alias("_common"))
+    rest = names.select("ctx", F.col("name").alias("_name"), F.col("iri").alias("_rest"), F.lit(False).alias("_met"))
+    rows = rows.join(F.broadcast(common), ["ctx", column], "left").withColumn("_met", F.col("_common").isNotNull() | F.col(column).isNull())
+    dealt = F.when(F.col("_met"), F.xxhash64("s", "o").cast("string")).otherwise(F.col(column))
+    found = rows.withColumn("_name", dealt).join(rest, ["ctx", "_name", "_met"], "left")
+    return found.withColumn(out, F.coalesce("_common", "_rest")).drop("_name", "_met", "_common", "_rest")
+
+
 def _named_rows(crates: DataFrame, entities: DataFrame, properties: DataFrame, terms: DataFrame, base: str | None, context_items: DataFrame | None, contexts: DataFrame | None, strict: bool) -> tuple[DataFrame, DataFrame]:
     home, shared, own = package_contexts(crates, context_items, contexts, base, strict)
     rows = raw_triples(entities, properties).join(home, "crate_id")
@@ -167,11 +184,11 @@ def export_triples(crates: DataFrame, entities: DataFrame, properties: DataFrame
     rows, names = _named_rows(crates, entities, properties, terms, base, context_items, contexts, strict)
     refused = F.col("why").isNotNull() if strict else F.col("iri").isNull()
     iri = F.when(refused, F.raise_error(F.col("why"))).otherwise(F.col("iri"))
-    names = names.select("ctx", "name", iri.alias("iri"))
+    names = names.select("ctx", "name", "uses", iri.alias("iri"))
     blank, node = F.col("s").startswith("_:"), F.col("o_kind") == "iri"
     rows = rows.select("crate_id", "ctx", "p", "o_kind", "datatype", F.when(blank, "blank").otherwise("iri").alias("s_kind"), "s", "o", F.when(~blank, F.col("s")).alias("s_name"), F.when(node, F.col("o")).alias("o_name"))
-    of = lambda c: names.select("ctx", F.col("name").alias(c), F.col("iri").alias(f"{c}_iri"))
-    rows = rows.join(of("p"), ["ctx", "p"]).join(of("s_name"), ["ctx", "s_name"], "left").join(of("o_name"), ["ctx", "o_name"], "left")
+    for column in ("p", "s_name", "o_name"):
+        rows = with_names(rows, names, column, f"{column}_iri")
     out = rows.select("crate_id", F.coalesce("s_name_iri", "s").alias("s"), "s_kind", F.col("p_iri").alias("p"), F.coalesce("o_name_iri", "o").alias("o"), "o_kind", "datatype", F.lit(None).cast("string").alias("lang"))
     return out.distinct()
 

@@ -70,3 +70,25 @@ def test_archives_of_packages_that_span_batches(spark, tmp_path):
     assert sorted((r["crate_id"], r["n_entries"]) for r in made.collect()) == [(f"p-{i}", 6) for i in range(7)]
     back = parse(read_listed(made, zipped=True), properties=False)
     assert back.crates.count() == 7 and back.entities.count() == 14
+
+
+def test_common_names_and_literals_are_no_one_tasks(spark, monkeypatch):
+    """Rows without a name and those of the most used names are dealt to all tasks; each gets its IRI all the same."""
+    from pyspark.sql import functions as F
+
+    from parcelgraph.operators import rdf
+
+    monkeypatch.setattr(rdf, "COMMON_USES", 100)
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    rows = spark.range(2000).select(F.lit("x").alias("ctx"), F.col("id").cast("string").alias("s"), F.col("id").cast("string").alias("o"), F.when(F.col("id") % 4 == 0, "hot").when(F.col("id") % 4 == 1, F.concat(F.lit("n"), "id")).alias("name"))
+    uses = rows.filter("name IS NOT NULL").groupBy("ctx", "name").agg(F.count("*").alias("uses"))
+    names = written(uses.withColumn("iri", F.concat(F.lit("i:"), "name")))
+    found = rdf.with_names(rows, names, "name", "iri").withColumn("task", F.spark_partition_id()).collect()
+    for k, v in before.items():
+        spark.conf.set(k, v)
+    assert len(found) == 2000 and all(r["iri"] == (f"i:{r['name']}" if r["name"] else None) for r in found)
+    tasks = [r["task"] for r in found]
+    assert max(map(tasks.count, set(tasks))) < 1000
