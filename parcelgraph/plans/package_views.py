@@ -49,7 +49,7 @@ def package_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.expr("'c-' || c_custkey").alias("crate_id"), F.lit("tables").alias("source"), F.expr(text).alias("text"))
 
 
-_parsed: dict[tuple, Packages] = {}
+_parsed: dict[tuple, DataFrame] = {}
 
 
 def _versions(spark: SparkSession, sf_dir: str) -> tuple:
@@ -63,19 +63,19 @@ def _versions(spark: SparkSession, sf_dir: str) -> tuple:
     return tuple(found)
 
 
-def packages(spark: SparkSession, sf_dir: str, properties: bool | str | tuple[str, ...] = True) -> Packages:
-    """The packages of ``package_texts``, parsed once for each state of their files as long as the parsed tables are there; ``properties`` as in ``parse``, or more of them if they are there."""
-    from parcelgraph.sources.packages import parse
+def packages(spark: SparkSession, sf_dir: str, properties: bool | str | tuple[str, ...] = True, links: bool = True, extra: tuple[str, ...] = ()) -> Packages:
+    """The packages of ``package_texts``, parsed once for each state of their files as long as the parsed table is there; the rest as in ``parse``."""
+    from parcelgraph.sources.packages import parse_documents, tables
 
-    at = (spark.sparkContext.applicationId, *_versions(spark, sf_dir))
-    for key in [k for k in _parsed if k[:-1] == at and (not properties or k[-1] in (properties, True))]:
+    at, graph = (spark.sparkContext.applicationId, *_versions(spark, sf_dir)), bool(properties)
+    for key in [k for k in _parsed if k[:-1] == at and k[-1] in (graph, True)]:
         try:
-            if all(t.limit(1).count() >= 0 for t in vars(_parsed[key]).values() if t is not None):
-                return _parsed[key]
+            if _parsed[key].limit(1).count() >= 0:
+                return tables(_parsed[key], properties, links, extra)
         except PySparkException:
             pass
-    _parsed[(*at, properties)] = parse(package_texts(spark, sf_dir), properties, dealt=True)
-    return _parsed[(*at, properties)]
+    _parsed[(*at, graph)] = parse_documents(package_texts(spark, sf_dir), graph, dealt=True)
+    return tables(_parsed[(*at, graph)], properties, links, extra)
 
 
 #: The same packages in SQL: c (packages), o (orders as entities), e (entities), p (top-level properties: origin, tag, s as text, json), n (nested ones), l (links).

@@ -1,6 +1,7 @@
 """How documents become tables: one pass, one table, nothing joined."""
 
 import os
+import re
 
 from parcelgraph.operators import lookup
 from parcelgraph.plans.storage import written, written_path
@@ -92,3 +93,36 @@ def test_common_names_and_literals_are_no_one_tasks(spark, monkeypatch):
     assert len(found) == 2000 and all(r["iri"] == (f"i:{r['name']}" if r["name"] else None) for r in found)
     tasks = [r["task"] for r in found]
     assert max(map(tasks.count, set(tasks))) < 1000
+
+
+def test_schema_of_a_value_is_worked_out_once(spark):
+    """Filters on tags take the schema as it is, and don't work it out anew for each condition."""
+    p = parse(texts(spark, a=HEAD + ',"x":{"@id":"y"}}]}'), properties="top")
+    assert len(set(re.findall(r"[^\n]*schemaofvariant\(value#", plan(p.properties.filter("tag = 'id' OR tag = 'ids'").select("key")).lower()))) == 1
+
+
+def test_levels_that_are_not_there_write_no_table(spark, monkeypatch):
+    from parcelgraph.sources import packages
+
+    made = []
+    docs = packages.parse_documents(texts(spark, a=HEAD + ',"o":{"p":{"q":1}}}]}'))
+    monkeypatch.setattr(packages, "written", lambda df, *a: made.append(df) or written(df, *a))
+    found = packages.tables(docs, ("path",)).properties
+    assert not made and {"o", "o/p", "o/p/q"} <= {r["path"] for r in found.collect()}
+
+
+def test_without_links_nothing_is_below_them(spark):
+    text = HEAD + ',"l":{"@id":"#a"},"m":[{"@id":"#b"},{"@id":"#c"}],"o":{"p":1,"q":{"@id":"#d"}},"t":["u",{"@id":"#e"}]}]}'
+    every, some = (parse(texts(spark, a=text), properties=("path",), links=links).properties for links in (True, False))
+    of = lambda df: sorted((r["path"], r["origin"], r["tag"]) for r in df.collect())
+    assert of(some) == of(every.filter("origin != 'link'")) and every.filter("origin = 'link'").count() > 0
+
+
+def test_frames_of_tables_with_bases_need_no_join(spark):
+    from parcelgraph.operators import frame
+
+    based = HEAD.replace('"https://w3id.org/ro/crate/1.2/context"', '["https://w3id.org/ro/crate/1.2/context",{"@base":"urn:uuid:u-1"}]') + "}]}"
+    p, q = (parse(texts(spark, a=based, b=HEAD + "}]}"), properties="top", extra=e) for e in (("base",), ()))
+    made, joined = (frame.eav_frame(x.crates, x.context_items, x.entities, x.properties) for x in (p, q))
+    assert "Join" not in plan(made) and "Join" in plan(joined)
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, joined.collect())) != []
