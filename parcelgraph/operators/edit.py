@@ -66,7 +66,11 @@ def rename(entities: DataFrame, properties: DataFrame, names: DataFrame) -> tupl
 def set_property(entities: DataFrame, properties: DataFrame, new: DataFrame) -> DataFrame:
     """Sets top-level properties of the first entity with each id: ``new`` has the columns of ``properties`` but ``pos``, a row per key."""
     first = entities.groupBy("crate_id", "id").agg(F.min("pos").cast("int").alias("pos"))
-    placed = new.join(first, ["crate_id", "id"]).select(*properties.columns)
+    return _replaced(properties, new.join(first, ["crate_id", "id"]).select(*properties.columns))
+
+
+def _replaced(properties: DataFrame, placed: DataFrame) -> DataFrame:
+    """Properties with top-level ones in the place of all that their entities have of the same key."""
     old = placed.select("crate_id", "pos", F.col("key").alias("root"))
     root = F.regexp_extract("path", r"^([^/\[]+)", 1)
     return properties.withColumn("root", root).join(old, ["crate_id", "pos", "root"], "left_anti").select(*properties.columns).unionByName(placed)
@@ -112,7 +116,7 @@ def add_parts(entities: DataFrame, properties: DataFrame, new: DataFrame) -> Dat
     given = {"key": F.lit("hasPart"), "path": F.lit("hasPart"), "depth": F.lit(0), "origin": F.lit("dynamic"), "owner": F.col("id"), "tag": F.lit("ids"), "json": F.lit(None).cast("string")}
     kinds = dict(properties.dtypes)
     rows = found.select(*(given[c].alias(c) if c in given else (F.col(c) if c in ("crate_id", "pos", "id", "ids") else F.lit(None).cast(kinds[c]).alias(c)) for c in properties.columns))
-    return set_property(entities, properties, rows.drop("pos"))
+    return _replaced(properties, rows)
 
 
 def add_part_to_root(entities: DataFrame, properties: DataFrame, ids: DataFrame) -> DataFrame:

@@ -126,3 +126,13 @@ def test_frames_of_tables_with_bases_need_no_join(spark):
     made, joined = (frame.eav_frame(x.crates, x.context_items, x.entities, x.properties) for x in (p, q))
     assert "Join" not in plan(made) and "Join" in plan(joined)
     assert sorted(map(tuple, made.collect())) == sorted(map(tuple, joined.collect())) != []
+
+
+def test_parts_are_placed_without_a_look_at_other_entities(spark):
+    from parcelgraph.operators import edit
+
+    p = parse(texts(spark, a=HEAD + ',"hasPart":[{"@id":"x"}]}]}'), properties="top")
+    new = spark.createDataFrame([("a", "./", "y"), ("a", "#no", "z")], "crate_id string, id string, part string")
+    found = edit.add_parts(p.entities, p.properties, new)
+    assert [(r["id"], r["ids"]) for r in found.filter("key = 'hasPart'").collect()] == [("./", ["x", "y"])]
+    assert plan(found).count("explode(entities") == 2  # the roots, once for each of the two sides
