@@ -41,7 +41,7 @@ def entity_property_keys(properties: DataFrame) -> DataFrame:
 
 def _asked_for(entities: DataFrame, properties: DataFrame, key: str) -> DataFrame:
     kinds = [k for k, names in PROJECTABLE.items() if key in names]
-    named = properties.join(entities.select("crate_id", "pos", "kind"), ["crate_id", "pos"])
+    named = properties if "kind" in properties.columns else properties.join(entities.select("crate_id", "pos", "kind"), ["crate_id", "pos"])
     fixed = named.filter((F.col("key") == key) & F.col("origin").isin("fixed", "identity") & (F.col("depth") == 0) & F.col("kind").isin(*kinds or [""]))
     # An entity whose kind has the property as a fixed one never falls back to its dynamic ones.
     dynamic = named.filter((F.col("key") == key) & F.col("origin").isin("dynamic", "nested") & ~F.col("kind").isin(*kinds or [""]))
@@ -49,7 +49,7 @@ def _asked_for(entities: DataFrame, properties: DataFrame, key: str) -> DataFram
 
 
 def property_values(entities: DataFrame, properties: DataFrame, key: str) -> DataFrame:
-    """crate_id, pos, id, tag, json: at most one value of the property per entity, the first by depth-first path."""
+    """crate_id, pos, id, tag, json: at most one value of the property per entity, the first by depth-first path.  Properties that have their entity's ``kind`` need no join."""
     found = _asked_for(entities, properties, key)
     return found.groupBy("crate_id", "pos", "id").agg(F.min_by(F.struct("tag", "json"), F.struct("path", "depth")).alias("v")).select("crate_id", "pos", "id", "v.*")
 

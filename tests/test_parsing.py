@@ -136,3 +136,12 @@ def test_parts_are_placed_without_a_look_at_other_entities(spark):
     found = edit.add_parts(p.entities, p.properties, new)
     assert [(r["id"], r["ids"]) for r in found.filter("key = 'hasPart'").collect()] == [("./", ["x", "y"])]
     assert plan(found).count("explode(entities") == 2  # the roots, once for each of the two sides
+
+
+def test_values_of_a_property_need_no_join_with_entities(spark):
+    text = HEAD + '},{"@id":"f","@type":"File","name":"n2","o":{"name":"inner"}}]}'
+    with_kind = parse(texts(spark, a=text), properties=("path", "json"), links=False, extra=("kind",))
+    plain = parse(texts(spark, a=text))
+    found = lookup.property_values(with_kind.entities, with_kind.properties, "name")
+    assert "Join" not in plan(found)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, lookup.property_values(plain.entities, plain.properties, "name").collect()))
