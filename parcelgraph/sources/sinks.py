@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelgraph.operators.rdf import RDFXML_HEAD, RDFXML_TAIL
-from parcelgraph.plans.storage import new_folder, tasks, written, written_path
+from parcelgraph.plans.storage import grown, new_folder, tasks, written, written_path
 from parcelgraph.plans.tables import Packages
 from parcelgraph.sources.packages import METADATA_FILE
 
@@ -44,7 +44,7 @@ def documents(packages: Packages, indent: int | None = 2) -> DataFrame:
     member = F.struct("key", F.concat(_quoted(F.col("key")), F.lit(":"), _value(F.col("tag"))).alias("text"))
     members = top.groupBy("crate_id", "pos").agg(F.array_join(F.transform(F.sort_array(F.collect_list(member)), lambda x: x["text"]), ",").alias("members"))
     types = F.when(F.col("types_is_array"), F.to_json("types")).otherwise(_quoted(F.element_at("types", 1)))
-    entities = packages.entities.join(members, ["crate_id", "pos"], "left")
+    entities = packages.entities.join(grown(members), ["crate_id", "pos"], "left")
     text = F.concat(F.lit('{"@id":'), _quoted(F.col("id")), F.lit(',"@type":'), types, F.when(F.col("members") != "", F.concat(F.lit(","), F.col("members"))).otherwise(""), F.lit("}"))
     graph = entities.groupBy("crate_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", text.alias("text")))), lambda x: x["text"]), ",").alias("graph"))
     embedded = F.concat(F.lit("{"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("key", "value"))), lambda x: F.concat(_quoted(x["key"]), F.lit(":"), _quoted(x["value"]))), ","), F.lit("}"))
@@ -52,7 +52,7 @@ def documents(packages: Packages, indent: int | None = 2) -> DataFrame:
     context = items.groupBy("crate_id").agg(F.sort_array(F.collect_list(F.struct("pos", "item", "kind"))).alias("all"))
     lone = (F.size("all") == 1) & (F.element_at("all", 1)["kind"] == "reference")
     context = context.select("crate_id", F.when(lone, F.element_at("all", 1)["item"]).otherwise(F.concat(F.lit("["), F.array_join(F.transform("all", lambda x: x["item"]), ","), F.lit("]"))).alias("context"))
-    out = packages.crates.select("crate_id").join(context, "crate_id", "left").join(graph, "crate_id", "left")
+    out = packages.crates.select("crate_id").join(grown(context), "crate_id", "left").join(grown(graph), "crate_id", "left")
     out = out.select("crate_id", F.concat(F.lit('{"@context":'), F.coalesce("context", F.lit("[]")), F.lit(',"@graph":['), F.coalesce("graph", F.lit("")), F.lit("]}")).alias("text"))
     if indent is None:
         return out
