@@ -36,3 +36,9 @@ def test_documents_are_put_together_by_shuffle(read):
     docs = sinks.documents(read, indent=None)
     assert broadcasts(docs) == 0
     assert {r["crate_id"]: json.loads(r["text"])["@graph"][1]["name"] for r in docs.collect()} == {f"c-{n}": f"n{n}" for n in range(3)}
+
+
+def test_indented_documents_are_put_together_by_shuffle(read):
+    docs = sinks.documents(read)
+    assert broadcasts(docs) == 0
+    assert all(r["text"] == json.dumps(json.loads(r["text"]), indent=2) + "\n" for r in docs.collect())
