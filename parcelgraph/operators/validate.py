@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from parcelgraph.functions.links import is_not_url
 from parcelgraph.operators.lookup import context_names, edges
+from parcelgraph.plans.storage import grown
 
 
 class NotValid(ValueError):
@@ -28,16 +29,16 @@ def vocabulary(spark: SparkSession, contexts: dict[str, str]) -> DataFrame:
 def dangling_ids(entities: DataFrame, edges_: DataFrame) -> DataFrame:
     """crate_id, dst: local links to ids that the package doesn't have."""
     local = edges_.filter(is_not_url(F.col("dst"))).select("crate_id", "dst").distinct()
-    return local.join(entities.select("crate_id", F.col("id").alias("dst")), ["crate_id", "dst"], "left_anti")
+    return local.join(grown(entities.select("crate_id", F.col("id").alias("dst"))), ["crate_id", "dst"], "left_anti")
 
 
 def unknown_keys(crates: DataFrame, properties: DataFrame, context_items: DataFrame, terms: DataFrame) -> DataFrame:
     """crate_id, key: dynamic keys, nested ones too, that neither the version's vocabulary nor the package's own context has."""
     keys = properties.filter(F.col("origin").isin("dynamic", "nested")).select("crate_id", "key").distinct()
-    keys = keys.join(crates.select("crate_id", "schema_version"), "crate_id")
+    keys = keys.join(grown(crates.select("crate_id", "schema_version")), "crate_id")
     known = terms.select(F.col("version").alias("schema_version"), F.col("term").alias("key")).distinct()
     own = context_names(context_items).withColumnRenamed("name", "key")
-    return keys.join(known, ["schema_version", "key"], "left_anti").join(own, ["crate_id", "key"], "left_anti").select("crate_id", "key")
+    return keys.join(known, ["schema_version", "key"], "left_anti").join(grown(own), ["crate_id", "key"], "left_anti").select("crate_id", "key")
 
 
 def validation_report(crates: DataFrame, entities: DataFrame, properties: DataFrame, context_items: DataFrame, terms: DataFrame) -> DataFrame:
@@ -46,7 +47,7 @@ def validation_report(crates: DataFrame, entities: DataFrame, properties: DataFr
     keys = listed(unknown_keys(crates, properties, context_items, terms), "key", "invalid_keys")
     ids = listed(dangling_ids(entities, edges(properties)), "dst", "invalid_ids")
     none = F.array().cast("array<string>")
-    out = crates.select("crate_id", "schema_version").join(keys, "crate_id", "left").join(ids, "crate_id", "left")
+    out = crates.select("crate_id", "schema_version").join(grown(keys), "crate_id", "left").join(grown(ids), "crate_id", "left")
     out = out.withColumns({c: F.coalesce(c, none) for c in ("invalid_keys", "invalid_ids")})
     status = F.when(F.col("schema_version").isNull(), "error").when((F.size("invalid_keys") == 0) & (F.size("invalid_ids") == 0), "valid").otherwise("invalid")
     return out.select("crate_id", status.alias("status"), "invalid_keys", "invalid_ids", none.alias("invalid_types"))

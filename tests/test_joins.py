@@ -42,3 +42,10 @@ def test_indented_documents_are_put_together_by_shuffle(read):
     docs = sinks.documents(read)
     assert broadcasts(docs) == 0
     assert all(r["text"] == json.dumps(json.loads(r["text"]), indent=2) + "\n" for r in docs.collect())
+
+
+def test_validation_broadcasts_the_vocabulary_alone(read, spark):
+    terms = spark.createDataFrame([("1.2", k, f"http://schema.org/{k}") for k in ("hasPart", "status")], "version string, term string, iri string")
+    report = validate.validation_report(read.crates, read.entities, read.properties, read.context_items, terms)
+    assert broadcasts(report) <= 1
+    assert {(r["crate_id"], r["status"], ",".join(r["invalid_keys"]), ",".join(r["invalid_ids"])) for r in report.collect()} == {(f"c-{n}", "invalid", "detail,level", "CC0,lost.csv") for n in range(3)}
