@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelgraph.functions.links import is_not_url
+from parcelgraph.plans.storage import grown
 
 
 def upsert(entities: DataFrame, new: DataFrame, same_kind: bool = False) -> DataFrame:
@@ -79,9 +80,9 @@ def _replaced(properties: DataFrame, placed: DataFrame) -> DataFrame:
 def remove_property(entities: DataFrame, properties: DataFrame, gone: DataFrame) -> DataFrame:
     """Removes the dynamic ``key`` of the first entity with each id of ``gone`` (crate_id, id, key), with all below it."""
     first = entities.groupBy("crate_id", "id").agg(F.min("pos").alias("pos"))
-    gone = gone.join(first, ["crate_id", "id"]).select("crate_id", "pos", F.col("key").alias("root"))
+    gone = gone.join(grown(first), ["crate_id", "id"]).select("crate_id", "pos", F.col("key").alias("root"))
     rows = properties.withColumn("root", F.when(F.col("origin").isin("fixed", "identity"), F.lit(None).cast("string")).otherwise(F.regexp_extract("path", r"^([^/\[]+)", 1)))
-    return rows.join(gone, ["crate_id", "pos", "root"], "left_anti").select(*properties.columns)
+    return rows.join(grown(gone), ["crate_id", "pos", "root"], "left_anti").select(*properties.columns)
 
 
 def add_type(types: Column, is_array: Column, name: str) -> tuple[Column, Column]:

@@ -58,3 +58,10 @@ def test_remote_packages_meet_their_names_by_shuffle(spark, tmp_path):
     found = package_queries.remote_packages(spark, str(tmp_path))
     assert broadcasts(found) == 0
     assert sorted(r["name"] for r in found.filter("name IS NOT NULL").collect()) == sorted(str(n) for n in range(14) if n % 7 != 6)
+
+
+def test_removed_properties_meet_theirs_by_shuffle(read):
+    gone = read.properties.filter("key = 'status'").select("crate_id", "id", F.lit("detail").alias("key"))
+    rows = edit.remove_property(read.entities, read.properties, gone)
+    assert broadcasts(rows) == 0
+    assert rows.filter("id = 'a.csv' AND depth = 0 AND origin = 'dynamic'").select("key").distinct().collect() == [("status",)]
