@@ -67,14 +67,14 @@ def rename(entities: DataFrame, properties: DataFrame, names: DataFrame) -> tupl
 def set_property(entities: DataFrame, properties: DataFrame, new: DataFrame) -> DataFrame:
     """Sets top-level properties of the first entity with each id: ``new`` has the columns of ``properties`` but ``pos``, a row per key."""
     first = entities.groupBy("crate_id", "id").agg(F.min("pos").cast("int").alias("pos"))
-    return _replaced(properties, new.join(first, ["crate_id", "id"]).select(*properties.columns))
+    return _replaced(properties, new.join(grown(first), ["crate_id", "id"]).select(*properties.columns))
 
 
 def _replaced(properties: DataFrame, placed: DataFrame) -> DataFrame:
     """Properties with top-level ones in the place of all that their entities have of the same key."""
     old = placed.select("crate_id", "pos", F.col("key").alias("root"))
     root = F.regexp_extract("path", r"^([^/\[]+)", 1)
-    return properties.withColumn("root", root).join(old, ["crate_id", "pos", "root"], "left_anti").select(*properties.columns).unionByName(placed)
+    return properties.withColumn("root", root).join(grown(old), ["crate_id", "pos", "root"], "left_anti").select(*properties.columns).unionByName(placed)
 
 
 def remove_property(entities: DataFrame, properties: DataFrame, gone: DataFrame) -> DataFrame:

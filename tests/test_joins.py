@@ -65,3 +65,10 @@ def test_removed_properties_meet_theirs_by_shuffle(read):
     rows = edit.remove_property(read.entities, read.properties, gone)
     assert broadcasts(rows) == 0
     assert rows.filter("id = 'a.csv' AND depth = 0 AND origin = 'dynamic'").select("key").distinct().collect() == [("status",)]
+
+
+def test_set_properties_meet_theirs_by_shuffle(read):
+    new = read.properties.filter("key = 'status'").withColumns({"s": F.lit("open"), "json": F.lit('"open"')}).drop("pos")
+    rows = edit.set_property(read.entities, read.properties, new)
+    assert broadcasts(rows) == 0
+    assert [r["s"] for r in rows.filter("key = 'status'").collect()] == ["open"] * 3
