@@ -72,3 +72,12 @@ def test_set_properties_meet_theirs_by_shuffle(read):
     rows = edit.set_property(read.entities, read.properties, new)
     assert broadcasts(rows) == 0
     assert [r["s"] for r in rows.filter("key = 'status'").collect()] == ["open"] * 3
+
+
+def test_zipped_documents_are_read_back(read, spark, tmp_path):
+    docs = sinks.documents(read)
+    none = spark.createDataFrame([], "crate_id string, path string, entry string")
+    assert broadcasts(docs) == 0
+    files = sinks.write_zips(docs, none, f"file://{tmp_path}").localCheckpoint()
+    back = sources.parse(sources.read_listed(files, zipped=True), properties=False)
+    assert back.entities.count() == 9
