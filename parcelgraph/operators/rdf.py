@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parcelgraph.functions.links import base_parts, has_relative_component, is_absolute_iri, with_parts
 from parcelgraph.functions.values import number_text
-from parcelgraph.plans.storage import small, written
+from parcelgraph.plans.storage import grown, small, written
 
 # IRIs of the RDF and XML Schema vocabularies.
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
@@ -66,12 +66,12 @@ def package_contexts(crates: DataFrame, context_items: DataFrame | None = None,
         if strict:
             unknown = unknown_references(context_items, contexts).groupBy("crate_id").agg(F.min("url").alias("unknown"))
             refused = F.when(F.col("unknown").isNotNull(), F.raise_error(F.concat(F.lit("unknown context: "), F.col("unknown")))).otherwise(F.col("version"))
-            home = home.join(unknown, "crate_id", "left").withColumn("version", refused).drop("unknown")
+            home = home.join(grown(unknown), "crate_id", "left").withColumn("version", refused).drop("unknown")
     said = terms.groupBy("crate_id").agg(F.max(F.when(F.col("term") == "@vocab", F.col("iri"))).alias("vocab"), F.sort_array(F.collect_list(F.struct("term", "iri"))).alias("all"))
     digest = F.sha2(F.to_json(F.struct("version", "base", "all")), 256)
-    named = written(home.join(said, "crate_id", "left").select("crate_id", digest.alias("ctx"), "version", "base", "vocab"))
+    named = written(home.join(grown(said), "crate_id", "left").select("crate_id", digest.alias("ctx"), "version", "base", "vocab"))
     shared = named.groupBy("ctx").agg(F.min_by(F.struct("version", "base", "vocab"), "crate_id").alias("c"), F.min("crate_id").alias("crate_id"))
-    own = terms.filter(~F.col("term").startswith("@")).join(shared.select("crate_id", "ctx"), "crate_id").select("ctx", "term", "iri")
+    own = terms.filter(~F.col("term").startswith("@")).join(grown(shared.select("crate_id", "ctx")), "crate_id").select("ctx", "term", "iri")
     return named.select("crate_id", "ctx"), shared.select("ctx", "c.*"), own
 
 
@@ -80,8 +80,10 @@ def expand(names: DataFrame, terms: DataFrame, column: str = "name", out: str =
 
     Terms of ``own`` (ctx, term, iri) count before the vocabulary's, for names with
     that ctx.  Null where a path leads above the base's root.  The vocabulary is
-    broadcast if it is small.
+    broadcast if it is small.  ``_parts`` of the names, if they have them, are their
+    bases' parts, and stay.
     """
+    given = "_parts" in names.columns
     name = F.col(column)
     rows = names.withColumn("_prefix", F.when(name.contains(":"), F.substring_index(name, ":", 1)))
     known = [("version", small(terms, BROADCAST_TERMS).select(F.col("version").alias("_of"), F.col("term").alias("_term"), F.col("iri").alias("_iri")))]
@@ -97,8 +99,8 @@ def expand(names: DataFrame, terms: DataFrame, column: str = "name", out: str =
     found = F.coalesce(*(F.col(f"_exact{i}") for i in which), spaced, F.when(is_absolute_iri(name), name))
     by_vocab = ~relative & vocab.isNotNull()
     rest = F.when(by_vocab, F.concat(vocab, name)).when(F.col("base").isNull(), name).otherwise(with_parts(F.col("_parts"), name))
-    rows = rows.withColumn("_parts", base_parts(F.col("base")))
-    return rows.withColumn(out, F.coalesce(found, rest)).drop("_prefix", "_parts", *(f"_exact{i}" for i in which), *(f"_space{i}" for i in which))
+    rows = rows if given else rows.withColumn("_parts", base_parts(F.col("base")))
+    return rows.withColumn(out, F.coalesce(found, rest)).drop("_prefix", *(() if given else ("_parts",)), *(f"_exact{i}" for i in which), *(f"_space{i}" for i in which))
 
 
 def expansion_error(iri: Column, name: Column) -> Column:
@@ -178,10 +180,42 @@ def export_triples(crates: DataFrame, entities: DataFrame, properties: DataFrame
     own.  With ``strict`` a name that stays relative or isn't an IRI raises, and so
     does a reference to an unknown context; a name that leads above its base always does.
 
-    Each name is expanded once for all packages that share a context; triples meet
-    their names' IRIs again by context and name.
+    Where the terms of all contexts can be broadcast, each triple's names are expanded
+    in its own row, so that triples are shuffled as they are, to their packages, and as
+    IRIs, to their subjects, where equal ones meet.  Otherwise each name is expanded
+    once for all packages that share a context, and triples meet their names' IRIs
+    again by context and name.
     """
-    rows, names = _named_rows(crates, entities, properties, terms, base, context_items, contexts, strict)
+    home, shared, own = package_contexts(crates, context_items, contexts, base, strict)
+    own = written(own)
+    if own.count() <= BROADCAST_TERMS and terms.count() <= BROADCAST_TERMS:
+        rows = raw_triples(entities, properties).join(grown(home.join(grown(shared), "ctx").withColumn("_parts", base_parts(F.col("base")))), "crate_id")
+        return _triple_set(_expanded_rows(rows, F.broadcast(own), terms, strict))
+    rows = raw_triples(entities, properties).join(grown(home), "crate_id")
+    return _triple_set(_looked_up(rows, expanded_names(rows, shared, own, terms), strict))
+
+
+def _triple_set(rows: DataFrame) -> DataFrame:
+    """Triples without repetition, each with its subject's others."""
+    return rows.repartition("crate_id", "s").distinct()
+
+
+def _expanded_rows(rows: DataFrame, own: DataFrame, terms: DataFrame, strict: bool) -> DataFrame:
+    """Triples of raw ones with ctx, version, base, vocab and _parts, by terms that are broadcast."""
+    blank, node = F.col("s").startswith("_:"), F.col("o_kind") == "iri"
+    rows = rows.withColumns({"s_kind": F.when(blank, "blank").otherwise("iri"), "s_name": F.when(~blank, F.col("s")), "o_name": F.when(node, F.col("o"))})
+    for column in ("p", "s_name", "o_name"):
+        rows = expand(rows, terms, column, f"{column}_iri", own)
+    iri = {}
+    for column in ("p", "s_name", "o_name"):
+        out, name = F.col(f"{column}_iri"), F.col(column)
+        why = expansion_error(out, name)
+        iri[column] = F.when(name.isNotNull() & (why.isNotNull() if strict else out.isNull()), F.raise_error(why)).otherwise(out)
+    return rows.select("crate_id", F.coalesce(iri["s_name"], "s").alias("s"), "s_kind", iri["p"].alias("p"), F.coalesce(iri["o_name"], "o").alias("o"), "o_kind", "datatype", F.lit(None).cast("string").alias("lang"))
+
+
+def _looked_up(rows: DataFrame, names: DataFrame, strict: bool) -> DataFrame:
+    """The same by a table of expanded names."""
     refused = F.col("why").isNotNull() if strict else F.col("iri").isNull()
     iri = F.when(refused, F.raise_error(F.col("why"))).otherwise(F.col("iri"))
     names = names.select("ctx", "name", "uses", iri.alias("iri"))
@@ -189,8 +223,7 @@ def export_triples(crates: DataFrame, entities: DataFrame, properties: DataFrame
     rows = rows.select("crate_id", "ctx", "p", "o_kind", "datatype", F.when(blank, "blank").otherwise("iri").alias("s_kind"), "s", "o", F.when(~blank, F.col("s")).alias("s_name"), F.when(node, F.col("o")).alias("o_name"))
     for column in ("p", "s_name", "o_name"):
         rows = with_names(rows, names, column, f"{column}_iri")
-    out = rows.select("crate_id", F.coalesce("s_name_iri", "s").alias("s"), "s_kind", F.col("p_iri").alias("p"), F.coalesce("o_name_iri", "o").alias("o"), "o_kind", "datatype", F.lit(None).cast("string").alias("lang"))
-    return out.distinct()
+    return rows.select("crate_id", F.coalesce("s_name_iri", "s").alias("s"), "s_kind", F.col("p_iri").alias("p"), F.coalesce("o_name_iri", "o").alias("o"), "o_kind", "datatype", F.lit(None).cast("string").alias("lang"))
 
 
 def _escaped(s: Column) -> Column:

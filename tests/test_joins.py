@@ -7,7 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from parcelgraph.operators import edit, validate
+from parcelgraph.operators import edit, rdf, rdf_import, validate
 from parcelgraph.sources import packages as sources
 from parcelgraph.sources import sinks
 
@@ -81,3 +81,28 @@ def test_zipped_documents_are_read_back(read, spark, tmp_path):
     files = sinks.write_zips(docs, none, f"file://{tmp_path}").localCheckpoint()
     back = sources.parse(sources.read_listed(files, zipped=True), properties=False)
     assert back.entities.count() == 9
+
+
+VOCABULARY = [("1.2", k, f"http://schema.org/{k}") for k in ("CreativeWork", "Dataset", "File", "about", "conformsTo", "datePublished", "hasPart", "license", "name", "status")] + [("1.2", "schema", "http://schema.org/")]
+
+
+def exported(read, spark):
+    terms = spark.createDataFrame(VOCABULARY, "version string, term string, iri string")
+    return rdf.export_triples(read.crates, read.entities, read.properties, terms, "http://home.example/", context_items=read.context_items), terms
+
+
+def exchanges(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_triples_are_shuffled_to_packages_and_subjects_alone(read, spark, monkeypatch):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for many packages
+    try:
+        triples, _ = exported(read, spark)
+        assert exchanges(triples) <= 5  # raw triples, packages and contexts, IRIs
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    found = set(triples.collect())
+    monkeypatch.setattr(rdf, "BROADCAST_TERMS", -1)
+    assert found and found == set(exported(read, spark)[0].collect())
