@@ -106,3 +106,8 @@ def test_triples_are_shuffled_to_packages_and_subjects_alone(read, spark, monkey
     found = set(triples.collect())
     monkeypatch.setattr(rdf, "BROADCAST_TERMS", -1)
     assert found and found == set(exported(read, spark)[0].collect())
+
+
+def test_turtle_finds_subjects_together(read, spark):
+    triples, _ = exported(read, spark)
+    assert exchanges(rdf.turtle(triples)) == exchanges(triples)
