@@ -499,5 +499,8 @@ def without_vocabulary(references: DataFrame, terms: DataFrame, version: str = "
 
 def dangling_references(triples: DataFrame, terms: DataFrame, version: str = "1.2") -> DataFrame:
     """crate_id, src, dst: links to nodes that are no subject of their graph and no term of the vocabulary."""
-    out = without_vocabulary(out_references(triples), terms, version).select("crate_id", "src", "dst").distinct()
-    return out.join(triples.select("crate_id", F.col("s").alias("dst")).distinct(), ["crate_id", "dst"], "left_anti").select("crate_id", "src", "dst")
+    link = (F.col("p") != RDF_TYPE) & (F.col("o_kind") != "literal")
+    # Subjects and links are a table, so that the triples are made once.
+    rows = written(triples.select("crate_id", F.col("s").alias("src"), F.when(link, F.col("o")).alias("dst")).distinct(), "zstd")
+    out = without_vocabulary(rows.filter("dst IS NOT NULL"), terms, version)
+    return out.join(grown(rows.select("crate_id", F.col("src").alias("dst")).distinct()), ["crate_id", "dst"], "left_anti").select("crate_id", "src", "dst")

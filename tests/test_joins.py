@@ -111,3 +111,10 @@ def test_triples_are_shuffled_to_packages_and_subjects_alone(read, spark, monkey
 def test_turtle_finds_subjects_together(read, spark):
     triples, _ = exported(read, spark)
     assert exchanges(rdf.turtle(triples)) == exchanges(triples)
+
+
+def test_dangling_references_make_triples_once(read, spark):
+    triples, terms = exported(read, spark)
+    dangling = rdf.dangling_references(triples, terms)
+    assert exchanges(dangling) <= 3
+    assert {r["dst"] for r in dangling.collect()} == {"http://home.example/lost.csv", f"{PROFILE}/1.2"}
