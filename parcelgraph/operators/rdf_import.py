@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from parcelgraph.functions.values import DESCRIPTOR_ID, ROOT_ID
 from parcelgraph.operators.rdf import RDF_TYPE, compact, import_kind, out_references, roots, typed_literal, without_vocabulary
 from parcelgraph.operators.reach import reachable
-from parcelgraph.plans.storage import written
+from parcelgraph.plans.storage import grown, written
 from parcelgraph.plans.tables import Packages
-from parcelgraph.sources.packages import REQUIRED
+from parcelgraph.sources.packages import COMPRESSION, REQUIRED
 
 #: Fixed value: the profile that an imported descriptor conforms to.
 CONTEXT_IRI = "https://w3id.org/ro/crate/1.2/context"
@@ -43,21 +43,21 @@ def import_packages(triples: DataFrame, terms: DataFrame, base: str | None = Non
     descriptor always conforms to one profile.  Entities that nothing reaches but
     links to terms of the vocabulary, and graphs without a root, are left out.
     """
-    triples = written(triples)
+    triples = written(triples, COMPRESSION)
     found = written(roots(triples))
     starts = found.select("crate_id", F.explode(F.array("metadata", "root")).alias("id"))
-    kept = triples.join(reachable(starts, without_vocabulary(out_references(triples), terms)).select("crate_id", F.col("id").alias("s")), ["crate_id", "s"], "left_semi")
+    kept = triples.join(grown(reachable(starts, without_vocabulary(out_references(triples), terms)).select("crate_id", F.col("id").alias("s"))), ["crate_id", "s"], "left_semi")
     home = found.withColumn("base", F.coalesce(F.lit(base), F.regexp_extract("metadata", r"^(.*/)", 1))).select("crate_id", "base", "metadata", "root")
     iris = kept.select("crate_id", F.explode(F.array(F.when(F.col("s_kind") == "iri", F.col("s")), F.col("p"), F.when(F.col("o_kind") == "iri", F.col("o")))).alias("iri")).filter("iri IS NOT NULL").distinct()
     named = written(compact(iris.join(home.select("crate_id", "base"), "crate_id").withColumns({"version": F.lit("1.2"), "vocab": F.lit(None).cast("string")}), terms).select("crate_id", "iri", "name"))
 
     def name(df: DataFrame, column: str, out: str) -> DataFrame:
-        return df.join(named.select("crate_id", F.col("iri").alias(column), F.col("name").alias(out)), ["crate_id", column], "left").withColumn(out, F.coalesce(out, column))
+        return df.join(grown(named.select("crate_id", F.col("iri").alias(column), F.col("name").alias(out))), ["crate_id", column], "left").withColumn(out, F.coalesce(out, column))
 
     rows = name(name(name(kept, "s", "s_name"), "p", "key"), "o", "o_name").join(home, "crate_id")
     id_ = F.when(F.col("s") == F.col("metadata"), DESCRIPTOR_ID).when(F.col("s") == F.col("root"), ROOT_ID).otherwise(_relative(F.col("s_name")))
     target = F.when(F.col("o") == F.col("root"), ROOT_ID).when(F.col("o") == F.col("metadata"), DESCRIPTOR_ID).otherwise(_relative(F.col("o_name")))
-    rows = written(rows.withColumns({"id": id_, "target": target}))
+    rows = written(rows.withColumns({"id": id_, "target": target}).select("crate_id", "id", "key", "p", "o", "o_kind", "o_name", "target", "datatype"), COMPRESSION)
     types = rows.groupBy("crate_id", "id").agg(F.sort_array(F.collect_set(F.when(F.col("p") == RDF_TYPE, F.col("o_name")))).alias("types"))
     types = types.withColumn("types", F.when(F.size("types") > 0, F.col("types")).otherwise(F.array(F.lit("Thing"))))
     kind = F.when(F.col("id") == DESCRIPTOR_ID, "descriptor").when(F.col("id") == ROOT_ID, "root").otherwise(import_kind(F.col("id"), F.col("types")))

@@ -118,3 +118,12 @@ def test_dangling_references_make_triples_once(read, spark):
     dangling = rdf.dangling_references(triples, terms)
     assert exchanges(dangling) <= 3
     assert {r["dst"] for r in dangling.collect()} == {"http://home.example/lost.csv", f"{PROFILE}/1.2"}
+
+
+def test_imported_rows_keep_no_names_twice(read, spark, monkeypatch):
+    kept, plain = [], rdf_import.written
+    monkeypatch.setattr(rdf_import, "written", lambda df, *way: kept.append(df.columns) or plain(df, *way))
+    triples, terms = exported(read, spark)
+    found = rdf_import.import_packages(triples, terms)
+    assert not [c for c in kept if "s_name" in c or "metadata" in c and "target" in c]
+    assert {(r["id"], r["kind"]) for r in found.entities.collect()} >= {("ro-crate-metadata.json", "descriptor"), ("./", "root"), ("./a.csv", "data")}
